@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+_BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+_BASE = _BASES[0]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -18,15 +18,17 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U64)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of one of the hash bases and of its inverse, modulo 2**64."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        base, found = int(_BASES[which]), []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 16), U64(factor), U64)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.multiply.accumulate(steps))
+        _powers[which] = (found[0], found[1])
+    up, down = _powers[which]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,16 +41,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Sums whose differences are polynomial hashes of the spans of `data`."""
-    up, _ = powers(len(data))
+    up, _ = powers(len(data), which)
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up, out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    _, down = powers(len(sums), which)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
 
 
