@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
+from .packing import PackingConfig, pack
 from .substring_dedup import SubstringDedupConfig, remove_repeats
 
 
@@ -27,11 +28,23 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedupConfig(width=4))
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
+        "op10_packing": op10_packing,
     }
 
 
