@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import EmbeddingDedupConfig, embedding_duplicates
 from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
 from .packing import PackingConfig, pack
@@ -20,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), least=10)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"), EmbeddingDedupConfig(threshold=0.98))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), SubstringDedupConfig(length=200, seed=100))
 
@@ -42,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
@@ -65,7 +71,47 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT vec_id AS id, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), comp AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN comp c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS id, doc_id AS seen FROM documents
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen
+)
+SELECT d.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN s ON s.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op5_embedding_dedup": OP5_SQL,
+        "op9_near_dedup": OP9_SQL,
     }
