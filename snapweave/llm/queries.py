@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
 from .packing import PackingConfig, pack
 from .substring_dedup import SubstringDedupConfig, remove_repeats
+from .toxicity import ToxicityConfig, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), SubstringDedupConfig(length=200, seed=100))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ToxicityConfig(modulus=4, held_out=2, threshold=0.3))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedupConfig(width=4))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
     }
@@ -113,5 +119,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op5_embedding_dedup": OP5_SQL,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dedup": OP9_SQL,
     }

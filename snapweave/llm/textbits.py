@@ -126,3 +126,24 @@ def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarra
         hashes = hashes[order]
         for k in range(j - i):
             yield i + k, np.unique(hashes[cuts[k] : cuts[k + 1]])
+
+
+def block_words(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words as bytes, number of each word in that list, document numbers, starts, ends) of a block of texts."""
+    start, end, owner = words(data, cuts)
+    _, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)], inverse, owner, start, end
+
+
+def bare_word(word: bytes) -> str:
+    """A word in lower case without what isn't a letter or digit at its ends."""
+    text = word.decode("utf-8", "replace").lower()
+    if text.isalnum():
+        return text
+    a, b = 0, len(text)
+    while a < b and not text[a].isalnum():
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return text[a:b]
