@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import EmbeddingDedupConfig, embedding_duplicates
+from .language_id import LanguageConfig, language_mixture
 from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
 from .packing import PackingConfig, pack
+from .quality import QualityConfig, quality
 from .substring_dedup import SubstringDedupConfig, remove_repeats
 from .toxicity import ToxicityConfig, toxicity
 
@@ -22,6 +24,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), least=10)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture(_table(spark, sf_dir, "documents"), LanguageConfig(modulus=4, held_out=2))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), QualityConfig(modulus=3, held_out=1))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"), EmbeddingDedupConfig(threshold=0.98))
 
@@ -52,6 +62,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_quality": op4_quality,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_toxicity": op8_toxicity,
@@ -118,6 +130,8 @@ FROM documents d JOIN s ON s.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS com
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op3_language_id": op3_language_id,
+        "op4_quality": op4_quality,
         "op5_embedding_dedup": OP5_SQL,
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": OP9_SQL,
