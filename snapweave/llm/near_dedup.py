@@ -1,4 +1,4 @@
-"""Near-duplicate documents by SetSketch registers, banding, joint likelihood and exact verification.
+"""Near-duplicate documents by SetSketch registers, bands, joint likelihood and exact verification.
 
 A document's shingle set is summarised by `registers` SetSketch registers: register i is
 ``1 - floor(log_b(minimum over the set of exponential variates of rate RATE))``, truncated to 16 bits. Registers of
@@ -103,47 +103,77 @@ def _bands(bands: int, rows: int):
             factors = mix(np.arange(1, rows + 1, dtype=U64)) | U64(1)
             keys = mix((values.astype(U64) * factors).sum(axis=2, dtype=U64) + mix(np.arange(bands, dtype=U64) + U64(99)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), bands))], names=["bucket", "rep"]
+                [pa.array(keys.astype(np.int64).ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column("rep").to_numpy(), bands))],
+                names=["bucket", "band", "rep"],
             )
 
     return run
 
 
+def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(left) + len(right) - both)
+
+
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, kept, last = [], {}, -1
-            lefts = document_sets(batch.column("text_a"), width)
-            for (row, left), (_, right) in zip(lefts, document_sets(batch.column("text_b"), width), strict=True):
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
-            chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield chosen
+            pairs = zip(document_sets(batch.column("text_a"), width), document_sets(batch.column("text_b"), width), strict=True)
+            keep = [_linked(left, right, percent) for (_, left), (_, right) in pairs]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([items.tobytes() for _, items in document_sets(batch.column("text"), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["rep", "items"])
 
     return run
 
 
 def _compare_blocks(config: NearDedupConfig):
-    """Pairs of one block pair whose components differ and whose sketches may be similar enough."""
-    m, floor = config.registers, config.percent / 100 - config.margin
+    """Links between components inside one block pair, one for each two components that meet.
+
+    Rows whose registers agree too seldom for the threshold are passed over; the others' whole sets are
+    compared. Components that a link has joined aren't compared again, so no list of pairs arises.
+    """
+    m, bands, rows_in_band = config.registers, config.bands, config.rows
+    least = m * (config.percent / 100 - config.margin)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
-        left = rows[rows.block == i]
-        right = rows[rows.block == j] if i != j else left
         empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if not len(left) or not len(right) or (rows.component == rows.component.iloc[0]).all():
+        if (rows.component == rows.component.iloc[0]).all():
             return empty
-        values = np.frombuffer(b"".join(right.registers), np.uint16).reshape(-1, m)
-        ids, comps, sizes, out = right.rep.to_numpy(), right.component.to_numpy(), right.n_shingles.to_numpy(np.float64), []
-        for row in left.itertuples():
-            other = np.flatnonzero((comps != row.component) & (ids > row.rep) if i == j else comps != row.component)
+        rows = rows.drop_duplicates("rep").sort_values("rep")
+        block, ids, comps = rows.block.to_numpy(), rows.rep.to_numpy(), rows.component.to_numpy().copy()
+        values = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, m)
+        sets = [np.frombuffer(x, U64) for x in rows["items"]]
+        sizes = np.array([len(x) for x in sets])
+        band, out = int(rows.band.iloc[0]), []
+        right = block == j
+        for k in np.flatnonzero(block == i):
+            other = right & (comps != comps[k])
+            if i == j:
+                other[: k + 1] = False
+            other &= 100 * np.minimum(sizes, sizes[k]) >= config.percent * np.maximum(sizes, sizes[k])
+            other = np.flatnonzero(other)
             if not len(other):
                 continue
-            mine, theirs = np.frombuffer(row.registers, np.uint16), values[other]
-            estimate = joint_estimate(np.full(len(other), float(row.n_shingles)), sizes[other], (mine > theirs).sum(1), (mine < theirs).sum(1), m, config.base)
-            out += [(min(row.rep, x), max(row.rep, x)) for x in ids[other[estimate >= floor]]]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates() if out else empty
+            same = values[other] == values[k]
+            likely = same.sum(1) >= least
+            if band and likely.any():  # a pair is compared in the first band that it shares
+                likely &= ~same[:, : band * rows_in_band].reshape(len(other), band, rows_in_band).all(2).any(1)
+            other = other[likely]
+            order = np.argsort(-same[likely].sum(1), kind="stable")
+            for at in other[order]:
+                if comps[at] != comps[k] and _linked(sets[k], sets[at], config.percent):
+                    out.append((min(ids[k], ids[at]), max(ids[k], ids[at])))
+                    comps[comps == comps[at]] = comps[k]
+        return pd.DataFrame(out, columns=["a", "b"]) if out else empty
 
     return run
 
@@ -184,41 +214,39 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     same = ["n_shingles", "low", "high"]
     usable = sketched.where("doc_id is not null and n_shingles > 0")
     reps = scratch.save(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers")), "classes")
-    banded = scratch.save(reps.select("rep", "registers").mapInArrow(_bands(config.bands, config.rows), "bucket long, rep long").distinct(), "bands")
+    banded = scratch.save(reps.select("rep", "registers").mapInArrow(_bands(config.bands, config.rows), "bucket long, band int, rep long"), "bands")
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.save(banded.join(buckets, "bucket"), "members")
+    members = scratch.save(banded.join(buckets.hint("merge"), "bucket"), "members")
     scratch.drop(banded)
 
-    texts = source.where("doc_id is not null")
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = scratch.save(source.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     light = reps.select("rep", "n_shingles", "registers")
 
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        needed = scratch.save(texts.join(ids, "doc_id", "left_semi"), f"{label}-texts")
-        left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        out = scratch.save(found.mapInArrow(_verify(config.width, config.percent), "a long, b long"), label)
-        scratch.drop(needed)
-        return out
-
+    # Members are compared with the smallest member of each of their buckets.
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(light.toDF("a", "n_a", "r_a"), "a").join(light.toDF("b", "n_b", "r_b"), "b")
-    first = confirmed(scratch.save(star.where(_likely(config)).select("a", "b"), "star-pairs"), "star-links")
+    pairs = scratch.save(star.where(_likely(config)).select("a", "b"), "star-pairs")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    first = scratch.save(both.mapInArrow(_verify(config.width, config.percent), "a long, b long"), "star-links")
 
-    # Members of one bucket that the pivots left in different components are compared with each other.
+    # Members of one bucket that this left in different components are compared with each other.
     joined = connected_components(scratch, first)
-    labelled = members.join(joined, members.rep == joined.node, "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    labelled = members.join(joined, members.rep == joined.node, "left").select("bucket", "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = labelled.join(split, "bucket").join(light, "rep")
+    open_rows = labelled.join(split, "bucket")
+    open_ids = open_rows.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts.join(open_ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(config.width), "rep long, items binary")
+    open_rows = open_rows.join(light.select("rep", "registers"), "rep").join(sets, "rep")
     n_blocks = F.ceil(F.col("size") / config.block).cast("int")
     open_rows = open_rows.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     paired = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "registers"
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "rep", "component", "registers", "items"
     )
-    cross = paired.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(config), "a long, b long").distinct()
-    second = confirmed(scratch.save(cross, "cross-pairs"), "cross-links")
+    second = scratch.save(paired.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(config), "a long, b long"), "cross-links")
 
     components = connected_components(scratch, first.unionByName(second))
     classes = reps.join(components, reps.rep == components.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
