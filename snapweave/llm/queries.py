@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import DecontaminationConfig, contaminated
 from .embedding_dedup import EmbeddingDedupConfig, embedding_duplicates
 from .language_id import LanguageConfig, language_mixture
+from .license_scan import LicenseScanConfig, scan_licenses
 from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
 from .packing import PackingConfig, pack
@@ -24,6 +26,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), least=10)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"), config=LicenseScanConfig(width=5, containment=0.8))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture(_table(spark, sf_dir, "documents"), LanguageConfig(modulus=4, held_out=2))
 
@@ -40,6 +46,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), SubstringDedupConfig(length=200, seed=100))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), DecontaminationConfig(seed_words=3, threshold=0.5))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ToxicityConfig(modulus=4, held_out=2, threshold=0.3))
 
@@ -62,10 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
         "op4_quality": op4_quality,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
@@ -130,9 +142,11 @@ FROM documents d JOIN s ON s.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS com
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
         "op4_quality": op4_quality,
         "op5_embedding_dedup": OP5_SQL,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": OP9_SQL,
     }
