@@ -248,49 +248,64 @@ class LineDedup:
         lists = lost.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("k"))
         return lists.select("doc_id", F.col("k.low").alias("lows"), F.col("k.high").alias("highs"))
 
-    def apply(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
-        """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, kept_text.
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_sha256.
 
         Null or empty text is one empty line; a text whose lines all go is empty. A null doc_id loses
         nothing. Rows that repeat a doc_id count as one document.
         """
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        joined = texts.join(self.dropped(), "doc_id", "left").select("doc_id", "text", "lows", "highs")
-        kind = "doc_id long, n_lines long, n_dropped long, " + ("kept_text string" if with_text else "kept_sha256 string")
-        return joined.mapInArrow(_apply(with_text), kind)
-
-
-def _apply(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            lows, highs = batch.column("lows"), batch.column("highs")
-            n_lines, n_dropped, kept = [], [], []
-            for i in range(batch.num_rows):
-                whole = data[offsets[i] : offsets[i + 1]]
-                text = whole.tobytes()
-                n_lines.append(text.count(b"\n") + 1)
-                gone = 0
-                if lows[i].is_valid:
-                    _, start, end, low, high, _ = line_keys(whole, np.array([0, len(whole)]))
-                    lost = set(zip(lows[i].values.to_pylist(), highs[i].values.to_pylist(), strict=True))
-                    stay = [text[a:b] for a, b, x, y in zip(start.tolist(), end.tolist(), low.tolist(), high.tolist(), strict=True) if (x, y) not in lost]
-                    gone = len(start) - len(stay)
-                    text = b"\n".join(stay)
-                n_dropped.append(gone)
-                kept.append(text.decode() if with_text else hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_text" if with_text else "kept_sha256"],
-            )
-
-    return run
+        joined = texts.join(self.dropped().hint("merge"), "doc_id", "left").select("doc_id", "text", "lows", "highs")
+        return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+    def rewrite(self, docs: DataFrame) -> DataFrame:
+        """`docs` with the lines that go taken out of `text`, and n_chars, where there is one, counted again; null texts stay null."""
+        lost = self.dropped().select(F.col("doc_id").alias("_doc_id"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs")).hint("merge")
+        joined = docs.join(lost, docs["doc_id"].cast("long") == lost["_doc_id"], "left").drop("_doc_id")
+        names = docs.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = [None if text is None else body.decode() for text, (_, _, body) in zip(batch.column("text").to_pylist(), _kept(batch.column("text"), batch.column("_lows"), batch.column("_highs")), strict=True)]
+                columns = [pa.array(kept, pa.string()) if name == "text" else batch.column(name) for name in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        out = joined.mapInArrow(run, docs.schema)
+        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _kept(column: pa.Array, lows: pa.Array, highs: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """(lines, dropped lines, what stays) of every text, given the keys it loses."""
+    data, offsets = text_buffers(column)
+    for i in range(len(column)):
+        whole = data[offsets[i] : offsets[i + 1]]
+        text, gone = whole.tobytes(), 0
+        n_lines = text.count(b"\n") + 1
+        if lows[i].is_valid:
+            _, start, end, low, high, _ = line_keys(whole, np.array([0, len(whole)]))
+            lost = set(zip(lows[i].values.to_pylist(), highs[i].values.to_pylist(), strict=True))
+            stay = [text[a:b] for a, b, x, y in zip(start.tolist(), end.tolist(), low.tolist(), high.tolist(), strict=True) if (x, y) not in lost]
+            gone, text = len(start) - len(stay), b"\n".join(stay)
+        yield n_lines, gone, text
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(n, gone, hashlib.sha256(text).hexdigest()) for n, gone, text in _kept(batch.column("text"), batch.column("lows"), batch.column("highs"))]
+        lists = zip(*rows, strict=True) if rows else [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(lists, kinds, strict=True))], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, with_text: bool = False) -> DataFrame:
-    """All of `docs` (doc_id, text) through a new state, in two batches dealt by doc_id, so that the second probes the filters of the first."""
+def loaded(docs: DataFrame, least: int = 10) -> LineDedup:
+    """A new state with all of `docs`, added in two batches dealt by doc_id: the second probes the filters of the first."""
     state = LineDedup(docs.sparkSession, least)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     for part in (0, 1):
         state.insert(docs.where(half == part))
-    return state.apply(docs, with_text)
+    return state
+
+
+def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+    """`LineDedup.apply` with the state that `docs` (doc_id, text) themselves make."""
+    return loaded(docs, least).apply(docs)

@@ -255,3 +255,9 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def without_near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
+    """`docs` with the smallest doc_id of each component only; all columns and the documents without links stay."""
+    extra = near_duplicates(docs, config).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -249,6 +249,21 @@ def score_with(model: ToxicityModel):
     return run
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """`docs` without the rows that score at `threshold` or more; all columns and other rows stay, null texts too."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fit_toxicity(labelled_sample(source, labels, "toxic", config.modulus, config.held_out, config.sample_rows, config.sample_bytes), config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            scores = [logistic(model.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), model.weights) for i, j in blocks(offsets)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < config.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
