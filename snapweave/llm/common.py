@@ -1,53 +1,11 @@
-"""What several operators share: tables kept in the cluster's shared folder, and connected components."""
+"""What several operators share: connected components, on tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="snapweave-shared-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return _own_dirs[app]
-
-
-class Scratch:
-    """Tables written to the shared folder; they cut the lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._at: dict[int, tuple[DataFrame, str]] = {}
-        self._made = 0
-
-    def save(self, frame: DataFrame, label: str) -> DataFrame:
-        self._made += 1
-        path = f"{self.root}/{self._made:03d}-{label}"
-        frame.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(frame.schema).parquet(path)
-        self._at[id(kept)] = (kept, path)
-        return kept
-
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        _, path = self._at.pop(id(frame))
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+from ..storage import Scratch
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -57,7 +15,6 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     map-side combine and two joins, and leaves one table in the shared folder. Self-loops and
     null ends are ignored; an empty edge table gives an empty result.
     """
-    spark = scratch.spark
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, before = scratch.save(pairs, "edges"), None
     while True:
