@@ -11,7 +11,7 @@ queue runs out, the others share its part from that token on.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -33,10 +33,35 @@ class PackingConfig:
     end_id: int = 2
     window: int = 4096
     weights: dict[str, float] | None = None
-    cache_words: int = 400_000
+    cache_words: int = 500_000
 
 
 REST = "rest"
+
+
+class WordCache:
+    """Encoded words in two generations: when the young one is full it becomes the old one, and words that are used again move back."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, words: list[bytes], most: int, encode: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        if len(self.young) + len(words) > most:
+            self.young, self.old = {}, self.young
+        young, missing = self.young, []
+        for w in words:
+            if w not in young:
+                known = self.old.get(w)
+                if known is None:
+                    missing.append(w)
+                else:
+                    young[w] = known
+        if missing:
+            young.update(zip(missing, encode(missing), strict=True))
+        return [young[w] for w in words]
+
+
 _encoders: dict[str, tuple] = {}
 
 
@@ -47,7 +72,7 @@ def _encoder(path: str) -> tuple:
 
         tokenizer = Tokenizer.from_file(path)
         kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _encoders[path] = (tokenizer, kind, {})
+        _encoders[path] = (tokenizer, kind, WordCache())
     return _encoders[path]
 
 
@@ -77,14 +102,8 @@ def encode_block(data: np.ndarray, cuts: np.ndarray, config: PackingConfig) -> l
     end = np.minimum(limit, cuts[np.searchsorted(cuts, start, "right")])
     _, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
     found = [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-    new = [w for w in found if w not in cache]
-    if new:
-        if len(cache) + len(new) > config.cache_words:
-            cache.clear()
-            new = found
-        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, kind).tobytes()
-    known = [cache[w] for w in found]
+    encode = lambda new: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+    known = cache.of(found, config.cache_words, encode)
     pool = np.frombuffer(b"".join(known), kind)
     sizes = np.array([len(x) for x in known], np.int64) // kind.itemsize
     begins = np.cumsum(sizes) - sizes
