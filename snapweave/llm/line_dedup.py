@@ -244,6 +244,7 @@ class LineDedup:
         """(doc_id, lows, highs): keys that each document loses to a document with a smaller id."""
         held = self.scratch.save(self.references.join(self.suspects.distinct(), ["low", "high"], "left_semi").select("low", "high", "doc_id"), "suspects")
         owners = held.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        owners = self.scratch.save(owners, "owners")  # so that a common line's rows can be split in the join
         lost = held.join(owners, ["low", "high"]).where("doc_id > first")
         lists = lost.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("k"))
         return lists.select("doc_id", F.col("k.low").alias("lows"), F.col("k.high").alias("highs"))
