@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, config: SubstringDedupConfig = SubstringDedu
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     rows = scratch.save(texts.mapInArrow(_segments(config), "anchor long, shape long, doc_id long, start long, n int, inner boolean"), "segments")
     again = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.max("inner").alias("i")).where("c > 1 or i").select("anchor")
+    again = scratch.save(again, "repeated-anchors")  # so that a common anchor's rows can be split in the join
     hits = scratch.save(rows.join(again, "anchor"), "candidates")
     scratch.drop(rows)
     classes = hits.groupBy("anchor", "shape").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "n", "inner")).alias("at"))
