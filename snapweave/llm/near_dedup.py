@@ -216,6 +216,7 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     reps = scratch.save(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers")), "classes")
     banded = scratch.save(reps.select("rep", "registers").mapInArrow(_bands(config.bands, config.rows), "bucket long, band int, rep long"), "bands")
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    buckets = scratch.save(buckets, "buckets")  # so that a large bucket's rows can be split in the join
     members = scratch.save(banded.join(buckets.hint("merge"), "bucket"), "members")
     scratch.drop(banded)
 
