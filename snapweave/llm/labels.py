@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     """
     usable = labels.where(F.col(column).isin(0, 1) & (fold(modulus) != held_out)).select("doc_id", F.col(column).cast("int").alias("label")).dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * rows)
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(rows)
     return [(r.text, r.label) for r in found.select("text", "label").collect()]
 
 

@@ -32,7 +32,7 @@ class ToxicityConfig:
     """Bounds of the sample, of the lexicon and of the context, the fold that is never learned from, and the decision threshold."""
 
     sample_rows: int = 5000
-    sample_bytes: int = 1 << 16
+    sample_bytes: int = 1 << 15
     most_terms: int = 200
     least_docs: int = 4
     ratio: float = 10.0
