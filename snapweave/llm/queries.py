@@ -119,6 +119,17 @@ SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_
 FROM embeddings e JOIN comp c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
+OP6_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM h) u),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM w) q WHERE c > 1),
+g AS (SELECT doc_id, s, sum(CASE WHEN s <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) AS p FROM r) l),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans UNION ALL SELECT h.doc_id, n, n, coalesce(e, 0) FROM h LEFT JOIN (SELECT doc_id, max(b) AS e FROM spans GROUP BY doc_id) m ON m.doc_id = h.doc_id),
+kept AS (SELECT c.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans FROM cuts c JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT h.doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM h JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -148,5 +159,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_dedup": OP5_SQL,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
+        "op6_substring_dedup": OP6_SQL,
         "op9_near_dedup": OP9_SQL,
     }
