@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapweave.llm.common import Scratch
 from snapweave.llm.decontaminate import without_contaminated
 from snapweave.llm.line_dedup import loaded
 from snapweave.llm.near_dedup import without_near_duplicates
 from snapweave.llm.packing import PackingConfig, pack
 from snapweave.llm.queries import tokenizer_path
 from snapweave.llm.toxicity import without_toxic
+from snapweave.session import ship_package
+from snapweave.storage import Scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each but the last is written to the shared folder and read again."""
+    ship_package(spark)
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
