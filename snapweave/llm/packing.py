@@ -10,6 +10,7 @@ queue runs out, the others share its part from that token on.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -68,6 +69,7 @@ _encoders: dict[str, tuple] = {}
 def _encoder(path: str) -> tuple:
     """The tokenizer, its id type and a cache of encoded words, once for each Python worker."""
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
