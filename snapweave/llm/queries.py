@@ -153,12 +153,7 @@ FROM documents d JOIN s ON s.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS com
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
-        "op2_license_scan": op2_license_scan,
-        "op3_language_id": op3_language_id,
-        "op4_quality": op4_quality,
         "op5_embedding_dedup": OP5_SQL,
-        "op7_decontamination": op7_decontamination,
-        "op8_toxicity": op8_toxicity,
         "op6_substring_dedup": OP6_SQL,
         "op9_near_dedup": OP9_SQL,
     }

@@ -19,3 +19,10 @@ def test_stages_keep_the_columns_and_only_filter(spark):
         ids, before = kept, after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_sql_is_text_of_listed_queries():
+    from snapweave.llm import queries
+
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and all(isinstance(x, str) for x in queries.oracle_sql().values())
+    assert sorted(int(name.split("_")[0][2:]) for name in queries.queries()) == list(range(1, 11))
