@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
-Document frequencies of the test items' n-grams are counted over all documents; each item keeps the rarer
-half of its n-grams as seeds. Seeds found in a document give diagonals; windows around them are aligned
+Document frequencies of the test items' n-grams are counted over all documents; of the n-grams that occur,
+each item keeps the rarer half as seeds. Seeds found in a document give diagonals; windows around them are aligned
 with the item word by word, so edited, shortened and reordered copies score by how much of the item they
 still hold. Items are sent to the tasks in slices of at most `slice_bytes`, each slice being one pass over
 the documents, so what is sent is bounded whatever the number of items.
@@ -65,12 +65,13 @@ class Items:
         return self.__dict__ | {"cache": {}}
 
     def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Only the rarer half of each item's n-grams stays, ties included."""
+        """Of each item's n-grams that occur at all, only the rarer half stays, ties included."""
         df = np.array([frequency.get(int(c), 0) for c in self.codes.astype(np.int64)])
         keep = np.zeros(len(df), bool)
         for k in range(len(self.ids)):
-            mine = np.flatnonzero(self.owner == k)
-            keep[mine] = df[mine] <= np.sort(df[mine])[(len(mine) - 1) // 2]
+            mine = np.flatnonzero((self.owner == k) & (df > 0))
+            if len(mine):
+                keep[mine] = df[mine] <= np.sort(df[mine])[(len(mine) - 1) // 2]
         self.codes, self.owner, self.place = self.codes[keep], self.owner[keep], self.place[keep]
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
@@ -189,6 +190,8 @@ def _matches(items: Items, config: DecontaminationConfig):
                     best = (0.0, 0, 0)
                     for group in groups:
                         a, b = max(0, int(group[0]) - slack), min(len(numbers), int(group[-1]) + size + slack)
+                        if np.isin(words, numbers[a:b]).sum() < config.threshold * size:
+                            continue  # no alignment can score more than the item's words found here
                         score, first, last = align(words, numbers[a:b], config)
                         share = score / (config.match * size)
                         if share > best[0]:

@@ -287,15 +287,16 @@ def test_decontamination(spark):
     items = {k: sentence(rng, 30, 3000) for k in range(12)}
     edit = lambda t, every: " ".join("edited" if k % every == every - 1 else w for k, w in enumerate(t.split()))
     noise = lambda n: sentence(rng, n, 3000)
-    texts = [noise(50) + " " + items[0] + " " + noise(9), items[1].upper().replace(" ", ", "), noise(20) + " " + edit(items[2], 6) + " " + noise(5), noise(400), "", None, " ".join(items[3].split()[:6]) + " " + noise(60), items[4] + " " + noise(100) + " " + items[5], noise(9000) + " " + items[6]]
+    texts = [noise(50) + " " + items[0] + " " + noise(9), items[1].upper().replace(" ", ", "), noise(20) + " " + edit(items[2], 6) + " " + noise(5), noise(400), "", None, " ".join(items[3].split()[:6]) + " " + noise(60), items[4] + " " + noise(100) + " " + items[5], noise(9000) + " " + items[6], noise(15) + " " + edit(" ".join(items[8].split()[:26]), 4) + " " + noise(15)]
     bench = spark.createDataFrame(list(items.items()) + [(50, None), (51, ""), (None, items[7]), (52, "--")], "item_id long, text string")
-    want = {(0, 0), (1, 1), (2, 2), (7, 4), (7, 5), (8, 6)}
+    want = {(0, 0), (1, 1), (2, 2), (7, 4), (7, 5), (8, 6), (9, 8)}
     docs = documents(spark, texts)
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
     assert set(found) == want and found[(0, 0)].score == 1.0 and (found[(0, 0)].first_word, found[(0, 0)].end_word) == (50, 80)
+    assert 0.5 <= found[(9, 8)].score < 0.6  # a quarter of the words edited, four left out
     small = decontaminate.DecontaminationConfig(slice_bytes=300)  # several slices
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, small).collect()} == want
-    assert {r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()} == set(range(9)) - {0, 1, 2, 7, 8}
+    assert {r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()} == set(range(10)) - {0, 1, 2, 7, 8, 9}
     assert decontaminate.contaminated(empty(spark), bench).isEmpty() and decontaminate.contaminated(docs, bench.limit(0)).isEmpty()
     assert decontaminate.contaminated(with_edges(spark, texts), bench).count() == len(want) + 1
 
