@@ -180,3 +180,30 @@ def body_limit(message: Column) -> Column:
     """The limit that a message announces, else 0."""
     found = F.regexp_extract(F.lower(message), "body exceeded size limit ([0-9]+)", 1)
     return F.coalesce(found.try_cast("long"), F.lit(0).cast("long"))
+
+
+def report_has_error(report: Column) -> Column:
+    """Whether a checker's report has a line that tells of real damage; dangling objects and warnings don't."""
+    lines = F.transform(F.split(report, "\n"), lambda x: F.lower(F.regexp_replace(x, r"^\s+", "")))
+    starts = ("error", "fatal", "missing ", "broken link", "bad ")
+    return F.exists(lines, lambda x: _any([x.startswith(s) for s in starts]))
+
+
+def short_host(host: Column, width: int = 30) -> Column:
+    """A host name cut to `width`: its last two labels stay, with as much of the front as fits."""
+    apex = F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)
+    room = F.lit(width - 1) - F.length(apex)
+    front = F.concat(F.substring(host, F.lit(1), room), F.lit("…"), apex)
+    cut = F.concat(F.substring(host, 1, max(width - 1, 0)), F.lit("…"))
+    return F.when((F.length(host) <= width) | F.lit(width <= 0), host).when((apex != "") & (room >= 1), front).otherwise(cut)
+
+
+def rate_text(size: Column, active_us: Column) -> Column:
+    """Average bytes a second as text; `0 B/s` for spans under 50 ms and for nothing sent."""
+    rate = (size.cast("double") / (active_us.cast("double") / F.lit(1e6))).cast("long")
+    return F.when((active_us < 50_000) | (size <= 0), "0 B/s").otherwise(F.concat(human_bytes(rate), F.lit("/s")))
+
+
+def epoch_time(text: Column) -> Column:
+    """The time that an epoch in text names; blank or unreadable text is second 0."""
+    return F.timestamp_seconds(F.coalesce(text.try_cast("long"), F.lit(0).cast("long")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import refs as R
+
 #: Samples in a rate window, and spans in microseconds under which a rate means nothing or a side counts as idle (fixed values).
 SAMPLES, LEAST_SPAN, IDLE = 10, 50_000, 750_000
 
@@ -72,3 +74,19 @@ def bench_summary(runs: DataFrame) -> DataFrame:
 
 def type_counts(objects: DataFrame) -> DataFrame:
     return objects.groupBy("type").agg(F.count("*").alias("objects"))
+
+
+def side_lines(sides: DataFrame, fallback_us: int, finished: bool = False) -> DataFrame:
+    """(label, line) for rows (label, display, bytes, active_us, idle_us, instant): host, bytes and rate, the flow arrow on its side.
+
+    A side that moves shows its instant rate; one that is idle or finished its average, and a mark.
+    """
+    name = R.short_host(F.when(F.coalesce("display", F.lit("")) == "", F.col("label")).otherwise(F.col("display")))
+    done = (F.col("bytes") > 0) & (F.lit(finished) | (F.col("idle_us") >= IDLE))
+    span = F.when(F.col("active_us") > 0, F.col("active_us")).otherwise(F.lit(fallback_us))
+    average = R.rate_text(F.col("bytes"), span)
+    speed = F.when(~done & (F.col("instant") > 0), F.concat(R.human_bytes(F.col("instant").cast("long")), F.lit("/s"))).otherwise(average)
+    rate = F.concat(R.human_bytes(F.col("bytes")), F.lit(" @ "), speed, F.when(done, " ✓").otherwise(""))
+    arrow = F.lit(" → ")
+    line = F.when(F.col("label") == "source", F.concat(name, arrow, rate)).when(F.col("label") == "target", F.concat(rate, arrow, name)).otherwise(F.concat(name, F.lit(": "), rate))
+    return sides.select("label", line.alias("line"))

@@ -677,6 +677,32 @@ def header_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "events").select("event_id", R.header_count(header).alias("objects"))
 
 
+def _human(x: str) -> str:
+    """SQL for `human_bytes`, up to gigabytes."""
+    digits = lambda v: f"CASE WHEN {v} >= 100 THEN printf('%.0f', {v}) WHEN {v} >= 10 THEN printf('%.1f', {v}) ELSE printf('%.2f', {v}) END"
+    steps = " ".join(f"WHEN {x} < {1024 ** (k + 1)} THEN {digits(f'(CAST({x} AS DOUBLE) / {1024**k}.0::DOUBLE)')} || ' {u}'" for k, u in enumerate(("KB", "MB", "GB"), 1))
+    return f"CASE WHEN {x} < 1024 THEN {x} || ' B' {steps} END"
+
+
+# Progress lines
+@query(f"""WITH g AS (SELECT event_type AS label, CAST(sum(event_id % 1000) AS BIGINT) AS bytes, CAST(count(*) * 7919 AS BIGINT) AS active_us, CAST(count(*) % 2 * 1000000 AS BIGINT) AS idle_us FROM events GROUP BY 1),
+r AS (SELECT *, CASE WHEN idle_us >= 750000 THEN CAST(trunc(CAST(bytes AS DOUBLE) / (CAST(active_us AS DOUBLE) / 1e6)) AS BIGINT) ELSE bytes // 3 END AS speed FROM g)
+SELECT label, left('cache-node-17.' || label || '.eu.example-cdn.com', 14) || '…example-cdn.com: ' || {_human('bytes')} || ' @ ' || {_human('speed')} || '/s' || CASE WHEN idle_us >= 750000 THEN ' ✓' ELSE '' END AS line FROM r""")
+def side_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.transfer_log(spark, sf_dir).groupBy("label").agg(F.sum("bytes").alias("bytes"), (F.count("*") * 7919).alias("active_us"), (F.count("*") % 2 * 1_000_000).alias("idle_us"))
+    g = g.withColumn("display", F.concat(F.lit("cache-node-17."), "label", F.lit(".eu.example-cdn.com")))
+    return transfer.side_lines(g.withColumn("instant", F.call_function("div", F.col("bytes"), F.lit(3).cast("long"))), 1)
+
+
+# Checker reports, and epochs in text
+@query("""SELECT event_id, event_id % 6 IN (0, 1, 2, 3) AS damaged, CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id END AS BIGINT) AS epoch FROM events""")
+def checker_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    report = F.when(e % 6 == 0, "ok\n  ERROR: x").when(e % 6 == 1, "fatalInTree: y").when(e % 6 == 2, "missing blob 12\n").when(e % 6 == 3, "notice\n\tbroken link from a").when(e % 6 == 4, "dangling commit\nwarning: bad date").otherwise("")
+    time = R.epoch_time(F.when(e % 8 == 0, "").when(e % 4 == 0, "soon").otherwise(e.cast("string")))
+    return D.table(spark, sf_dir, "events").select("event_id", R.report_has_error(report).alias("damaged"), F.unix_seconds(time).alias("epoch"))
+
+
 # Per-side totals as a stream (Spark capability)
 @query("SELECT event_type AS label, CAST(sum(event_id % 1000) AS BIGINT) AS bytes, count(*) AS samples FROM events GROUP BY 1")
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
