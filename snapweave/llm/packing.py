@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textbits import LOWER, SPACE, blocks, prefix_sums, span_hashes, text_buffers
+from .textbits import LOWER, SPACE, U64, blocks, prefix_sums, span_hashes, text_buffers
 
 
 @dataclass(frozen=True)
@@ -40,27 +40,58 @@ class PackingConfig:
 REST = "rest"
 
 
+@dataclass(frozen=True)
+class Words:
+    """Encoded words as arrays in order of their hashes; `heads` are their first eight bytes, `begins` and `sizes` say where in `pool` their ids are."""
+
+    keys: np.ndarray
+    heads: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+    pool: np.ndarray
+
+    @classmethod
+    def none(cls, kind: np.dtype) -> Words:
+        return cls(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, kind))
+
+    def find(self, keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, is it the word?) for every key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, (self.keys[at] == keys) & (self.heads[at] == heads)
+
+    def plus(self, keys: np.ndarray, heads: np.ndarray, ids: list[np.ndarray]) -> Words:
+        """With these words too; they replace others with the same hash."""
+        sizes = np.array([len(x) for x in ids], np.int32)
+        begins = len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes
+        merged = np.concatenate([keys, self.keys])
+        order = np.argsort(merged, kind="stable")
+        order = order[np.append(True, merged[order[1:]] != merged[order[:-1]])]
+        both = (np.concatenate(x)[order] for x in ((heads, self.heads), (begins, self.begins), (sizes, self.sizes)))
+        return Words(merged[order], *both, np.concatenate([self.pool, *ids]))
+
+
 class WordCache:
     """Encoded words in two generations: when the young one is full it becomes the old one, and words that are used again move back."""
 
-    def __init__(self) -> None:
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def of(self, words: list[bytes], most: int, encode: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
-        if len(self.young) + len(words) > most:
-            self.young, self.old = {}, self.young
-        young, missing = self.young, []
-        for w in words:
-            if w not in young:
-                known = self.old.get(w)
-                if known is None:
-                    missing.append(w)
-                else:
-                    young[w] = known
-        if missing:
-            young.update(zip(missing, encode(missing), strict=True))
-        return [young[w] for w in words]
+    def __init__(self, kind: np.dtype) -> None:
+        self.kind, self.young, self.old = kind, Words.none(kind), Words.none(kind)
+
+    def of(self, keys: np.ndarray, heads: np.ndarray, most: int, encode: Callable[[np.ndarray], list[np.ndarray]]) -> tuple[np.ndarray, Words]:
+        """Rows of these distinct words in the young generation, and that; `encode` gives the ids of the words at these places."""
+        if len(self.young.keys) + len(keys) > most:
+            self.young, self.old = Words.none(self.kind), self.young
+        at, known = self.young.find(keys, heads)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            row, had = self.old.find(keys[rest], heads[rest])
+            old, back, new = self.old, rest[had], rest[~had]
+            ids = [old.pool[a : a + n] for a, n in zip(old.begins[row[had]].tolist(), old.sizes[row[had]].tolist(), strict=True)]
+            found = np.concatenate([back, new])
+            self.young = self.young.plus(keys[found], heads[found], [*ids, *encode(new)])
+            at, _ = self.young.find(keys, heads)
+        return at, self.young
 
 
 _encoders: dict[str, tuple] = {}
@@ -74,7 +105,7 @@ def _encoder(path: str) -> tuple:
 
         tokenizer = Tokenizer.from_file(path)
         kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        _encoders[path] = (tokenizer, kind, WordCache())
+        _encoders[path] = (tokenizer, kind, WordCache(kind))
     return _encoders[path]
 
 
@@ -102,16 +133,21 @@ def encode_block(data: np.ndarray, cuts: np.ndarray, config: PackingConfig) -> l
     nothing = np.append(np.flatnonzero(~solid), len(data))
     limit = np.minimum(nothing[np.searchsorted(nothing, start)], np.append(start[1:], len(data)))
     end = np.minimum(limit, cuts[np.searchsorted(cuts, start, "right")])
-    _, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
-    found = [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-    encode = lambda new: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-    known = cache.of(found, config.cache_words, encode)
-    pool = np.frombuffer(b"".join(known), kind)
-    sizes = np.array([len(x) for x in known], np.int64) // kind.itemsize
-    begins = np.cumsum(sizes) - sizes
-    lengths = sizes[inverse]
+    keys, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+    low, high = start[index], end[index]
+    heads = np.zeros(len(index), U64)
+    for k in range(8):
+        heads = (heads << U64(8)) | np.where(low + k < high, data[np.minimum(low + k, len(data) - 1)], 0).astype(U64)
+
+    def encode(places: np.ndarray) -> list[np.ndarray]:
+        new = [raw[a:b].decode() for a, b in zip(low[places].tolist(), high[places].tolist(), strict=True)]
+        return [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    rows, known = cache.of(keys, heads, config.cache_words, encode)
+    rows = rows[inverse]
+    pool, lengths = known.pool, known.sizes[rows].astype(np.int64)
     ends = np.cumsum(lengths)
-    at = np.repeat(begins[inverse] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    at = np.repeat(known.begins[rows] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
     ids = pool[at]
     bounds = np.concatenate([[0], ends])[np.searchsorted(start, cuts)]
     return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
