@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare word n-grams seed candidate passages, Smith-Waterman alignment scores them.
-
-Document frequencies of the test items' n-grams are counted over all documents; of the n-grams that occur,
-each item keeps the rarer half as seeds. Seeds found in a document give diagonals; windows around them are aligned
-with the item word by word, so edited, shortened and reordered copies score by how much of the item they
-still hold. Items are sent to the tasks in slices of at most `slice_bytes`, each slice being one pass over
-the documents, so what is sent is bounded whatever the number of items.
+"""Benchmark decontamination: word n-grams seed candidate passages, Smith-Waterman alignment scores them.
+
+Every n-gram of an item is a seed, however common. Seeds found in a document give diagonals; the windows around
+them hold any alignment through the seed that reaches the threshold, so edited, shortened and reordered copies
+score by how much of the item they still hold. Upper bounds on the score, from the words that document and item
+share, leave few windows to align and lose none that could reach the threshold. Items are sent to the tasks in
+slices of at most `slice_bytes`, each slice being one pass over the documents, so what is sent is bounded
+whatever the number of items.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,40 +39,47 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], width: int) -> None:
         self.width, self.vocabulary, self.cache = width, {}, {}
-        self.ids, self.words = [], []
-        codes, owner, place = [], [], []
+        self.ids, self.words, self.grams = [], [], []
+        owner = []
         for item_id, text in rows:
             found = [w for w in (bare_word(x) for x in (text or "").encode().split()) if w]
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64)
             if not len(numbers):
                 continue
             grams = gram_codes(numbers, width)
-            codes.append(grams)
             owner.append(np.full(len(grams), len(self.ids)))
-            place.append(np.arange(len(grams)))
             self.ids.append(item_id)
             self.words.append(numbers)
-        self.codes = np.concatenate(codes) if codes else np.zeros(0, U64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
-        self._sort()
-
-    def _sort(self) -> None:
+            self.grams.append(grams)
+        self.codes = np.concatenate(self.grams) if self.grams else np.zeros(0, U64)
         order = np.argsort(self.codes, kind="stable")
-        self.codes, self.owner, self.place = self.codes[order], self.owner[order], self.place[order]
+        self.codes, self.owner = self.codes[order], (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
+        self.sizes = np.array([len(x) for x in self.words], np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flags = np.zeros(len(self.vocabulary) + 1, bool)  # last: words of no item, whose number is -1
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Of each item's n-grams that occur at all, only the rarer half stays, ties included."""
-        df = np.array([frequency.get(int(c), 0) for c in self.codes.astype(np.int64)])
-        keep = np.zeros(len(df), bool)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero((self.owner == k) & (df > 0))
-            if len(mine):
-                keep[mine] = df[mine] <= np.sort(df[mine])[(len(mine) - 1) // 2]
-        self.codes, self.owner, self.place = self.codes[keep], self.owner[keep], self.place[keep]
+    def candidates(self, codes: np.ndarray, numbers: np.ndarray, least: float) -> list[int]:
+        """Items that hold one of the distinct `codes` and of whose words at least the share `least` is in `numbers`."""
+        low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, "right")
+        owners = np.unique(self.owner[ranges(low, high - low)])
+        sizes = self.sizes[owners]
+        self.flags[numbers] = True
+        self.flags[-1] = False
+        known = self.flags[self.flat[ranges(self.begins[owners], sizes)]]
+        self.flags[numbers] = False
+        found = np.add.reduceat(known.astype(np.int64), np.cumsum(sizes) - sizes)
+        return owners[found / sizes >= least].tolist()
+
+    def shared(self, owner: int, numbers: np.ndarray) -> np.ndarray:
+        """Which of `numbers` are words of the item."""
+        self.flags[self.words[owner]] = True
+        out = self.flags[numbers]
+        self.flags[self.words[owner]] = False
+        return out
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Vocabulary numbers of raw words: -1 for other words, -2 for those without a letter or digit."""
@@ -132,6 +139,25 @@ def gram_codes(numbers: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def stretches(shared: np.ndarray, least: float, config: DecontaminationConfig) -> list[tuple[int, int]]:
+    """Stretches (first word, end) outside which no alignment scores `least`, where `shared` tells the item's words.
+
+    A word of the document adds at most `match` to a score if the item has it, and costs a mismatch or a gap
+    if not; every alignment lies where the running sum of that, restarted at 0, is above 0.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(shared, config.match, max(config.mismatch, config.gap)))])
+    rise = total - np.minimum.accumulate(total)
+    cuts = np.append(np.flatnonzero(rise == 0), len(rise))
+    peaks = np.maximum.reduceat(rise, cuts[:-1])
+    return [(int(cuts[k]), int(cuts[k + 1]) - 1) for k in np.flatnonzero(peaks >= least)]
+
+
 def align(item: np.ndarray, window: np.ndarray, config: DecontaminationConfig) -> tuple[int, int, int]:
     """Best local alignment (Smith-Waterman, linear gaps): (score, first and last window word)."""
     n = len(window)
@@ -157,19 +183,6 @@ def align(item: np.ndarray, window: np.ndarray, config: DecontaminationConfig) -
     return best
 
 
-def _frequencies(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: dict[int, int] = defaultdict(int)
-            for _, numbers, _, hits in items.documents(batch.column("text")):
-                grams = gram_codes(numbers, items.width)
-                for code in np.unique(grams[hits]).astype(np.int64).tolist():
-                    total[code] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["code", "n"])
-
-    return run
-
-
 def _matches(items: Items, config: DecontaminationConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,25 +190,26 @@ def _matches(items: Items, config: DecontaminationConfig):
             ids = batch.column("doc_id").to_pylist()
             for row, numbers, at, hits in items.documents(batch.column("text")):
                 grams = gram_codes(numbers, items.width)
-                diagonals: dict[int, list[int]] = defaultdict(list)
-                low, high = np.searchsorted(items.codes, grams[hits]), np.searchsorted(items.codes, grams[hits], "right")
-                for hit, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for k in range(a, b):
-                        diagonals[int(items.owner[k])].append(hit - int(items.place[k]))
-                for owner, starts in diagonals.items():
+                order = hits[np.argsort(grams[hits], kind="stable")]
+                codes = grams[order]
+                for owner in items.candidates(np.unique(codes), numbers, config.threshold):
                     words = items.words[owner]
-                    size, slack = len(words), max(4, len(words) // 3)
-                    starts = np.unique(starts)
-                    groups = np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1)
+                    size = len(words)
+                    full = config.match * size
+                    drift = int(full * (1 - config.threshold) / -config.gap) + 1  # more gaps cost too much
+                    low, high = np.searchsorted(codes, items.grams[owner]), np.searchsorted(codes, items.grams[owner], "right")
+                    starts = np.unique(order[ranges(low, high - low)] - np.repeat(np.arange(len(low)), high - low))
                     best = (0.0, 0, 0)
-                    for group in groups:
-                        a, b = max(0, int(group[0]) - slack), min(len(numbers), int(group[-1]) + size + slack)
-                        if np.isin(words, numbers[a:b]).sum() < config.threshold * size:
-                            continue  # no alignment can score more than the item's words found here
-                        score, first, last = align(words, numbers[a:b], config)
-                        share = score / (config.match * size)
-                        if share > best[0]:
-                            best = (share, int(at[a + first]), int(at[a + last]) + 1)
+                    for group in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+                        a, b = max(0, int(group[0]) - drift), min(len(numbers), int(group[-1]) + size + drift)
+                        for c, d in stretches(items.shared(owner, numbers[a:b]), config.threshold * full - 1e-9, config):
+                            c, d = a + c, a + d
+                            if np.isin(words, numbers[c:d]).sum() / size < config.threshold:
+                                continue  # no alignment can score more than the item's words found here
+                            score, first, last = align(words, numbers[c:d], config)
+                            share = score / full
+                            if share > best[0]:
+                                best = (share, int(at[c + first]), int(at[c + last]) + 1)
                     if best[0] >= config.threshold:
                         out.append((ids[row], items.ids[owner], *best))
             columns = zip(*out, strict=True) if out else [()] * 5
@@ -233,8 +247,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     found = spark.createDataFrame([], schema)
     for rows in _slices(benchmark, config.slice_bytes):
         items = Items(rows, config.seed_words)
-        counted = source.select("text").mapInArrow(_frequencies(items), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        items.keep_rare({r.code: r.n for r in counted.collect()})  # as many rows as the slice has n-grams
         found = found.unionByName(scratch.save(source.mapInArrow(_matches(items, config), schema), "matches"))
     return found
 

@@ -301,6 +301,32 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(with_edges(spark, texts), bench).count() == len(want) + 1
 
 
+def test_decontamination_of_exact_and_edited_copies_together(spark):
+    rng = random.Random(21)
+    items = {k: sentence(rng, n, 3000) for k, n in enumerate([30, 38, 48, 40])}
+    edit = lambda t, every: " ".join("edited" if k % every == every - 1 else w for k, w in enumerate(t.split()))
+    noise = lambda: sentence(rng, 40, 3000)
+    texts, want = [], set()
+    for k, item in items.items():
+        for copy in [item, edit(item, 4), edit(item, 5)] + [edit(item, 4)] * 3 + [item] * (k % 2):
+            want.add((len(texts), k))
+            texts.append(noise() + " " + copy + " " + noise())
+    texts += [noise() + " " + " ".join(items[0].split()[:8]) + " " + noise() for _ in range(5)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, texts), bench).collect()} == want
+
+
+def test_decontamination_bounds_lose_no_alignment():
+    rng = random.Random(22)
+    config = decontaminate.DecontaminationConfig()
+    for _ in range(300):
+        item, text = (np.array([rng.randrange(9) for _ in range(rng.randrange(1, n))]) for n in (12, 60))
+        score = decontaminate.align(item, text, config)[0]
+        if score:
+            parts = decontaminate.stretches(np.isin(text, item), score, config)
+            assert max(decontaminate.align(item, text[a:b], config)[0] for a, b in parts) == score
+
+
 def test_alignment_equals_plain():
     rng = random.Random(11)
     config = decontaminate.DecontaminationConfig()
