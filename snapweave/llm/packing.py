@@ -28,7 +28,7 @@ from .textbits import LOWER, SPACE, U64, blocks, prefix_sums, span_hashes, text_
 
 @dataclass(frozen=True)
 class PackingConfig:
-    """Vocabulary file, id that closes a document, tokens of a window, and target weights by source (None: as in the corpus)."""
+    """Vocabulary file, id that closes a document, tokens of a window, and target weights by source (None: as in the corpus; `rest`: of every source without one of its own, else 0)."""
 
     tokenizer: str
     end_id: int = 2
@@ -260,9 +260,10 @@ def _pieces(phases: list[Phase], window: int, kind: np.dtype):
 def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have the closing id alone. A null source is a queue of its own; sources owed less
-    than one token of a window share the queue `rest` (and with it the smallest other queue, if even that is
-    owed less), so at most `window` names come to the driver. Rows that repeat a doc_id and null ids are
+    Null and empty texts have the closing id alone. A null source is a queue of its own, and so is every source
+    with a stated weight. Of the others, sources owed less than one token of a window share the queue `rest` (and
+    with it the smallest other of them, if even that is owed less), which has their weights' sum, so at most
+    `window` names besides the stated ones come to the driver. Rows that repeat a doc_id and null ids are
     documents like any other. Only the last window has room left. Other columns are ignored; an empty
     table gives an empty result.
     """
@@ -274,17 +275,29 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     tokens = scratch.save(rows.mapInArrow(_tokenize(config), schema), "tokens")
     parts = scratch.save(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "totals")
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    owed = parts.groupBy("queue").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(-(-total // config.window)))
-    own = {r.queue: r.n for r in owed.collect()}  # at most `window` rows
-    totals = dict(own)
-    rest = total - sum(own.values())
-    if rest:
-        if rest * config.window < total and own:
-            smallest = min(own, key=lambda k: (own[k], k))
-            rest += own.pop(smallest)
-            totals.pop(smallest)
-        totals[REST] = rest
-    weights = None if config.weights is None else {k if k == REST else f"s:{k}": w for k, w in config.weights.items()}
+    stated = {f"s:{k}": Fraction(str(w)) for k, w in (config.weights or {}).items() if k != REST}
+    other = Fraction(str((config.weights or {}).get(REST, 0)))
+    sizes = parts.groupBy("queue").agg(F.sum("n").alias("n"))
+    named = {r.queue: r.n for r in sizes.where(F.col("queue").isin(list(stated))).collect()} if stated else {}
+    free = sizes.where(~F.col("queue").isin(list(named))) if named else sizes
+    rest = total - sum(named.values())  # tokens of the sources without a stated weight
+    if other:  # equal targets: all are owed a token of a window, or none
+        count = free.count()
+        enough = config.window * other >= sum(stated[k] for k in named) + count * other
+        own = {r.queue: r.n for r in free.collect()} if enough else {}
+    else:  # served as in the corpus, all the time or once the stated sources have run out
+        own = {r.queue: r.n for r in free.where(F.col("n") >= F.lit(-(-rest // config.window))).collect()}  # at most `window` rows
+    left = rest - sum(own.values())
+    if left and left * config.window < rest and own and not other:
+        smallest = min(own, key=lambda k: (own[k], k))
+        left += own.pop(smallest)
+    weights = None
+    if config.weights is not None:
+        weights = {k: stated.get(k, other) for k in [*named, *own]}
+        if left:
+            weights[REST] = other * (free.count() - len(own))
+    own |= named
+    totals = own | ({REST: left} if left else {})
     phases = schedule(totals, weights)
     name = F.when(F.col("queue").isin(list(own)), F.col("queue")).otherwise(F.lit(REST)) if own else F.lit(REST)
     parts = parts.withColumn("queue_name", name)

@@ -480,6 +480,26 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark), packing.PackingConfig(path)).isEmpty()
 
 
+@pytest.mark.parametrize("weights, first", [({"a": 1, "b": 1}, "ab"), ({"a": 1, "c": 1}, "ac"), ({"a": 1, "rest": 1}, "abc"), ({"a": 1, "b": 1, "rest": 0.0001}, "ab")])
+def test_stated_weights_hold_beside_a_tiny_source(spark, weights, first):
+    rng = random.Random(23)
+    source = {k: "a" if k < 30 else "b" if k < 40 else "c" for k in range(41)}
+    texts = [sentence(rng, 90) if k < 40 else "x" for k in range(41)]
+    docs = documents(spark, texts).drop("source").join(spark.createDataFrame(list(source.items()), "doc_id long, source string"), "doc_id")
+    rows = packing.pack(docs, packing.PackingConfig(tokenizer_path("word_bpe_49k.json"), window=256, weights=weights)).collect()
+    sizes = {r.doc_id: r.doc_tokens for r in rows}
+    assert sum(r.length for r in rows) == sum(sizes.values()) and sizes[40] * 256 < sum(sizes.values())
+    window = Counter()
+    for r in rows:
+        if r.sequence_id == 0:
+            window[source[r.doc_id]] += r.length
+    assert set(window) == set(first)
+    if "b" in first:
+        assert abs(window["a"] - window["b"]) <= 2
+    else:
+        assert window["c"] == sizes[40]
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 1, "c": 2}, {"a": 0.5}])
 def test_mixture_is_kept(weights):
     totals = {"a": 5000, "b": 20_000, "c": 1500}
