@@ -12,15 +12,31 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+#: Pieces that stand for a text over the bound (fixed value).
+PIECES = 8
+
+
+def excerpt(max_bytes: int) -> Column:
+    """`text`, or if it is over `max_bytes` about as many bytes of whole words in pieces spread evenly from its start to its end."""
+    n = F.length("text").cast("long")
+    size = F.greatest(F.floor(n * F.lit(max_bytes) / F.octet_length("text") / PIECES), F.lit(1)).cast("int")
+    parts = []
+    for k in range(PIECES):
+        start = F.floor((n - size) * F.lit(k) / (PIECES - 1)).cast("int") + 1
+        edges = [r"^\S*\s"] * (k > 0) + [r"\s\S*$"] * (k < PIECES - 1)
+        parts.append(F.regexp_replace(F.substring(F.col("text"), start, size), "|".join(edges), ""))
+    return F.when(F.octet_length("text") <= max_bytes, F.col("text")).otherwise(F.concat_ws("\n", *parts))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, rows: int, max_bytes: int) -> list[tuple[str, int]]:
-    """About `rows` (text, label) at most, in order of a hash of doc_id; none from fold `held_out`, none with a null label, none longer than `max_bytes`.
+    """About `rows` (text, label) at most, in order of a hash of doc_id; none from fold `held_out`, none with a null label; of texts over `max_bytes`, an excerpt.
 
     Only the ids of the sample are sent to the documents, so no text is shuffled.
     """
     usable = labels.where(F.col(column).isin(0, 1) & (fold(modulus) != held_out)).select("doc_id", F.col(column).cast("int").alias("label")).dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(rows)
-    return [(r.text, r.label) for r in found.select("text", "label").collect()]
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(rows)
+    return [(r.text, r.label) for r in found.select(excerpt(max_bytes).alias("text"), "label").collect()]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

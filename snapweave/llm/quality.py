@@ -135,11 +135,13 @@ class ByteNetwork:
 
 
 def fit_quality(sample: list[tuple[str, int]], config: QualityConfig) -> ByteNetwork:
-    """A network trained on (text, label) pairs; with no pairs it stays as initialised."""
+    """A network trained on (text, label) pairs; with no pairs, all scores are 0.5."""
     network = ByteNetwork(config)
     if sample:
         texts = [symbols(raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]), config.lags) for text, _ in sample]
         network.train(texts, np.array([label for _, label in sample], np.float32))
+    else:
+        network.out[:] = 0
     return network
 
 
@@ -160,7 +162,7 @@ def _score(network: ByteNetwork):
 def quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Whole texts are scored; training takes `sample_rows` labelled documents of at most `sample_bytes`. Null
+    Whole texts are scored; training takes `sample_rows` labelled documents, in excerpts of about `sample_bytes` where they are longer. Null
     and empty texts are one chunk of padding. A null doc_id is not held out. Rows that repeat a doc_id are
     scored each. Labels other than 0 and 1 are ignored.
     """

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snapweave.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity
+from snapweave.llm import decontaminate, embedding_dedup, language_id, license_scan, labels, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity
 from snapweave.llm.common import connected_components
 from snapweave.llm.queries import tokenizer_path
 from snapweave.storage import Scratch
@@ -339,6 +339,25 @@ def test_alignment_equals_plain():
         assert decontaminate.align(np.array(a), np.array(b), config)[0] == max(map(max, h))
 
 
+# 4, 8: labelled samples
+
+
+def test_long_labelled_texts_are_learned_from_in_pieces(spark):
+    long = " ".join(f"wörd{k}" for k in range(3000))
+    docs = documents(spark, [long, "a short text", None] + [long] * 5)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    sample = labels.labelled_sample(docs, marks, "toxic", 4, 9, 8, 4000)
+    assert len(sample) == 7 and ("a short text", 1) in sample and sum(y for _, y in sample) == 4
+    words = long.split()
+    for text in (t for t, _ in sample if t != "a short text"):
+        assert len(text.encode()) <= 4000 and set(text.split()) <= set(words) and text.split()[0] == words[0] and text.split()[-1] == words[-1]
+        places = sorted(words.index(w) for w in text.split())
+        assert max(b - a for a, b in zip(places, places[1:], strict=False)) < 500 and len(places) > 300
+    huge = labels.labelled_sample(documents(spark, ["some words " * 30_000]), marks, "toxic", 4, 9, 8, 1 << 15)
+    assert [(30_000 < len(t) <= 1 << 15, y) for t, y in huge] == [(True, 0)]
+    assert (quality.fit_quality([], quality.QualityConfig()).out == 0).all()
+
+
 # 8: toxicity
 
 
