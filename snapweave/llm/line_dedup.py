@@ -4,8 +4,10 @@ The state under one folder has two kinds of tables. Reference tables hold, for e
 how many lines the document has of it; keys are 128-bit hashes. Filter tables hold, for each shard of the
 key space, the cuckoo filters of the keys that have references. Adding a batch asks the filters which of
 its keys may be known: only those, and keys that the batch itself repeats, are looked up in the exact
-tables; all other keys are new for certain. Removing documents removes their references, and the
-fingerprints of keys that lose their last one, so a removal undoes an addition exactly.
+tables; all other keys are new for certain. Every addition makes filters of a new generation, and each
+reference says which generation holds its key. Removing documents removes their references, and the
+fingerprints of keys that lose their last one from the filters of the key's own generation, so a removal
+undoes an addition exactly, whatever false positives the other filters have.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textbits import LOWER, SPACE, U64, blocks, mix, prefix_sums, span_hashes, text_buffers
+from .textbits import LOWER, SPACE, U64, blocks, digests, mix, text_buffers
 
 SLOTS = 4
 
@@ -87,21 +90,27 @@ class CuckooFilter:
         return False
 
     def remove(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Clear one fingerprint of every key that has one here; says which had."""
+        """Clear one fingerprint of every key that has one here; says which had.
+
+        Keys with one fingerprint that share a bucket share both, so which of their equal slots is cleared makes no odds.
+        """
         mark, bucket = self._places(low, high)
         done = np.zeros(len(mark), bool)
-        for k in range(len(mark)):
-            for b in (bucket[k], int(self._other(bucket[k : k + 1], mark[k : k + 1])[0])):
-                at = np.flatnonzero(self.table[b] == mark[k])
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    done[k] = True
-                    break
+        for side in (bucket, self._other(bucket, mark)):
+            left = np.flatnonzero(~done)
+            while len(left):
+                _, one = np.unique(side[left], return_index=True)  # one key a bucket and round
+                now = left[one]
+                hit = self.table[side[now]] == mark[now, None]
+                now, slot = now[hit.any(axis=1)], hit.argmax(axis=1)[hit.any(axis=1)]
+                self.table[side[now], slot] = 0
+                done[now] = True
+                left = np.delete(left, one)
         return done
 
 
-def line_keys(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document number, start, end, key low, key high, code points of the key) of every line of a block of texts."""
+def line_keys(data: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(document number, start, end, key low, key high, is the key long enough) of every line of a block of texts; short keys are 0."""
     breaks = np.flatnonzero(data == 10)
     owner = np.concatenate([np.arange(len(cuts) - 1), np.searchsorted(cuts, breaks, "right") - 1])
     start = np.concatenate([cuts[:-1], breaks + 1])
@@ -115,9 +124,10 @@ def line_keys(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
     before = np.searchsorted(solid, end) - 1
     last = np.maximum(np.where(before >= 0, solid[before] + 1, 0), first)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    small = LOWER[data]
-    low, high = (span_hashes(prefix_sums(small, k), first, last, k).astype(np.int64) for k in (0, 1))
-    return owner, start, end, low, high, points[last] - points[first]
+    long = points[last] - points[first] >= least
+    keys = np.zeros((len(owner), 2), np.int64)
+    keys[long] = digests(LOWER[data], first[long], last[long], 16).view(np.int64)
+    return owner, start, end, keys[:, 0], keys[:, 1], long
 
 
 def _references(least: int):
@@ -126,8 +136,7 @@ def _references(least: int):
             data, offsets = text_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, j in blocks(offsets):
-                owner, _, _, low, high, points = line_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                long = points >= least
+                owner, _, _, low, high, long = line_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], least)
                 owner, low, high = owner[long], low[long], high[long]
                 order = np.lexsort((high, low, owner))
                 owner, low, high = owner[order], low[order], high[order]
@@ -140,62 +149,70 @@ def _references(least: int):
     return run
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, a shard's old filters first: which keys need an exact look, and a filter of the others.
-
-    Kinds in: 0 a filter, 1 a key of the batch, 2 a key to insert unasked, 3 a key to take out.
+_KINDS = {"shard": pa.int32(), "kind": pa.int32(), "generation": pa.int32(), "low": pa.int64(), "high": pa.int64(), "repeated": pa.bool_(), "data": pa.binary()}
+_STATE = "shard int, kind int, generation int, low long, high long, repeated boolean, data binary"
+
+
+def _close(shard: int, made: int, filters: dict[int, CuckooFilter], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `_probe` gives for one shard; filters that change or are new are replaced in `filters`."""
+    schema = pa.schema(list(_KINDS.items()))
+    if held:
+        keys = pa.Table.from_batches(held)
+        kind, generation, low, high, repeated = (keys.column(x).to_numpy() for x in ("kind", "generation", "low", "high", "repeated"))
+        asked = kind == 1
+        known = np.zeros(len(kind), bool)
+        for one in filters.values():
+            known[asked] |= one.has(low[asked], high[asked])
+        for at, one in filters.items():
+            gone = (kind == 3) & (generation == at)
+            if not one.remove(low[gone], high[gone]).all():
+                raise ValueError(f"shard {shard}: a key to take out isn't in the filter of generation {at}")
+        fresh = (asked & ~known) | (kind == 2)
+        if fresh.any():
+            filters[made] = CuckooFilter.of(low[fresh], high[fresh])
+        tell = asked & (known | repeated)
+        n = int(tell.sum())
+        out = [np.full(n, shard), np.where(known[tell], 1, 2), np.full(n, made), low[tell], high[tell], repeated[tell], [None] * n]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _KINDS.values(), strict=True)], schema=schema)
+    for at, one in filters.items():
+        if one.table.any():
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "kind": 0, "generation": at, "data": one.to_bytes()}], schema=schema)
+
+
+def _probe(made: int):
+    """Rows sorted by shard, a shard's old filters first: which keys need an exact look, and a filter, of generation `made`, of the others.
+
+    Kinds in: 0 a filter, 1 a key of the batch, 2 a key to insert unasked, 3 a key to take out of its generation's filter.
     Kinds out: 0 a filter, 1 a key that may be known, 2 a key that only this batch repeats.
     """
-    names = ["shard", "kind", "low", "high", "repeated", "data"]
-    schema = pa.schema(list(zip(names, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)))
-
-    def close(shard: int, filters: list[CuckooFilter], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = pa.Table.from_batches(held) if held else None
-        if keys is not None:
-            kind, low, high, repeated = (keys.column(x).to_numpy() for x in ("kind", "low", "high", "repeated"))
-            known = np.zeros(len(kind), bool)
-            for one in filters:
-                known |= one.has(low, high)
-            known &= kind == 1
-            gone = np.flatnonzero(kind == 3)
-            for one in filters:
-                gone = gone[~one.remove(low[gone], high[gone])]
-            fresh = ((kind == 1) & ~known) | (kind == 2)
-            if fresh.any():
-                filters = [*filters, CuckooFilter.of(low[fresh], high[fresh])]
-            tell = (kind == 1) & (known | repeated)
-            n = int(tell.sum())
-            out = np.where(known[tell], 1, 2).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(out), pa.array(low[tell]), pa.array(high[tell]), pa.array(repeated[tell]), pa.nulls(n, pa.binary())], schema=schema)
-        for one in filters:
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "kind": 0, "data": one.to_bytes()}], schema=schema)
-
-    shard, filters, held = None, [], []
-    for batch in batches:
-        for now in np.unique(batch.column("shard").to_numpy()).tolist():
-            part = batch.filter(pa.array(batch.column("shard").to_numpy() == now))
-            if now != shard:
-                if shard is not None:
-                    yield from close(shard, filters, held)
-                shard, filters, held = now, [], []
-            old = part.column("kind").to_numpy() == 0
-            filters += [CuckooFilter.from_bytes(x) for x in part.column("data").filter(pa.array(old)).to_pylist()]
-            if not old.all():
-                held.append(part.select(["kind", "low", "high", "repeated"]).filter(pa.array(~old)))
-    if shard is not None:
-        yield from close(shard, filters, held)
-
-
-_STATE = "shard int, kind int, low long, high long, repeated boolean, data binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, filters, held = None, {}, []
+        for batch in batches:
+            for now in np.unique(batch.column("shard").to_numpy()).tolist():
+                part = batch.filter(pa.array(batch.column("shard").to_numpy() == now))
+                if now != shard:
+                    if shard is not None:
+                        yield from _close(shard, made, filters, held)
+                    shard, filters, held = now, {}, []
+                old = pa.array(part.column("kind").to_numpy() == 0)
+                known = part.filter(old)
+                filters |= {g: CuckooFilter.from_bytes(x) for g, x in zip(known.column("generation").to_pylist(), known.column("data").to_pylist(), strict=True)}
+                if known.num_rows < part.num_rows:
+                    held.append(part.select(["kind", "generation", "low", "high", "repeated"]).filter(pc.invert(old)))
+        if shard is not None:
+            yield from _close(shard, made, filters, held)
+
+    return run
 
 
 class LineDedup:
-    """The state of a deduplicated corpus; `keys_per_shard` bounds what one task holds of a batch."""
+    """The state of a deduplicated corpus; `keys_per_shard` bounds what one task holds of a batch, `most_generations` the filters of a shard."""
 
-    def __init__(self, spark: SparkSession, least: int = 10, keys_per_shard: int = 500_000) -> None:
+    def __init__(self, spark: SparkSession, least: int = 10, keys_per_shard: int = 500_000, most_generations: int = 16) -> None:
         self.scratch = Scratch(spark, "line-dedup")
-        self.spark, self.least, self.per_shard = spark, least, keys_per_shard
-        self.shards = 0
+        self.spark, self.least, self.per_shard, self.most = spark, least, keys_per_shard, most_generations
+        self.shards = self.rows = self.generation = self.oldest = 0
         self.references: DataFrame | None = None
         self.filters: DataFrame | None = None
         self.suspects: DataFrame | None = None
@@ -204,37 +221,61 @@ class LineDedup:
         return frame.withColumn("shard", F.pmod(F.xxhash64("high"), F.lit(self.shards)).cast("int"))
 
     def _through_filters(self, keys: DataFrame, label: str) -> DataFrame:
-        rows = self._shard(keys).select("shard", "kind", "low", "high", "repeated", F.lit(None).cast("binary").alias("data"))
+        """`_probe` of rows (low, high, kind, repeated, generation); filters that this makes get the next generation."""
+        self.generation += 1
+        rows = self._shard(keys).select("shard", "kind", "generation", "low", "high", "repeated", F.lit(None).cast("binary").alias("data"))
         if self.filters is not None:
             rows = rows.unionByName(self.filters)
         sent = rows.repartition(self.shards, "shard").sortWithinPartitions("shard", "kind")
-        return self.scratch.save(sent.mapInArrow(_probe, _STATE), label)
+        return self.scratch.save(sent.mapInArrow(_probe(self.generation), _STATE), label)
+
+    @staticmethod
+    def _keys(frame: DataFrame, kind: int, generation: Column | None = None) -> DataFrame:
+        return frame.select("low", "high", F.lit(kind).alias("kind"), F.lit(False).alias("repeated"), (F.lit(None).cast("int") if generation is None else generation).alias("generation"))
+
+    def compact(self) -> None:
+        """Make the filters anew from the exact references: one generation, in as many shards as the state's size asks for."""
+        self.shards, self.filters, self.oldest = max(8, -(-self.rows // self.per_shard)), None, self.generation
+        self.filters = self._through_filters(self._keys(self.references.select("low", "high").distinct(), 2), "filters").where("kind = 0")
+        self.references = self.references.withColumn("generation", F.lit(self.generation))
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents (doc_id, text) that the state doesn't hold. Rows with a null doc_id are left out."""
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
         batch = self.scratch.save(texts.mapInArrow(_references(self.least), "low long, high long, doc_id long, n long"), "references")
-        if not self.shards:
-            self.shards = max(8, -(-batch.count() // self.per_shard))
-        keys = batch.groupBy("low", "high").agg((F.min("doc_id") < F.max("doc_id")).alias("repeated")).withColumn("kind", F.lit(1))
-        told = self._through_filters(keys, "probed")
-        known = told.where("kind = 1").select("low", "high")
+        self.rows += batch.count()
+        if self.references is None:
+            self.shards = max(8, -(-self.rows // self.per_shard))
+        elif self.rows > 4 * self.shards * self.per_shard or self.generation - self.oldest >= self.most:
+            self.compact()
+        keys = batch.groupBy("low", "high").agg((F.min("doc_id") < F.max("doc_id")).alias("repeated"))
+        told = self._through_filters(keys.withColumn("kind", F.lit(1)).withColumn("generation", F.lit(None).cast("int")), "probed")
+        fresh, generation = F.lit(self.generation), F.lit(self.generation)
         self.filters = told.where("kind = 0")
         if self.references is not None:
-            missed = known.join(self.references, ["low", "high"], "left_anti").select("low", "high", F.lit(False).alias("repeated"), F.lit(2).alias("kind"))
-            self.filters = self._through_filters(missed, "filters").where("kind = 0")
+            asked = told.where("kind = 1").select("low", "high")
+            held = self.references.join(asked, ["low", "high"], "left_semi").groupBy("low", "high").agg(F.first("generation").alias("generation"))
+            told_of = self.scratch.save(asked.join(held, ["low", "high"], "left"), "asked")
+            self.filters = self._through_filters(self._keys(told_of.where("generation is null"), 2), "filters").where("kind = 0")
+            generation = F.when(F.col("asked"), F.coalesce("generation", F.lit(self.generation))).otherwise(fresh)
+            batch = batch.join(told_of.withColumn("asked", F.lit(True)), ["low", "high"], "left")
         suspects = told.where("kind > 0").select("low", "high")
         self.suspects = suspects if self.suspects is None else self.suspects.unionByName(suspects)
-        self.references = batch if self.references is None else self.references.unionByName(batch)
+        batch = batch.select("low", "high", "doc_id", "n", generation.cast("int").alias("generation"))
+        if self.references is not None:
+            batch = self.references.unionByName(self.scratch.save(batch, "references"))
+        self.references = batch
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents whose ids `doc_ids` (doc_id) lists; unknown ids change nothing."""
+        if self.references is None:
+            return
         ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        kept = self.scratch.save(self.references.join(ids, "doc_id", "left_anti").select("low", "high", "doc_id", "n"), "references")
-        touched = self.references.join(ids, "doc_id", "left_semi").select("low", "high").distinct()
-        lost = touched.join(kept, ["low", "high"], "left_anti").select("low", "high", F.lit(False).alias("repeated"), F.lit(3).alias("kind"))
-        self.filters = self._through_filters(lost, "filters").where("kind = 0")
-        self.references = kept
+        kept = self.scratch.save(self.references.join(ids, "doc_id", "left_anti").select("low", "high", "doc_id", "n", "generation"), "references")
+        touched = self.references.join(ids, "doc_id", "left_semi").select("low", "high", "generation").distinct()
+        lost = touched.join(kept, ["low", "high"], "left_anti")
+        self.filters = self._through_filters(self._keys(lost, 3, F.col("generation")), "filters").where("kind = 0")
+        self.references, self.rows = kept, kept.count()
 
     def reference_counts(self) -> DataFrame:
         """(low, high, documents, lines, first_doc) of every key: the exact counts behind the filters."""
@@ -257,25 +298,29 @@ class LineDedup:
         """
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         joined = texts.join(self.dropped().hint("merge"), "doc_id", "left").select("doc_id", "text", "lows", "highs")
-        return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        return joined.mapInArrow(_digest(self.least), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """`docs` with the lines that go taken out of `text`, and n_chars, where there is one, counted again; null texts stay null."""
-        lost = self.dropped().select(F.col("doc_id").alias("_doc_id"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs")).hint("merge")
-        joined = docs.join(lost, docs["doc_id"].cast("long") == lost["_doc_id"], "left").drop("_doc_id")
-        names = docs.columns
+        names, least = docs.columns, self.least
+        free = "lost"
+        while free in names:  # a name that no column of the documents has
+            free += "_"
+        lost = self.dropped().select(F.struct("doc_id", "lows", "highs").alias(free)).hint("merge")
+        joined = docs.join(lost, docs["doc_id"].cast("long") == lost[free]["doc_id"], "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kept = [None if text is None else body.decode() for text, (_, _, body) in zip(batch.column("text").to_pylist(), _kept(batch.column("text"), batch.column("_lows"), batch.column("_highs")), strict=True)]
+                _, lows, highs = batch.column(free).flatten()
+                kept = [None if text is None else body.decode() for text, (_, _, body) in zip(batch.column("text").to_pylist(), _kept(batch.column("text"), lows, highs, least), strict=True)]
                 columns = [pa.array(kept, pa.string()) if name == "text" else batch.column(name) for name in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         out = joined.mapInArrow(run, docs.schema)
-        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-def _kept(column: pa.Array, lows: pa.Array, highs: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+def _kept(column: pa.Array, lows: pa.Array, highs: pa.Array, least: int) -> Iterator[tuple[int, int, bytes]]:
     """(lines, dropped lines, what stays) of every text, given the keys it loses."""
     data, offsets = text_buffers(column)
     for i in range(len(column)):
@@ -283,19 +328,22 @@ def _kept(column: pa.Array, lows: pa.Array, highs: pa.Array) -> Iterator[tuple[i
         text, gone = whole.tobytes(), 0
         n_lines = text.count(b"\n") + 1
         if lows[i].is_valid:
-            _, start, end, low, high, _ = line_keys(whole, np.array([0, len(whole)]))
+            _, start, end, low, high, _ = line_keys(whole, np.array([0, len(whole)]), least)
             lost = set(zip(lows[i].values.to_pylist(), highs[i].values.to_pylist(), strict=True))
             stay = [text[a:b] for a, b, x, y in zip(start.tolist(), end.tolist(), low.tolist(), high.tolist(), strict=True) if (x, y) not in lost]
             gone, text = len(start) - len(stay), b"\n".join(stay)
         yield n_lines, gone, text
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(n, gone, hashlib.sha256(text).hexdigest()) for n, gone, text in _kept(batch.column("text"), batch.column("lows"), batch.column("highs"))]
-        lists = zip(*rows, strict=True) if rows else [()] * 3
-        kinds = (pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(lists, kinds, strict=True))], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+def _digest(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, gone, hashlib.sha256(text).hexdigest()) for n, gone, text in _kept(batch.column("text"), batch.column("lows"), batch.column("highs"), least)]
+            lists = zip(*rows, strict=True) if rows else [()] * 3
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(lists, kinds, strict=True))], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+    return run
 
 
 def loaded(docs: DataFrame, least: int = 10) -> LineDedup:

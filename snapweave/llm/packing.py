@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textbits import LOWER, SPACE, U64, blocks, prefix_sums, span_hashes, text_buffers
+from .textbits import LOWER, SPACE, U64, blocks, text_buffers, word_hashes
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def encode_block(data: np.ndarray, cuts: np.ndarray, config: PackingConfig) -> l
     nothing = np.append(np.flatnonzero(~solid), len(data))
     limit = np.minimum(nothing[np.searchsorted(nothing, start)], np.append(start[1:], len(data)))
     end = np.minimum(limit, cuts[np.searchsorted(cuts, start, "right")])
-    keys, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+    keys, index, inverse = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
     low, high = start[index], end[index]
     heads = np.zeros(len(index), U64)
     for k in range(8):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold, labelled_sample
-from .textbits import blocks, prefix_sums, span_hashes, text_buffers, words
+from .textbits import blocks, text_buffers, word_hashes, words
 
 SYMBOLS = 512
 
@@ -46,7 +46,7 @@ def symbols(data: np.ndarray, cuts: np.ndarray, lags: int) -> np.ndarray:
     start, end, owner = words(data, cuts)
     if not len(start):
         return out
-    hashes = span_hashes(prefix_sums(data), start, end)
+    hashes = word_hashes(data, start, end)
     again = np.zeros(len(start), bool)
     for lag in range(1, min(lags, len(start) - 1) + 1):
         again[lag:] |= (hashes[lag:] == hashes[:-lag]) & (owner[lag:] == owner[:-lag])

@@ -3,11 +3,14 @@
 Every `length`-byte string is keyed by its anchor, the smallest-hashing `seed`-byte string inside it, so
 equal strings have equal anchors wherever they start. Neighbouring starts with one anchor form a segment.
 Only segments whose anchor occurs again, or that may repeat inside themselves, go on. Segments with equal
-bytes are counted, not copied; one of each goes, with the other segments of its anchor, into a block whose
-suffix array and Burrows-Wheeler transform are built. Breadth-first backward extension then derives common
-prefix lengths in increasing order and stops at `length`: what has no length by then is repeated.
-An anchor with more than `most_segments` different segments would not fit a block; its strings are
-counted one by one instead, with map-side combine.
+bytes (by BLAKE2b) are one class, for which two of its members stand. These go, with the members of the
+other classes of their anchor, into a block whose suffix array and Burrows-Wheeler transform are built.
+Breadth-first backward extension then derives common prefix lengths in increasing order and stops at
+`length`: what has no length by then is repeated, in the two members of a copied class as anywhere else.
+
+An anchor whose classes have more than `block_bytes` is split before that: its segments are cut into pairs of
+neighbouring starts, and pairs meet by the bytes that both strings of a pair share, which equal strings have
+in common too. A pair has two bytes besides those, so what meets is bounded, however many segments there are.
 """
 
 from __future__ import annotations
@@ -18,21 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textbits import U64, blocks, mix, powers, prefix_sums, span_hashes, text_buffers
+from .textbits import U64, blocks, digests, mix, powers, prefix_sums, text_buffers
 
 
 @dataclass(frozen=True)
 class SubstringDedupConfig:
-    """Bytes of a repeated string and of its anchor, bytes of a block, and segments of one anchor that a block takes."""
+    """Bytes of a repeated string and of its anchor, of a block, and of the segments that one task gets."""
 
     length: int = 200
     seed: int = 100
     block_bytes: int = 1 << 19
-    most_segments: int = 1500
+    task_bytes: int = 1 << 21
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -107,9 +110,27 @@ def repeated_starts(strings: list[bytes], length: int) -> np.ndarray:
     return flags
 
 
+def anchors_of(part: np.ndarray, config: SubstringDedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the anchor of every `length`-byte string of `part`."""
+    seed, width, size = config.seed, config.length - config.seed + 1, len(part)
+    sums = prefix_sums(part)
+    _, down = powers(size + 1)
+    hashes = mix((sums[seed:] - sums[:-seed]) * down[: size - seed + 1])
+    bits = U64(max(20, size.bit_length()))
+    packed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=U64)
+    lowest = np.full(-(-len(packed) // width) * width, np.iinfo(np.uint64).max, U64)
+    lowest[: len(packed)] = packed
+    grid = lowest.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = size - config.length + 1
+    best = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
+    place = (best & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    return hashes[place], place
+
+
 def _segments(config: SubstringDedupConfig):
-    length, seed = config.length, config.seed
-    width = length - seed + 1
+    length, width = config.length, config.length - config.seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,27 +138,14 @@ def _segments(config: SubstringDedupConfig):
             ids = batch.column("doc_id").to_numpy()
             for i, j in blocks(offsets):
                 part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                size = len(part)
-                if size < length:
+                if len(part) < length:
                     continue
-                sums = prefix_sums(part)
-                _, down = powers(size + 1)
-                anchors = mix((sums[seed:] - sums[:-seed]) * down[: size - seed + 1])
-                bits = U64(max(20, size.bit_length()))
-                packed = (anchors >> bits << bits) | np.arange(len(anchors), dtype=U64)
-                lowest = np.full(-(-len(packed) // width) * width, np.iinfo(np.uint64).max, U64)
-                lowest[: len(packed)] = packed
-                grid = lowest.reshape(-1, width)
-                ahead = np.minimum.accumulate(grid, axis=1).ravel()
-                behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-                count = size - length + 1
-                best = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
-                place = (best & ((U64(1) << bits) - U64(1))).astype(np.int64)
-                owner = np.searchsorted(cuts, np.arange(count), "right") - 1
-                valid = np.flatnonzero(np.arange(count) + length <= cuts[owner + 1])
+                value, place = anchors_of(part, config)
+                owner = np.searchsorted(cuts, np.arange(len(value)), "right") - 1
+                valid = np.flatnonzero(np.arange(len(value)) + length <= cuts[owner + 1])
                 if not len(valid):
                     continue
-                place, value = place[valid], anchors[place[valid]]
+                place, value = place[valid], value[valid]
                 new = np.ones(len(valid), bool)
                 new[1:] = (valid[1:] != valid[:-1] + 1) | (value[1:] != value[:-1])
                 heads = np.flatnonzero(new)
@@ -146,7 +154,7 @@ def _segments(config: SubstringDedupConfig):
                 heads = np.flatnonzero(new)
                 n = np.diff(np.append(heads, len(valid)))
                 start, tail = valid[heads], heads + n - 1
-                shape = span_hashes(sums, start, start + n + length - 1)
+                shape = digests(part, start, start + n + length - 1, 8)[:, 0]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(value[heads].astype(np.int64)),
@@ -163,25 +171,60 @@ def _segments(config: SubstringDedupConfig):
 
 
 def _cut(length: int):
-    """Documents with lists of segments become rows of segment bytes."""
+    """Texts with lists of parts become a row of bytes for each part; bytes that another row of the same doc_id has there are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, shape, found = [], [], []
+            key, shape, found = [], [], []
             for text, parts in zip(batch.column("text").cast(pa.binary()), batch.column("parts"), strict=True):
                 whole = text.as_py() or b""
                 for p in parts.as_py():
-                    anchor.append(p["anchor"])
-                    shape.append(p["shape"])
-                    found.append(whole[p["start"] : p["start"] + p["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(shape, pa.int64()), pa.array(found, pa.binary())], names=["anchor", "shape", "bytes"])
+                    some = whole[p["start"] : p["start"] + p["n"] + length - 1]
+                    if int.from_bytes(hashlib.blake2b(some, digest_size=8).digest(), "little", signed=True) == p["shape"]:
+                        key.append(p["key"])
+                        shape.append(p["shape"])
+                        found.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(shape, pa.int64()), pa.array(found, pa.binary())], names=["key", "shape", "bytes"])
+
+    return run
+
+
+def _pairs(config: SubstringDedupConfig):
+    """Segments become pairs of neighbouring starts, keyed by what their strings share and its place beside the anchor."""
+    length = config.length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in enumerate(batch.column("bytes")):
+                part = np.frombuffer(raw.as_py(), np.uint8)
+                _, place = anchors_of(part, config)
+                side = (place - np.arange(len(place))) // 2
+                new = np.ones(len(place), bool)
+                new[1:] = (side[1:] != side[:-1]) | (place[1:] != place[:-1])
+                low = np.flatnonzero(new)
+                n = np.diff(np.append(low, len(place)))
+                core = place[low] - 2 * side[low]
+                shared = digests(part, core, core + length - 1, 8)[:, 0]
+                key = mix(shared + mix(side[low].astype(U64)))
+                shape = digests(part, low, low + n + length - 1, 8)[:, 0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("key").take(pa.array([at] * len(low))),
+                        batch.column("shape").take(pa.array([at] * len(low))),
+                        pa.array(key.astype(np.int64)),
+                        pa.array(shape.astype(np.int64)),
+                        pa.array(low),
+                        pa.array(n.astype(np.int32)),
+                    ],
+                    names=["anchor", "segment", "key", "shape", "start", "n"],
+                )
 
     return run
 
 
 def _expand(config: SubstringDedupConfig):
-    """Rows sorted by anchor, in blocks of whole anchors, become runs of repeated starts."""
-    schema = pa.schema([("anchor", pa.int64()), ("shape", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    """Rows sorted by key and shape, in blocks of whole keys, become runs of repeated starts, once for each shape."""
+    schema = pa.schema([("key", pa.int64()), ("shape", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 
     def solve(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         flags = repeated_starts([x[2] for x in held], config.length)
@@ -189,6 +232,8 @@ def _expand(config: SubstringDedupConfig):
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         begin = np.concatenate([[0], np.cumsum([len(x[2]) + 1 for x in held])])
         row = np.searchsorted(begin, low, "right") - 1
+        once = np.array([r == 0 or held[r][:2] != held[r - 1][:2] for r in row], bool)
+        low, high, row = low[once], high[once], row[once]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([held[r][0] for r in row], pa.int64()),
@@ -203,7 +248,7 @@ def _expand(config: SubstringDedupConfig):
         held: list[tuple[int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(batch.column("anchor").to_pylist(), batch.column("shape").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            for row in zip(batch.column("key").to_pylist(), batch.column("shape").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 if size >= config.block_bytes and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -215,22 +260,6 @@ def _expand(config: SubstringDedupConfig):
     return run
 
 
-def _strings(length: int):
-    """Every `length`-byte string of a segment by its place and a 128-bit digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, shape, found in zip(batch.column("anchor").to_pylist(), batch.column("shape").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                n = len(found) - length + 1
-                digests = [hashlib.blake2b(found[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([shape] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())],
-                    names=["anchor", "shape", "low", "digest"],
-                )
-
-    return run
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, removed, spans, digest = [], [], [], []
@@ -269,27 +298,51 @@ def repeated_spans(docs: DataFrame, config: SubstringDedupConfig = SubstringDedu
     rows = scratch.save(texts.mapInArrow(_segments(config), "anchor long, shape long, doc_id long, start long, n int, inner boolean"), "segments")
     again = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.max("inner").alias("i")).where("c > 1 or i").select("anchor")
     again = scratch.save(again, "repeated-anchors")  # so that a common anchor's rows can be split in the join
-    hits = scratch.save(rows.join(again, "anchor"), "candidates")
+    hits = scratch.save(rows.join(again, "anchor").drop("inner"), "candidates")
     scratch.drop(rows)
-    classes = hits.groupBy("anchor", "shape").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "n", "inner")).alias("at"))
-    classes = scratch.save(classes.select("anchor", "shape", "copies", "at.*"), "classes")
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("inner").alias("any_inner"), F.min("copies").alias("fewest"))
-    kinds = kinds.where("(kinds > 1 or any_inner) and fewest = 1").select("anchor", "kinds")
-    wanted = classes.join(kinds, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shape", "start", "n")).alias("parts"))
-    cut = wanted.join(texts, "doc_id").select("text", "parts").mapInArrow(_cut(length), "anchor long, shape long, bytes binary")
-    cut = scratch.save(cut.join(kinds, "anchor"), "segment-bytes")
-    few = cut.where(F.col("kinds") <= config.most_segments).select("anchor", "shape", "bytes")
-    spread = few.repartition("anchor").sortWithinPartitions("anchor", "shape")
-    runs = spread.mapInArrow(_expand(config), "anchor long, shape long, low int, high int")
-    single = cut.where(F.col("kinds") > config.most_segments).mapInArrow(_strings(length), "anchor long, shape long, low int, digest binary")
-    often = single.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    counted = single.join(often, "digest").select("anchor", "shape", "low", (F.col("low") + 1).alias("high"))
-    runs = scratch.save(runs.unionByName(counted), "runs")
-    lone = classes.where("copies = 1").join(runs, ["anchor", "shape"])
-    lone = lone.select("doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + length - 1).alias("high"))
-    copied = hits.join(classes.where("copies > 1").select("anchor", "shape"), ["anchor", "shape"], "left_semi")
-    copied = copied.select("doc_id", F.col("start").alias("low"), (F.col("start") + F.col("n") + length - 1).alias("high"))
-    return copied.unionByName(lone)
+    classes = scratch.save(_classes(hits, "anchor", ["doc_id", "start", "n"]), "classes")
+    sizes = classes.groupBy("anchor").agg(F.sum((F.col("first.n") + length - 1) * F.least("copies", F.lit(2))).alias("size"))
+    large = scratch.save(sizes.where(F.col("size") > config.block_bytes).select("anchor"), "large-anchors")
+    wanted = _members(classes, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "shape", "start", "n")).alias("parts"))
+    cut = scratch.save(wanted.join(texts, "doc_id").select("text", "parts").mapInArrow(_cut(length), "key long, shape long, bytes binary"), "segment-bytes")
+    runs = _repeated(scratch, cut.join(large.withColumnRenamed("anchor", "key"), "key", "left_anti"), config).withColumnRenamed("key", "anchor")
+
+    # Large anchors: pairs of starts that share all but their outer bytes meet instead of segments.
+    crowded = cut.join(large.withColumnRenamed("anchor", "key"), "key", "left_semi").dropDuplicates(["key", "shape"])
+    pairs = scratch.save(crowded.mapInArrow(_pairs(config), "anchor long, segment long, key long, shape long, start long, n int"), "pairs")
+    known = classes.select("anchor", F.col("shape").alias("segment"), "copies")
+    shared = pairs.join(known, ["anchor", "segment"]).groupBy("key").agg(F.sum("copies").alias("c")).where("c > 1").select("key")
+    met = scratch.save(pairs.join(scratch.save(shared, "shared-keys"), "key"), "met-pairs")
+    counted = met.join(known, ["anchor", "segment"])
+    kinds = scratch.save(_classes(counted, "key", ["anchor", "segment", "start", "n"], F.sum("copies")), "pair-classes")
+    lists = _members(kinds, "key").groupBy("anchor", "segment").agg(F.collect_list(F.struct("key", "shape", "start", "n")).alias("parts"))
+    bodies = crowded.select(F.col("key").alias("anchor"), F.col("shape").alias("segment"), F.col("bytes").alias("text"))
+    pieces = lists.join(bodies, ["anchor", "segment"]).select("text", "parts").mapInArrow(_cut(length), "key long, shape long, bytes binary")
+    found = met.join(_repeated(scratch, scratch.save(pieces, "pair-bytes"), config), ["key", "shape"])
+    found = found.select("anchor", F.col("segment").alias("shape"), (F.col("start") + F.col("low")).cast("int").alias("low"), (F.col("start") + F.col("high")).cast("int").alias("high"))
+
+    joined = hits.join(scratch.save(runs.select(found.columns).unionByName(found), "runs"), ["anchor", "shape"])
+    return joined.select("doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + length - 1).alias("high"))
+
+
+def _classes(rows: DataFrame, key: str, place: list[str], count: Column | None = None) -> DataFrame:
+    """(key, shape, copies, first, last) of rows with equal bytes; first and last are two of their places if there are two."""
+    at = F.struct(*place)
+    return rows.groupBy(key, "shape").agg((F.count("*") if count is None else count).alias("copies"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def _members(classes: DataFrame, key: str) -> DataFrame:
+    """The places that stand for a class: one, or two where it has copies."""
+    both = F.when(F.col("copies") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    return classes.select(key, "shape", F.explode(both).alias("at")).select(key, "shape", "at.*")
+
+
+def _repeated(scratch: Scratch, parts: DataFrame, config: SubstringDedupConfig) -> DataFrame:
+    """(key, shape, low, high): runs of repeated starts of the rows (key, shape, bytes) of each key."""
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    tasks = int(min(max(-(-size // config.task_bytes), parts.sparkSession.sparkContext.defaultParallelism), 100_000))
+    spread = parts.repartition(tasks, "key").sortWithinPartitions("key", "shape")
+    return scratch.save(spread.mapInArrow(_expand(config), "key long, shape long, low int, high int"), "repeated")
 
 
 def remove_repeats(docs: DataFrame, config: SubstringDedupConfig = SubstringDedupConfig()) -> DataFrame:

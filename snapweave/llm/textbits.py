@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
-_BASE = _BASES[0]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = U64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
+#: Bytes up to which a word's hash is polynomial. Powers of an odd base modulo 2**64 repeat their low bits, so longer
+#: spans of a regular pattern could meet in one value; they are hashed by BLAKE2b.
+LONG_WORD = 32
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -18,16 +21,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of one of the hash bases and of its inverse, modulo 2**64."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        base, found = int(_BASES[which]), []
-        for factor in (base, pow(base, -1, 1 << 64)):
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        found = []
+        for factor in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
             steps = np.full(max(n, 1 << 16), U64(factor), U64)
             steps[0] = 1
             found.append(np.multiply.accumulate(steps))
-        _powers[which] = (found[0], found[1])
-    up, down = _powers[which]
+        _powers[:] = found
+    up, down = _powers
     return up[:n], down[:n]
 
 
@@ -41,17 +44,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums whose differences are polynomial hashes of the spans of `data`."""
-    up, _ = powers(len(data), which)
+    up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up, out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    _, down = powers(len(sums), which)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of `data`."""
+    sums = prefix_sums(data)
+    _, down = powers(len(sums))
+    out = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    long = np.flatnonzero(end - start > LONG_WORD)
+    if len(long):
+        out[long] = digests(data, start[long], end[long], 8)[:, 0]
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """BLAKE2b digests of `size` bytes of the spans [start, end), as rows of 64-bit words."""
+    raw = data.tobytes()
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, "<u8").reshape(-1, size // 8)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +136,7 @@ def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarra
         part = LOWER[data[offsets[i] : offsets[j]]]
         at = offsets[i : j + 1] - offsets[i]
         start, end, owner = words(part, at)
-        hashes, docs = shingle_hashes(span_hashes(prefix_sums(part), start, end), owner, width, j - i)
+        hashes, docs = shingle_hashes(word_hashes(part, start, end), owner, width, j - i)
         order = np.argsort(docs, kind="stable")
         cuts = np.searchsorted(docs[order], np.arange(j - i + 1))
         hashes = hashes[order]
@@ -131,7 +147,7 @@ def document_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarra
 def block_words(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words as bytes, number of each word in that list, document numbers, starts, ends) of a block of texts."""
     start, end, owner = words(data, cuts)
-    _, index, inverse = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+    _, index, inverse = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)], inverse, owner, start, end
 

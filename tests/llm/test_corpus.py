@@ -7,27 +7,28 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from snapweave.llm import decontaminate, embedding_dedup, language_id, license_scan, labels, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity
+from snapweave.llm import decontaminate, embedding_dedup, language_id, license_scan, labels, line_dedup, near_dedup, packing, quality, substring_dedup, textbits, toxicity
 from snapweave.llm.common import connected_components
 from snapweave.llm.queries import tokenizer_path
 from snapweave.storage import Scratch
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lows string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lows string, label string, lost string"
 
 
 def documents(spark, texts, sources=None):
     """Documents with extra columns whose names the operators use inside."""
-    rows = [(i, t, "en" if i % 2 else None, None if sources is None else sources[i % len(sources)], len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    rows = [(i, t, "en" if i % 2 else None, None if sources is None else sources[i % len(sources)], len(t or ""), "x", "y", "z") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def with_edges(spark, texts):
     """Also a null id, a repeated row and a document that has everything null."""
     base = documents(spark, texts)
-    extra = [(None, "a null id with some words in it", None, None, None, None, None), (0, texts[0], "en", None, 1, "x", "y"), (900, None, None, None, None, None, None)]
+    extra = [(None, "a null id with some words in it", None, None, None, None, None, None), (0, texts[0], "en", None, 1, "x", "y", "z"), (900, None, None, None, None, None, None, None)]
     return base.unionByName(spark.createDataFrame(extra, SCHEMA))
 
 
@@ -114,6 +115,68 @@ def test_line_dedup_is_reversible(spark):
     assert fill(state) == len(before)
 
 
+def probe(made, filters, kind, low, high, generation=None):
+    """One shard through `_probe`: (filters, keys that may be known)."""
+    n = len(low)
+    lists = [[0] * n, [kind] * n, [generation] * n, low, high, [False] * n, [None] * n]
+    keys = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(lists, line_dedup._KINDS.values(), strict=True)], names=list(line_dedup._KINDS))
+    out = list(line_dedup._probe(made)(iter([*filters, keys])))
+    kinds = [b.column("kind").to_pylist() for b in out]
+    return [b for b, k in zip(out, kinds, strict=True) if k == [0]], sum(k.count(1) for k in kinds)
+
+
+@pytest.mark.parametrize("bits", [16, 5])
+def test_deletion_takes_no_other_fingerprint(monkeypatch, bits):
+    """Also with fingerprints of a few bits, where every filter seems to hold most keys."""
+    whole = line_dedup.CuckooFilter._places
+
+    def short(self, low, high):
+        mark, bucket = whole(self, low, high)
+        return mark % np.uint16(1 << bits - 1) + np.uint16(1), bucket
+
+    if bits < 16:
+        monkeypatch.setattr(line_dedup.CuckooFilter, "_places", short)
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.integers(-(2**62), 2**62, (2, 400_000 if bits == 16 else 3000)) for _ in range(3))
+    filters, _ = probe(1, [], 2, *a)
+    for made, batch in ((2, b), (3, c)):
+        filters, _ = probe(made, filters, 2, *batch)
+    filters, _ = probe(4, filters, 3, *b, generation=2)
+    filters, _ = probe(5, filters, 3, *c, generation=3)
+    assert [f.column("generation").to_pylist() for f in filters] == [[1]]
+    assert probe(6, filters, 1, *a)[1] == a.shape[1]
+
+
+def test_line_dedup_insert_delete_insert(spark):
+    rng = random.Random(30)
+    texts = [f"{sentence(rng, 4, 30)}\n{sentence(rng, 3, 12)}\n{sentence(rng, 3, 12)}" for _ in range(200)]
+    docs = documents(spark, texts)
+    part = lambda k: docs.where(F.col("doc_id") % 4 == k)
+    state = line_dedup.LineDedup(spark, most_generations=5)
+    for k in range(4):
+        state.insert(part(k))
+    state.delete(part(0).union(part(2)))
+    state.insert(part(2))
+    state.delete(part(1))
+    state.insert(part(0).unionByName(part(1)))
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in state.apply(docs).collect()}
+    assert found == {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in plain_lines(dict(enumerate(texts))).items()}
+    keys = state.references.select("low", "high").distinct().count()
+    assert sum(int((line_dedup.CuckooFilter.from_bytes(bytes(r.data)).table > 0).sum()) for r in state.filters.collect()) == keys
+    state.compact()
+    assert state.references.select("generation").distinct().count() == 1 and sum(int((line_dedup.CuckooFilter.from_bytes(bytes(r.data)).table > 0).sum()) for r in state.filters.collect()) == keys
+
+
+def test_structured_strings_have_hashes_of_their_own():
+    """The two strings whose difference has a high power of two as a factor at every odd base."""
+    for n in (1024, 4096):
+        turn = np.array([bin(k).count("1") % 2 for k in range(n)], np.uint8)
+        data = np.concatenate([turn + 97, 98 - turn]).astype(np.uint8)
+        hashes = textbits.word_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        _, _, _, low, high, _ = line_dedup.line_keys(data, np.array([0, n, 2 * n]), 10)
+        assert len(set(hashes.tolist())) == len(set(low.tolist())) == len(set(high.tolist())) == 2
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     low, high = rng.integers(-(2**62), 2**62, (2, 20_000))
@@ -251,13 +314,14 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [1500, 2])
-def test_substring_dedup(spark, most):
+@pytest.mark.parametrize("block", [1 << 12, 200])
+def test_substring_dedup(spark, block):
+    """With blocks of 200 bytes nearly all anchors are split into pairs of starts."""
     rng = random.Random(8)
     passage = sentence(rng, 30)
     texts = [sentence(rng, 40) for _ in range(6)] + [sentence(rng, rng.randrange(20)) + passage + sentence(rng, rng.randrange(20)) for _ in range(9)]
     texts += ["For " * 200, "ab" * 300, "é" * 400, texts[0], texts[0], "", None, passage[:60], sentence(rng, 40) + passage[:70] + "X" + passage[71:]]
-    config = substring_dedup.SubstringDedupConfig(length=50, seed=20, block_bytes=1 << 12, most_segments=most)
+    config = substring_dedup.SubstringDedupConfig(length=50, seed=20, block_bytes=block)
     found = {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(documents(spark, texts), config).collect()}
     assert found == plain_repeats(dict(enumerate(texts)), 50)
 
