@@ -2,10 +2,12 @@
 
 The tokens of each source form one queue. Every window takes from each queue, in turn, the tokens that the
 target mixture owes it; what rounding leaves is a deficit that the queue carries into the next window.
-Carried deficits make the amount served after x tokens exact: with C(s) the owed share of the queues up to
-s, queue s has had floor(x C(s)) - floor(x C(s-1)). So a task can place any token from its place in the
-queue alone, and deficits carry over windows and partitions with no state passed between tasks. When a
-queue runs out, the others share its part from that token on.
+Queues hang in a binary tree whose two sides weigh about the same. Of the first y tokens of a node, its left
+side has the rounded part that its weight is owed and its right side has the rest, so both only ever grow,
+and all queues' tokens add up to y. The deficits that a sequential round-robin would carry are thus known in
+closed form: a task can place any token from its place in the queue alone, and deficits carry over windows
+and partitions with no state passed between tasks. When a queue runs out, the others share its part from
+that token on.
 """
 
 from __future__ import annotations
@@ -153,6 +155,18 @@ def encode_block(data: np.ndarray, cuts: np.ndarray, config: PackingConfig) -> l
     return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+#: Text with the places where vocabularies cut words in different ways (fixed value).
+PROBE = "Don't stop, A.B,c\u2026 x\u00c9  y\n\tz 12,5 3.14 #a_b-c (d) \u4e2d\u6587, e\u0301. \u00a0f\u2003g <|endoftext|> h.i, , .j ,k l. m"
+
+
+def check_words(config: PackingConfig) -> None:
+    """Raises unless this vocabulary cuts words where `encode_block` does."""
+    data = np.frombuffer(PROBE.encode(), np.uint8)
+    tokenizer, kind, _ = _encoder(config.tokenizer)
+    if np.frombuffer(encode_block(data, np.array([0, len(data)]), config)[0], kind).tolist() != tokenizer.encode(PROBE, add_special_tokens=False).ids:
+        raise ValueError(f"{config.tokenizer} doesn't cut words at ASCII white space and before a comma or full stop after a letter")
+
+
 def _tokenize(config: PackingConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, served = TaskContext.get().partitionId(), {}
@@ -177,16 +191,53 @@ def _tokenize(config: PackingConfig):
 
 @dataclass(frozen=True)
 class Phase:
-    """A stretch of the packed stream in which the same queues are served: its first token, and running totals by queue."""
+    """A stretch of the packed stream in which the same queues are served: its first token, and by queue the tokens that it serves and those served before."""
 
     first: int
     names: list[str]
-    totals: list[int]
+    served: list[int]
     taken: list[int]
 
     @property
     def size(self) -> int:
-        return self.totals[-1]
+        return sum(self.served)
+
+    def paths(self) -> dict[str, list[tuple[int, int, bool]]]:
+        """For every queue its way down the tree: (weight of the left side, weight of both, is it on the right?)."""
+        order = sorted(range(len(self.names)), key=lambda s: (-self.served[s], self.names[s]))
+        totals = np.concatenate([[0], np.cumsum([self.served[s] for s in order])]).tolist()
+        found: dict[str, list[tuple[int, int, bool]]] = {}
+        todo: list[tuple[int, int, list[tuple[int, int, bool]]]] = [(0, len(order), [])]
+        while todo:
+            a, b, path = todo.pop()
+            if b - a == 1:
+                found[self.names[order[a]]] = path
+                continue
+            middle = min(range(a + 1, b), key=lambda c: (abs(totals[a] + totals[b] - 2 * totals[c]), c))
+            left, both = totals[middle] - totals[a], totals[b] - totals[a]
+            todo += [(a, middle, [*path, (left, both, False)]), (middle, b, [*path, (left, both, True)])]
+        return found
+
+
+def had(path: list[tuple[int, int, bool]], x: int) -> int:
+    """Tokens of the queue at the end of `path` among the first x of its phase."""
+    for left, both, right in path:
+        part = (2 * x * left + both) // (2 * both)
+        x = x - part if right else part
+    return x
+
+
+def before(path: list[tuple[int, int, bool]], x: int, y: int) -> int:
+    """Tokens of the queues left of this one between the first x and the first y of the phase."""
+    out = 0
+    for left, both, right in path:
+        a, b = (2 * x * left + both) // (2 * both), (2 * y * left + both) // (2 * both)
+        if right:
+            out += b - a
+            x, y = x - a, y - b
+        else:
+            x, y = a, b
+    return out
 
 
 def schedule(totals: dict[str, int], weights: dict[str, float] | None) -> list[Phase]:
@@ -201,44 +252,54 @@ def schedule(totals: dict[str, int], weights: dict[str, float] | None) -> list[P
         served = {k: min(n, int(length * share[k])) for k, n in left.items()}
         if weights is None or not any(served.values()):
             served = dict(left)
-        running, names, cumulative = 0, [], [0]
-        for k, n in served.items():
-            if n:
-                running += n
-                names.append(k)
-                cumulative.append(running)
-        phases.append(Phase(first, names, cumulative, [done[k] for k in names]))
-        first += running
+        names = [k for k, n in served.items() if n]
+        phases.append(Phase(first, names, [served[k] for k in names], [done[k] for k in names]))
+        first += phases[-1].size
         for k, n in served.items():
             done[k] += n
         left = {k: n - served[k] for k, n in left.items() if n > served[k]}
     return phases
 
 
-def _pieces(phases: list[Phase], window: int, kind: np.dtype):
-    homes: dict[str, list[tuple[Phase, int]]] = {}
+def _placer(phases: list[Phase], window: int) -> Callable[[str, int, int], Iterator[tuple[int, int, int]]]:
+    homes: dict[str, list[tuple[int, int, int, int, list]]] = {}
     for phase in phases:
-        for s, name in enumerate(phase.names):
-            homes.setdefault(name, []).append((phase, s))
+        paths = phase.paths()
+        for name, n, taken in zip(phase.names, phase.served, phase.taken, strict=True):
+            homes.setdefault(name, []).append((phase.first, phase.size, n, taken, paths[name]))
 
     def place(queue: str, low: int, high: int) -> Iterator[tuple[int, int, int]]:
         """(tokens, window, place in it) of the pieces that hold the queue's tokens low..high."""
-        for phase, s in homes[queue]:
-            a, b, size = phase.totals[s], phase.totals[s + 1], phase.size
-            at, end = max(low - phase.taken[s], 0), min(high - phase.taken[s], b - a)
-            had = lambda x: x * b // size - x * a // size
-            k = (phase.first + at * size // (b - a)) // window
-            edge = lambda k: min(max(k * window - phase.first, 0), size)
-            while k > 0 and had(edge(k)) > at:
-                k -= 1
+        for first, size, n, taken, path in homes[queue]:
+            at, end = max(low - taken, 0), min(high - taken, n)
+            if at >= end:
+                continue
+            edge = lambda k: min(max(k * window - first, 0), size)  # noqa: B023, E731
+            k = (first + at * size // n) // window
             while at < end:
+                step = 1
+                while had(path, edge(k)) > at:  # the window of token `at`: first in growing steps, then by halving
+                    k, step = k - step, step * 2
+                low_k, step = k, 1
+                while had(path, edge(k + 1)) <= at:
+                    low_k, k, step = k + 1, k + step, step * 2
+                while low_k < k:
+                    middle = (low_k + k) // 2
+                    if had(path, edge(middle + 1)) > at:
+                        k = middle
+                    else:
+                        low_k = middle + 1
                 x, y = edge(k), edge(k + 1)
-                stop = min(had(y), end)
-                if stop > at:
-                    before = y * a // size - x * a // size
-                    yield stop - at, k, phase.first + x - k * window + before + at - had(x)
-                    at = stop
-                k += 1
+                stop = min(had(path, y), end)
+                yield stop - at, k, first + x - k * window + before(path, x, y) + at - had(path, x)
+                at = stop
+                k += at < end
+
+    return place
+
+
+def _pieces(phases: list[Phase], window: int, kind: np.dtype):
+    place = _placer(phases, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,12 +322,13 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts have the closing id alone. A null source is a queue of its own, and so is every source
-    with a stated weight. Of the others, sources owed less than one token of a window share the queue `rest` (and
-    with it the smallest other of them, if even that is owed less), which has their weights' sum, so at most
-    `window` names besides the stated ones come to the driver. Rows that repeat a doc_id and null ids are
+    with a stated weight. Of the others, sources owed less than one token of a window share the queue `rest`,
+    which has their weights' sum, so at most `window` names besides the stated ones come to the driver. In every
+    window each queue has its share to within two tokens. Rows that repeat a doc_id and null ids are
     documents like any other. Only the last window has room left. Other columns are ignored; an empty
     table gives an empty result.
     """
+    check_words(config)
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s:"), F.col("source").cast("string")))
@@ -288,9 +350,6 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     else:  # served as in the corpus, all the time or once the stated sources have run out
         own = {r.queue: r.n for r in free.where(F.col("n") >= F.lit(-(-rest // config.window))).collect()}  # at most `window` rows
     left = rest - sum(own.values())
-    if left and left * config.window < rest and own and not other:
-        smallest = min(own, key=lambda k: (own[k], k))
-        left += own.pop(smallest)
     weights = None
     if config.weights is not None:
         weights = {k: stated.get(k, other) for k in [*named, *own]}

@@ -69,6 +69,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096))
 
 
+def packing_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `op10_packing`, but with stated shares of three sources, one of them under a token a window."""
+    weights = {"src0": 0.5, "src1": 0.3, "src2": 0.0001, "rest": 0.01}
+    return pack(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096, weights=weights))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
+        "packing_mixture": packing_mixture,
     }
 
 

@@ -590,9 +590,90 @@ def test_mixture_is_kept(weights):
     served = Counter()
     for p in phases:
         assert p.first == served.total() and [served[n] for n in p.names] == p.taken
-        for k, n in enumerate(p.names):
-            served[n] += p.totals[k + 1] - p.totals[k]
+        served.update(dict(zip(p.names, p.served, strict=True)))
     assert served == totals
     if weights == {"a": 1, "b": 1, "c": 2}:
-        first = phases[0]
-        assert [first.totals[k + 1] - first.totals[k] for k in range(3)] == [750, 750, 1500]
+        assert phases[0].served == [750, 750, 1500]
+
+
+def plain_round_robin(totals, window):
+    """Tokens of each queue by window: what is owed and carried, whole tokens first, then the largest remainders."""
+    size, served, out = sum(totals.values()), Counter(), []
+    for x in [*range(window, size, window), size]:
+        owed = {k: n * x / size - served[k] for k, n in totals.items()}
+        take = {k: max(int(v), 0) for k, v in owed.items()}
+        room = x - served.total() - sum(take.values())
+        for k in sorted(totals, key=lambda k: take[k] - owed[k])[: max(room, 0)]:
+            take[k] += 1
+        served.update(take)
+        out.append(dict(take))
+    return out
+
+
+def test_placement_is_gapless_and_keeps_the_mixture():
+    rng = random.Random(31)
+    for trial in range(60):
+        window = rng.choice([16, 64, 256, 4096])
+        totals = {f"q{k}": max(1, int(10 ** rng.uniform(0, 4.5))) for k in range(rng.randrange(1, 7))}
+        weights = None if trial % 3 == 0 else {k: round(10 ** rng.uniform(-4, 0), 5) for k in totals if rng.random() < 0.8}
+        phases = packing.schedule(totals, weights)
+        place = packing._placer(phases, window)
+        windows = defaultdict(list)
+        for k, n in totals.items():
+            at = 0
+            while at < n:  # documents of any length
+                end = min(n, at + rng.choice([1, 7, 300, 5000]))
+                here = at
+                for length, w, offset in place(k, at, end):
+                    windows[w].append((offset, length, k))
+                    here += length
+                assert here == end
+                at = end
+        total = sum(totals.values())
+        for w in range(-(-total // window)):
+            end = 0
+            for offset, length, _ in sorted(windows[w]):
+                assert offset == end and length > 0
+                end += length
+            assert end == min(window, total - w * window)
+        for phase in phases:
+            paths = phase.paths()
+            for k, n in zip(phase.names, phase.served, strict=True):
+                counts = [packing.had(paths[k], x) for x in range(0, phase.size + 1, max(1, phase.size // 500))] + [packing.had(paths[k], phase.size)]
+                assert counts == sorted(counts) and counts[0] == 0 and counts[-1] == n
+                assert all(abs(packing.had(paths[k], x) - n * x / phase.size) <= 1.5 for x in range(0, phase.size + 1, max(1, phase.size // 500)))
+        if len(phases) == 1:
+            for w, want in enumerate(plain_round_robin(totals, window)):
+                got = Counter()
+                for _, length, k in windows[w]:
+                    got[k] += length
+                assert all(abs(got[k] - want.get(k, 0)) <= 3 for k in totals)
+
+
+def test_windows_hold_the_stated_mixture(spark):
+    """`pack` itself with weights, one of them under a token a window, until a queue runs out."""
+    rng = random.Random(32)
+    sources = ["a", "b", "c", "d"]
+    texts = [sentence(rng, rng.randrange(20, 200)) for _ in range(160)]
+    docs = documents(spark, texts, sources)
+    weights = {"a": 1, "b": 1, "c": 0.0002, "d": 1}
+    rows = packing.pack(docs, packing.PackingConfig(tokenizer_path("word_bpe_49k.json"), window=128, weights=weights)).collect()
+    total, windows = Counter(), defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        total[sources[r.doc_id % 4]] += r.length
+        windows[r.sequence_id][sources[r.doc_id % 4]].append((r.offset, r.length))
+    first = 3 * min(total[k] for k in "abd") // 128 - 1
+    for w, by in windows.items():
+        pieces, end = sorted(p for found in by.values() for p in found), 0
+        for offset, length in pieces:
+            assert offset == end
+            end += length
+        assert end == 128 or w == max(windows)
+        if w < first:
+            assert all(abs(sum(n for _, n in by[k]) - 128 / 3.0002) <= 2 for k in "abd")
+    assert set(windows) == set(range(len(windows)))
+
+
+def test_another_word_splitter_is_refused():
+    with pytest.raises(ValueError, match="cut words"):
+        packing.check_words(packing.PackingConfig(tokenizer_path("byte_bpe_50k.json")))
