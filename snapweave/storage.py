@@ -6,17 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir, or in local mode, where that may be unset, a local folder of our own; elsewhere an unset one raises."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="snapweave-shared-")
@@ -32,6 +37,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._at: dict[int, tuple[DataFrame, str]] = {}
         self._made = 0
+        _roots.append(self.root)
 
     def save(self, frame: DataFrame, label: str) -> DataFrame:
         self._made += 1
@@ -44,5 +50,19 @@ class Scratch:
     def drop(self, frame: DataFrame) -> None:
         """Delete a table that no later step reads."""
         _, path = self._at.pop(id(frame))
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def released(spark: SparkSession, kept: Scratch) -> Iterator[None]:
+    """Deletes, at the end, all tables that other scratch folders than `kept` got meanwhile; frames that read them can't be used after."""
+    before = set(_roots)
+    yield
+    for root in [x for x in _roots if x not in before and x != kept.root]:
+        _delete(spark, root)
+        _roots.remove(root)
