@@ -11,7 +11,7 @@ from snapweave.llm.packing import PackingConfig, pack
 from snapweave.llm.queries import tokenizer_path
 from snapweave.llm.toxicity import without_toxic
 from snapweave.session import ship_package
-from snapweave.storage import Scratch
+from snapweave.storage import Scratch, released
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written to the shared folder and read again."""
+    """All stages over `documents`; each but the last is written to the shared folder and read again.
+
+    What a stage leaves in the shared folder besides its result goes as soon as that is written, and the result
+    as soon as the next one's is.
+    """
     ship_package(spark)
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with released(spark, scratch):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: word n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
-Every n-gram of an item is a seed, however common. Seeds found in a document give diagonals; the windows around
+Every n-gram of an item is a seed, however common; an item of fewer words is one seed. Seeds found in a document give diagonals; the windows around
 them hold any alignment through the seed that reaches the threshold, so edited, shortened and reordered copies
 score by how much of the item they still hold. Upper bounds on the score, from the words that document and item
 share, leave few windows to align and lose none that could reach the threshold. Items are sent to the tasks in
@@ -39,18 +39,20 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], width: int) -> None:
         self.width, self.vocabulary, self.cache = width, {}, {}
-        self.ids, self.words, self.grams = [], [], []
+        self.ids, self.words, self.grams, widths = [], [], [], {width}
         owner = []
         for item_id, text in rows:
             found = [w for w in (bare_word(x) for x in (text or "").encode().split()) if w]
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64)
             if not len(numbers):
                 continue
-            grams = gram_codes(numbers, width)
+            widths.add(min(width, len(numbers)))
+            grams = gram_codes(numbers, min(width, len(numbers)))
             owner.append(np.full(len(grams), len(self.ids)))
             self.ids.append(item_id)
             self.words.append(numbers)
             self.grams.append(grams)
+        self.widths = sorted(widths)
         self.codes = np.concatenate(self.grams) if self.grams else np.zeros(0, U64)
         order = np.argsort(self.codes, kind="stable")
         self.codes, self.owner = self.codes[order], (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
@@ -89,14 +91,14 @@ class Items:
             if found is None:
                 bare = bare_word(word)
                 found = self.vocabulary.get(bare, -1) if bare else -2
-                if len(self.cache) > 300_000:
+                if len(self.cache) > 100_000:
                     self.cache.clear()
                 self.cache[word] = found
             out[k] = found
         return out
 
-    def documents(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, word numbers, places of the words in the text, first word of every seed found) of texts with seeds."""
+    def documents(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, word numbers, places of the words in the text, first word and code of every seed found) of texts with seeds."""
         data, offsets = text_buffers(column)
         for i, j in blocks(offsets):
             distinct, inverse, owner, _, _ = block_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -107,21 +109,27 @@ class Items:
             real = np.flatnonzero(numbers != -2)
             numbers, docs = numbers[real], owner[real]
             at = real - begin[docs]
-            grams = gram_codes(numbers, self.width)
-            usable = docs[: len(grams)] == docs[self.width - 1 :][: len(grams)] if len(numbers) >= self.width else np.zeros(len(grams), bool)
-            for k in range(self.width if len(numbers) >= self.width else 0):
-                usable &= numbers[k : len(grams) + k] >= 0
-            hits = np.flatnonzero(usable)
-            hits = hits[self.known(grams[hits])]
+            found, codes = [], []
+            for width in self.widths:
+                n = len(numbers) - width + 1
+                if n < 1:
+                    continue
+                usable = docs[:n] == docs[width - 1 :]
+                for k in range(width):
+                    usable &= numbers[k : n + k] >= 0
+                hits = np.flatnonzero(usable)
+                grams = gram_codes(numbers, width)[hits]
+                known = self.known(grams)
+                found.append(hits[known])
+                codes.append(grams[known])
+            if not found:
+                continue
+            hits, codes = np.concatenate(found), np.concatenate(codes)
             bounds = np.searchsorted(docs, np.arange(j - i + 1))
             for doc in np.unique(docs[hits]):
                 a, b = bounds[doc], bounds[doc + 1]
-                yield i + int(doc), numbers[a:b], at[a:b], hits[(hits >= a) & (hits < b)] - a
-            short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < self.width))
-            for doc in short:  # a text of fewer words than a seed is one gram
-                a, b = bounds[doc], bounds[doc + 1]
-                if (numbers[a:b] >= 0).all() and self.known(gram_codes(numbers[a:b], self.width))[0]:
-                    yield i + int(doc), numbers[a:b], at[a:b], np.zeros(1, np.int64)
+                mine = (hits >= a) & (hits < b)
+                yield i + int(doc), numbers[a:b], at[a:b], hits[mine] - a, codes[mine]
 
     def known(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.codes):
@@ -130,10 +138,8 @@ class Items:
 
 
 def gram_codes(numbers: np.ndarray, width: int) -> np.ndarray:
-    """Codes of the runs of `width` numbers; a shorter list is one run."""
-    if len(numbers) < width:
-        return mix(np.array([sum((int(x) + 1) * 1_000_003**k for k, x in enumerate(numbers)) % (1 << 64)], U64)) ^ U64(len(numbers))
-    total = np.zeros(len(numbers) - width + 1, U64)
+    """Codes of the runs of `width` numbers; runs of other widths have other codes."""
+    total = np.full(len(numbers) - width + 1, width, U64)
     for k in range(width):
         total = mix(total + (numbers[k : len(total) + k] + 2).astype(U64) * U64(0x9E3779B97F4A7C15))
     return total
@@ -188,10 +194,9 @@ def _matches(items: Items, config: DecontaminationConfig):
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
-            for row, numbers, at, hits in items.documents(batch.column("text")):
-                grams = gram_codes(numbers, items.width)
-                order = hits[np.argsort(grams[hits], kind="stable")]
-                codes = grams[order]
+            for row, numbers, at, hits, codes in items.documents(batch.column("text")):
+                by_code = np.argsort(codes, kind="stable")
+                order, codes = hits[by_code], codes[by_code]
                 for owner in items.candidates(np.unique(codes), numbers, config.threshold):
                     words = items.words[owner]
                     size = len(words)
@@ -237,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
 
     One row for each document and item with score >= threshold: the best alignment's share of the item's
     full score, and the words (counted between ASCII white space) it spans. Words are compared in lower case
-    without punctuation at their ends. Null ids, null or empty texts and items give no row; clean documents
+    without punctuation at their ends. An edited copy is found if `seed_words` words of the item in a row have stayed,
+    an item of fewer words if it stands there whole. Null ids, null or empty texts and items give no row; clean documents
     give none. Rows that repeat a doc_id give a row each.
     """
     spark = docs.sparkSession

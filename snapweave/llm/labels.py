@@ -31,9 +31,9 @@ def excerpt(max_bytes: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, rows: int, max_bytes: int) -> list[tuple[str, int]]:
     """About `rows` (text, label) at most, in order of a hash of doc_id; none from fold `held_out`, none with a null label; of texts over `max_bytes`, an excerpt.
 
-    Only the ids of the sample are sent to the documents, so no text is shuffled.
+    A doc_id with both labels counts as 1. Only the ids of the sample are sent to the documents, so no text is shuffled.
     """
-    usable = labels.where(F.col(column).isin(0, 1) & (fold(modulus) != held_out)).select("doc_id", F.col(column).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    usable = labels.where(F.col(column).isin(0, 1) & (fold(modulus) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(rows)
     return [(r.text, r.label) for r in found.select(excerpt(max_bytes).alias("text"), "label").collect()]

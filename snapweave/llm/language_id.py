@@ -16,18 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .labels import fold
 from .textbits import LOWER, text_buffers
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """Hash buckets, smoothing, EM rounds, least share of a language in a mixture, and the fold that is never learned from."""
+    """Hash buckets, smoothing, EM rounds, least share of a language in a mixture, languages that a model may have, and the fold that is never learned from."""
 
     buckets: int = 1 << 15
     smoothing: float = 0.5
     rounds: int = 12
     least_share: float = 0.03
+    most_languages: int = 1000
     modulus: int = 4
     held_out: int = 2
 
@@ -128,15 +130,19 @@ def language_mixture(docs: DataFrame, config: LanguageConfig = LanguageConfig())
     """One row per row of `docs` (doc_id, text, lang): doc_id, held_out, lang_pred, score, mixture.
 
     Learns from the non-null `lang` of documents outside the held-out fold, all of them; the model has one
-    count for each language and bucket and is what comes to the driver. A null text, one with no letter, or
+    count for each language and bucket and is what comes to the driver and to the tasks, 256 KB a language at the
+    default size. More than `most_languages` values of `lang` raise: such a column doesn't hold languages. A null text, one with no letter, or
     an empty training set gives `und`, 0 and an empty mixture. A null doc_id is neither held out nor learned
     from. Rows that repeat a doc_id count and are predicted each.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     training = source.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(config.modulus) != config.held_out))
     counts = training.select("text", "lang").mapInArrow(_count(config.buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = Scratch(docs.sparkSession, "languages").save(counts, "counts")
+    names = sorted(r.lang for r in counts.select("lang").distinct().limit(config.most_languages + 1).collect())
+    if len(names) > config.most_languages:
+        raise ValueError(f"lang has more than {config.most_languages} values")
     table = counts.toArrow()
-    names = sorted(set(table.column("lang").to_pylist()))
     chances = np.full((config.buckets, len(names)), config.smoothing)
     place = {name: k for k, name in enumerate(names)}
     chances[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] += table.column("n").to_numpy()

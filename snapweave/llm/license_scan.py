@@ -1,10 +1,11 @@
-"""Licence notices in texts: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
+"""Licences in texts: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 Templates are grouped by length; for each group, windows of twice the group's least number of shingles,
 moved by a quarter of that, slide over each text. A band is one MinHash value. A window that holds at
 least `containment` of a template has a Jaccard similarity of at least J with it, J following from the
 window's size, and escapes all bands with probability (1 - J)**bands: 1e-4 or less at the settings here.
-What a window retrieves is compared shingle by shingle.
+What a window retrieves is compared shingle by shingle, over the window and a template's length on both
+sides, so that a copy counts whole however the windows cut it.
 """
 
 from __future__ import annotations
@@ -19,25 +20,90 @@ from pyspark.sql import functions as F
 
 from .textbits import U64, bare_word, block_words, blocks, mix, text_buffers
 
-#: Short notices by licence (fixed values; public wording).
+#: Texts that BSD licences share (fixed values; public wording).
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. """
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Licence texts and notices by licence (fixed values; public wording).
 TEMPLATES = {
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
+        in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+        KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     ),
+    "BSD-2-Clause": (_BSD + _BSD_END,),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        _BSD + _BSD_THIRD + _BSD_END,
     ),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+        LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    "LGPL-3.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ),
     "MIT": (
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+        so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ),
+    "Unlicense": (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+        any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors.""",
+    ),
+    "Zlib": (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must
+        be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or
+        altered from any source distribution.""",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
 
 
@@ -66,16 +132,41 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def sliding_minimum(values: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every full run of `size` values along the last axis."""
-    n = values.shape[-1]
-    blocks_ = -(-n // size)
-    padded = np.full((*values.shape[:-1], blocks_ * size), np.iinfo(np.uint64).max, U64)
-    padded[..., :n] = values
-    grid = padded.reshape(*values.shape[:-1], blocks_, size)
-    ahead = np.minimum.accumulate(grid, axis=-1).reshape(padded.shape)
-    behind = np.minimum.accumulate(grid[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
-    return np.minimum(behind[..., : n - size + 1], ahead[..., size - 1 : n])
+@dataclass(frozen=True)
+class Group:
+    """Templates of one length class: log2 of the window, its stride, and for each band the sorted values that retrieve templates."""
+
+    level: int
+    stride: int
+    values: list[np.ndarray]
+    owners: list[np.ndarray]
+    quick: np.ndarray  # by band and top bits of a scrambled value: may it be one of these?
+
+    @classmethod
+    def of(cls, k: int, members: list[int], lowest: np.ndarray) -> Group:
+        """`lowest`: template by band."""
+        values, owners, quick = [], [], np.zeros((lowest.shape[1], 1 << QUICK_BITS), bool)
+        for band in range(lowest.shape[1]):
+            order = np.argsort(lowest[:, band], kind="stable")
+            values.append(lowest[order, band])
+            owners.append(np.array(members)[order])
+            quick[band, quick_slots(values[-1])] = True
+        return cls(0 if k == 0 else k + 1, max(1, (1 << k) // 4), values, owners, quick)
+
+    def windows(self, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, first shingle) of the windows of texts of these sizes; a text that is no longer than a window is one."""
+        size = 1 << self.level
+        count = np.where(sizes > size, -(-(sizes - size) // self.stride) + 1, np.minimum(sizes, 1))
+        text = np.repeat(np.arange(len(sizes)), count)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        return text, begins[text] + np.minimum(turn * self.stride, np.maximum(sizes[text] - size, 0))
+
+
+QUICK_BITS = 12
+
+
+def quick_slots(values: np.ndarray) -> np.ndarray:
+    return ((values * U64(0x9E3779B97F4A7C15)) >> U64(64 - QUICK_BITS)).astype(np.int64)
 
 
 class Index:
@@ -93,14 +184,9 @@ class Index:
                 groups.setdefault(int(len(found)).bit_length() - 1, []).append(len(self.sets))
                 self.names.append(name)
                 self.sets.append(found)
-        self.every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U64)
-        # By group: (window, stride, sorted (band, value) keys, their templates)
         self.groups = []
         for k, members in sorted(groups.items()):
-            lowest = np.array([np.multiply.outer(self.seeds, self.sets[t]).min(axis=1) for t in members])
-            keys = mix(lowest + np.arange(config.bands, dtype=U64)).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.groups.append((1 if k == 0 else 2 << k, max(1, (1 << k) // 4), keys[order], np.repeat(members, config.bands)[order]))
+            self.groups.append(Group.of(k, members, np.array([np.multiply.outer(self.seeds, self.sets[t]).min(axis=1) for t in members])))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
@@ -113,59 +199,73 @@ class Index:
             if found is None:
                 bare = bare_word(word)
                 found = _word_hash(bare) if bare else 0
-                if len(self.cache) > 300_000:
+                if len(self.cache) > 100_000:
                     self.cache.clear()
                 self.cache[word] = found
             out[k] = found
         return out
 
-    def worth_scanning(self, hashes: np.ndarray, owner: np.ndarray, cuts: np.ndarray) -> list[int]:
-        """Texts with a shingle of some template: in others no window can share a MinHash value with one."""
-        short = (np.diff(cuts) > 0) & (np.diff(cuts) < self.config.width)
-        if len(hashes) >= self.config.width and len(self.every):
-            items = shingles(hashes, self.config.width)
-            hits = self.every[np.minimum(np.searchsorted(self.every, items), len(self.every) - 1)] == items
-            short[owner[np.flatnonzero(hits)]] = True
-        return np.flatnonzero(short).tolist()
-
-    def scan(self, words: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(licence, best containment, first word of that window, matching windows) of one text."""
-        if not len(words):
-            return []
-        items = shingles(words, self.config.width)
-        found: dict[str, list] = {}
-        for size, stride, keys, owner in self.groups:
-            window = min(size, len(items))
-            starts = np.arange(0, len(items) - window + 1, stride)
-            if starts[-1] != len(items) - window:
-                starts = np.append(starts, len(items) - window)
-            step = max(window, 1 << 16)
-            pairs: set[tuple[int, int]] = set()
-            for at in range(0, len(items), step):  # long texts a stretch at a time
-                part = items[at : at + step + window - 1]
-                if len(part) < window:
-                    break
-                here = starts[(starts >= at) & (starts < at + step)]
-                if not len(here):
-                    continue
-                for band, seed in enumerate(self.seeds):
-                    low = sliding_minimum(part * seed, window)[here - at]
-                    value = mix(low + U64(band))
-                    a = np.searchsorted(keys, value)
-                    for k in np.flatnonzero((a < len(keys)) & (keys[np.minimum(a, len(keys) - 1)] == value)):
-                        b = int(a[k])
-                        while b < len(keys) and keys[b] == value[k]:
-                            pairs.add((int(here[k]), int(owner[b])))
-                            b += 1
-            for start, template in sorted(pairs):
-                whole = self.sets[template]
-                share = np.isin(whole, items[start : start + window]).mean()
+    def items(self, words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles of all texts, where each text's begin) of the texts `cuts` of a list of word hashes."""
+        width, n = self.config.width, np.diff(cuts)
+        sizes = np.maximum(n - width + 1, np.minimum(n, 1))
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros(int(begins[-1]), U64)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(out)) - begins[text] + cuts[text]
+        whole = n[text] >= width
+        if whole.any():
+            out[whole] = shingles(words, width)[place[whole]]
+        for k in np.flatnonzero((n > 0) & (n < width)):
+            out[begins[k]] = shingles(words[cuts[k] : cuts[k + 1]], width)[0]
+        return out, begins
+
+    def retrieved(self, items: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(text, template) -> first shingles of the windows that share a MinHash value with it."""
+        sizes, found = np.diff(begins), {}
+        if not len(items) or not self.groups:
+            return found
+        windows = [g.windows(sizes, begins[:-1]) for g in self.groups]
+        top = max(g.level for g in self.groups)
+        power = np.frexp(np.maximum(sizes, 1).astype(float))[1] - 1  # floor of log2
+        whole_at = [np.flatnonzero((power == t) & (sizes > 0)) for t in range(top + 1)]
+        for band, seed in enumerate(self.seeds):
+            low = items * seed  # minima of the 2**t shingles from each on
+            least = np.zeros(len(sizes), U64)  # of whole texts
+            for t in range(top + 1):
+                if t:
+                    low = np.concatenate([np.minimum(low[: -(1 << t - 1)], low[1 << t - 1 :]), low[-(1 << t - 1) :]]) if len(low) > 1 << t - 1 else low
+                here = whole_at[t]
+                least[here] = np.minimum(low[begins[here]], low[begins[here + 1] - (1 << t)])
+                for g, (text, first) in zip(self.groups, windows, strict=True):
+                    if g.level != t:
+                        continue
+                    value = np.where(sizes[text] > 1 << t, low[first], least[text])
+                    some = np.flatnonzero(g.quick[band][quick_slots(value)])
+                    for at in some[np.isin(value[some], g.values[band])]:
+                        a, b = np.searchsorted(g.values[band], value[at]), np.searchsorted(g.values[band], value[at], "right")
+                        for template in g.owners[band][a:b]:
+                            found.setdefault((int(text[at]), int(template)), []).append(int(first[at]))
+        return found
+
+    def scan(self, words: np.ndarray, cuts: np.ndarray) -> list[tuple[int, str, float, int, int]]:
+        """(text, licence, best containment, its first word, matching windows) of the texts `cuts` of a list of word hashes."""
+        items, begins = self.items(words, cuts)
+        best: dict[tuple[int, str], list] = {}
+        for (text, template), starts in sorted(self.retrieved(items, begins).items()):
+            whole = self.sets[template]
+            size = 1 << (0 if len(whole) == 1 else int(len(whole)).bit_length())
+            for start in sorted(set(starts)):
+                a, b = max(begins[text], start - len(whole)), min(begins[text + 1], start + size + len(whole))
+                here = np.isin(items[a:b], whole)
+                share = len(np.unique(items[a:b][here])) / len(whole)
                 if share >= self.config.containment:
-                    entry = found.setdefault(self.names[template], [0.0, start, 0])
+                    first = int(a + np.argmax(here) - begins[text])
+                    entry = best.setdefault((text, self.names[template]), [0.0, first, 0])
                     if share > entry[0]:
-                        entry[:2] = [float(share), start]
+                        entry[:2] = [share, first]
                     entry[2] += 1
-        return [(name, *entry) for name, entry in sorted(found.items())]
+        return [(text, name, *entry) for (text, name), entry in sorted(best.items())]
 
 
 def _scan(index: Index):
@@ -180,8 +280,7 @@ def _scan(index: Index):
                 keep = hashes != 0
                 hashes, owner = hashes[keep], owner[keep]
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
-                for k in index.worth_scanning(hashes, owner, cuts):
-                    out += [(ids[i + k], *row) for row in index.scan(hashes[cuts[k] : cuts[k + 1]])]
+                out += [(ids[i + k], *row) for k, *row in index.scan(hashes, cuts)]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "license", "containment", "first_word", "windows"])
@@ -193,7 +292,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """Licence notices in `docs` (doc_id, text): doc_id, license, containment, first_word, windows.
 
     One row for each document and licence with a template of which `containment` or more of the shingles
-    stand in one window; first_word counts words that have a letter or digit. Null ids and texts, and texts
+    stand in and around one window; first_word, the first of them, counts words that have a letter or digit. Null ids and texts, and texts
     with no match, give no row. Rows that repeat a doc_id give rows each. The templates are a parameter of
     fixed size and go to the tasks with the code.
     """

@@ -1,9 +1,8 @@
 """Document quality by a byte-level convolutional network in numpy.
 
-A byte's symbol is its value and whether its word already stood among the eight words before. Filters over
-`width` symbols slide along overlapping chunks that cover the whole text; each is max-pooled in its chunk,
-and the chunks' values, averaged and maximised over the text, give one probability. An embedding followed
-by a convolution is linear in the symbols, so each filter tap is one table of weights by symbol.
+Filters over `width` bytes slide along overlapping chunks that cover the whole text; each is max-pooled in its
+chunk, and the chunks' values, averaged and maximised over the text, give one probability. An embedding of the
+bytes followed by a convolution is linear in the bytes, so each filter tap is one table of weights by byte.
 """
 
 from __future__ import annotations
@@ -17,22 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import fold, labelled_sample
-from .textbits import blocks, text_buffers, word_hashes, words
+from .textbits import text_buffers
 
-SYMBOLS = 512
+SYMBOLS = 256
 
 
 @dataclass(frozen=True)
 class QualityConfig:
     """Network and chunk sizes, training passes, bounds of the labelled sample, and the fold that is never learned from."""
 
-    filters: int = 12
-    width: int = 5
+    filters: int = 16
+    width: int = 8
     chunk: int = 256
     overlap: int = 32
-    passes: int = 14
+    passes: int = 12
+    batch: int = 32
     rate: float = 0.02
-    lags: int = 8
     sample_rows: int = 3000
     sample_bytes: int = 1 << 14
     modulus: int = 3
@@ -40,22 +39,6 @@ class QualityConfig:
     seed: int = 11
 
 
-def symbols(data: np.ndarray, cuts: np.ndarray, lags: int) -> np.ndarray:
-    """Byte values, plus 256 inside words that equal one of the `lags` words before in the same text."""
-    out = data.astype(np.int32)
-    start, end, owner = words(data, cuts)
-    if not len(start):
-        return out
-    hashes = word_hashes(data, start, end)
-    again = np.zeros(len(start), bool)
-    for lag in range(1, min(lags, len(start) - 1) + 1):
-        again[lag:] |= (hashes[lag:] == hashes[:-lag]) & (owner[lag:] == owner[:-lag])
-    change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, start[again], 256)
-    np.add.at(change, end[again], -256)
-    return out + np.cumsum(change[:-1], dtype=np.int32)
-
-
 class ByteNetwork:
     """Tables of filter taps, their biases, and the weights of the pooled values."""
 
@@ -72,18 +55,26 @@ class ByteNetwork:
         step = self.config.chunk - self.config.overlap
         return np.arange(0, max(n - self.config.overlap, 1), step)
 
-    def responses(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(chunk by filter maxima, their places, padded symbols) of one text."""
+    def padded(self, text: np.ndarray) -> np.ndarray:
+        """The bytes of one text, with spaces up to the end of its last chunk and filter."""
         c = self.config
-        starts = self.chunks(len(text))
-        padded = np.full(int(starts[-1]) + c.chunk + c.width - 1, 32, np.int32)
-        padded[: len(text)] = text
-        n = len(padded) - c.width + 1
-        values = self.taps[0].take(padded[:n], axis=0)
-        for k in range(1, c.width):
-            values += self.taps[k].take(padded[k : n + k], axis=0)
-        windows = np.lib.stride_tricks.as_strided(values, (len(starts), c.chunk, c.filters), ((c.chunk - c.overlap) * values.strides[0], *values.strides))
-        return windows.max(1), windows, padded
+        out = np.full(int(self.chunks(len(text))[-1]) + c.chunk + c.width - 1, 32, np.uint8)
+        out[: len(text)] = text
+        return out
+
+    def responses(self, text: np.ndarray) -> np.ndarray:
+        """Filter values at every byte of a padded text at which a filter begins."""
+        n = len(text) - self.config.width + 1
+        values = self.taps[0].take(text[:n], axis=0)
+        for k in range(1, self.config.width):
+            values += self.taps[k].take(text[k : n + k], axis=0)
+        return values
+
+    def windows(self, values: np.ndarray) -> np.ndarray:
+        """Chunk by place by filter, over the values of one padded text."""
+        c = self.config
+        step = c.chunk - c.overlap
+        return np.lib.stride_tricks.as_strided(values, ((len(values) - c.chunk) // step + 1, c.chunk, c.filters), (step * values.strides[0], *values.strides))
 
     def pooled(self, best: np.ndarray) -> np.ndarray:
         active = np.maximum(best + self.bias, 0)
@@ -97,40 +88,55 @@ class ByteNetwork:
         for at in range(0, max(len(text), 1), step):  # long texts a megabyte at a time
             if at and len(text) - at <= c.overlap:
                 break
-            parts.append(self.responses(text[at : at + step + c.overlap])[0])
+            parts.append(self.windows(self.responses(self.padded(text[at : at + step + c.overlap]))).max(1))
         return float(1 / (1 + np.exp(-np.clip(self.pooled(np.concatenate(parts)) @ self.out + self.shift, -30, 30))))
 
+    def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean log loss of padded texts; a maximum passes its gradient to its own place only."""
+        c = self.config
+        joined = np.concatenate(texts)
+        begins = np.cumsum([0, *(len(t) for t in texts)])
+        values = self.responses(joined)
+        grads = {n: np.zeros_like(getattr(self, n)) for n in ("taps", "bias", "out", "shift")}
+        places, flows = [], []
+        for begin, text, label in zip(begins.tolist(), texts, labels, strict=False):
+            windows = self.windows(values[begin : begin + len(text) - c.width + 1])
+            place = windows.argmax(1)
+            best = np.take_along_axis(windows, place[:, None, :], 1)[:, 0]
+            active = np.maximum(best + self.bias, 0)
+            pooled = np.concatenate([active.mean(0), active.max(0)])
+            error = np.float32(1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30))) - label)
+            grads["out"] += error * pooled
+            grads["shift"] += error
+            flow = np.repeat(error * self.out[None, : c.filters] / np.float32(len(best)), len(best), axis=0)
+            flow[active.argmax(0), np.arange(c.filters)] += error * self.out[c.filters :]
+            flow *= active > 0
+            places.append(place + begin + (np.arange(len(best)) * (c.chunk - c.overlap))[:, None])
+            flows.append(flow)
+        place, flow = np.concatenate(places), np.concatenate(flows)
+        grads["bias"] += flow.sum(0)
+        for k in range(c.width):
+            at = joined[place + k].astype(np.int64) * c.filters + np.arange(c.filters)
+            grads["taps"][k] = np.bincount(at.ravel(), flow.ravel(), SYMBOLS * c.filters).reshape(SYMBOLS, c.filters)
+        return {n: g / np.float32(len(texts)) for n, g in grads.items()}
+
     def train(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """Adam on the log loss; a maximum passes its gradient to its own place only."""
+        """Adam on the log loss."""
         c, rng = self.config, np.random.default_rng(self.config.seed)
         names = ("taps", "bias", "out", "shift")
         first = {n: np.zeros_like(getattr(self, n)) for n in names}
         second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        turn = 0
+        texts, turn = [self.padded(t) for t in texts], 0
         for epoch in range(c.passes):
             rate = c.rate * (1 - epoch / c.passes)
             order = rng.permutation(len(texts))
-            for at in range(0, len(order), 32):
-                grads = {n: np.zeros_like(getattr(self, n)) for n in names}
-                for i in order[at : at + 32]:
-                    best, windows, padded = self.responses(texts[i])
-                    active = np.maximum(best + self.bias, 0)
-                    pooled = np.concatenate([active.mean(0), active.max(0)])
-                    error = np.float32(1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30))) - labels[i])
-                    grads["out"] += error * pooled
-                    grads["shift"] += error
-                    flow = np.repeat(error * self.out[None, : c.filters] / len(best), len(best), axis=0)
-                    flow[active.argmax(0), np.arange(c.filters)] += error * self.out[c.filters :]
-                    flow *= active > 0
-                    grads["bias"] += flow.sum(0)
-                    place = windows.argmax(1) + (np.arange(len(best)) * (c.chunk - c.overlap))[:, None]
-                    for k in range(c.width):
-                        np.add.at(grads["taps"][k], (padded[place + k], np.arange(c.filters)[None, :]), flow)
+            for at in range(0, len(order), c.batch):
+                some = order[at : at + c.batch]
+                grads = self.gradients([texts[i] for i in some], labels[some])
                 turn += 1
                 for n in names:
-                    g = grads[n] / 32
-                    first[n] = 0.9 * first[n] + 0.1 * g
-                    second[n] = 0.99 * second[n] + 0.01 * g * g
+                    first[n] = 0.9 * first[n] + 0.1 * grads[n]
+                    second[n] = 0.99 * second[n] + 0.01 * grads[n] * grads[n]
                     setattr(self, n, (getattr(self, n) - rate * (first[n] / (1 - 0.9**turn)) / (np.sqrt(second[n] / (1 - 0.99**turn)) + 1e-6)).astype(np.float32))
 
 
@@ -138,8 +144,7 @@ def fit_quality(sample: list[tuple[str, int]], config: QualityConfig) -> ByteNet
     """A network trained on (text, label) pairs; with no pairs, all scores are 0.5."""
     network = ByteNetwork(config)
     if sample:
-        texts = [symbols(raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]), config.lags) for text, _ in sample]
-        network.train(texts, np.array([label for _, label in sample], np.float32))
+        network.train([np.frombuffer(text.encode(), np.uint8) for text, _ in sample], np.array([label for _, label in sample], np.float32))
     else:
         network.out[:] = 0
     return network
@@ -149,11 +154,7 @@ def _score(network: ByteNetwork):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            scores = []
-            for i, j in blocks(offsets):
-                cuts = offsets[i : j + 1] - offsets[i]
-                found = symbols(data[offsets[i] : offsets[j]], cuts, network.config.lags)
-                scores += [network.score(found[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            scores = [network.score(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run

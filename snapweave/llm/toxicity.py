@@ -3,8 +3,9 @@
 The lexicon is learned from a bounded sample of labelled documents: whole words, and stems that stand for
 all words that begin with them. The automaton reads a word along all branches of the trie at once, with an
 edit budget for each term; its states are made when first reached and kept. A hit counts as quotation if it
-stands inside quotation marks or a reporting verb comes just before, else as abuse. A logistic model of the
-counts and their densities gives the score.
+stands between quotation marks, or if a cue comes just before: a word that the sample has there in clean documents
+much more often than in toxic ones, in whatever language; else it counts as abuse. A logistic model of the counts
+and their densities gives the score.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ import pyarrow as pa
 from .labels import fit_logistic, fold, labelled_sample, logistic
 from .textbits import bare_word, block_words, blocks, text_buffers
 
-#: Verbs that report speech, and characters that open or close a quotation (fixed values).
-REPORTING = frozenset("called calls cites cited quote quoted quotes reported said says shouted term word wrote".split())
+#: Characters that open or close a quotation (fixed value); an apostrophe counts only at the end of a word in such marks.
 QUOTES = '"“”„«»‘’'
 
 
@@ -37,6 +37,8 @@ class ToxicityConfig:
     least_docs: int = 4
     ratio: float = 10.0
     context: int = 6
+    cue_words: int = 3
+    cue_docs: int = 5
     modulus: int = 4
     held_out: int = 2
     threshold: float = 0.3
@@ -161,11 +163,12 @@ N_FEATURES = 8
 
 @dataclass
 class ToxicityModel:
-    """Lexicon, log odds of its terms, words that look like misspelled terms but aren't, and the logistic model."""
+    """Lexicon, words that look like misspelled terms but aren't, cues of quotation, and the logistic model."""
 
     terms: list[str]
     config: ToxicityConfig
     common: frozenset = frozenset()
+    cues: frozenset = frozenset()
     weights: tuple | None = None
     _automaton: LexiconAutomaton | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
@@ -182,7 +185,7 @@ class ToxicityModel:
             found = self._automaton.match(bare)
             if found[1] and bare in self.common:
                 found = (-1, 0)
-            if len(self._cache) > 300_000:
+            if len(self._cache) > 100_000:
                 self._cache.clear()
             self._cache[word] = found
         return found
@@ -200,13 +203,15 @@ class ToxicityModel:
             doc = owner[at]
             term, edits = matches[inverse[at]]
             kinds.setdefault(int(doc), set()).add(int(term))
-            first = at
+            first, last = at, at + 1
             while first > 0 and at - first < self.config.context and owner[first - 1] == doc:
                 first -= 1
-            before = raw[start[first] : start[at]].decode("utf-8", "replace")
-            word = raw[start[at] : end[at]].decode("utf-8", "replace")
-            told = any(bare_word(x) in REPORTING for x in before.encode().split()[-3:])
-            marked = sum(before.count(q) for q in QUOTES if q != "’") % 2 == 1 or (word[0] in QUOTES and word.rstrip(".,;:!?")[-1:] in QUOTES)
+            while last < len(owner) and last - at <= self.config.context and owner[last] == doc:
+                last += 1
+            ahead, word, after = (raw[a:b].decode("utf-8", "replace") for a, b in ((start[first], start[at]), (start[at], end[at]), (end[at], end[last - 1])))
+            told = bool(self.cues) and any(bare_word(x) in self.cues for x in ahead.encode().split()[-self.config.cue_words :])
+            opened = sum(ahead.count(q) for q in QUOTES if q != "’") % 2 == 1 or word[0] in QUOTES
+            marked = opened and any(q in QUOTES for q in word.rstrip(".,;:!?")[1:] + after)
             counts[doc, 3 if told or marked else 2 if edits else 1 if self.terms[term].endswith("*") else 0] += 1
         different = np.array([len(kinds.get(k, ())) for k in range(n)], float)
         abuse = counts[:, 0] + 0.8 * counts[:, 2]
@@ -216,6 +221,18 @@ class ToxicityModel:
         )
 
 
+def learn_cues(sample: list[tuple[str, int]], model: ToxicityModel) -> frozenset:
+    """Words that come just before a term in clean documents, `ratio` times as often as in toxic ones."""
+    docs, total = (Counter(), Counter()), [0, 0]
+    for text, label in sample:
+        raw = text.encode().split()
+        hits = [k for k, w in enumerate(raw) if model.hit(w)[0] >= 0]
+        docs[label].update({bare_word(x) for k in hits for x in raw[max(0, k - model.config.cue_words) : k]} - {""})
+        total[label] += bool(hits)
+    often = {w: n for w, n in docs[0].items() if n >= model.config.cue_docs}
+    return frozenset(w for w, n in often.items() if n / total[0] >= model.config.ratio * (docs[1][w] + 0.5) / (total[1] + 1))
+
+
 def fit_toxicity(sample: list[tuple[str, int]], config: ToxicityConfig) -> ToxicityModel:
     """A model from (text, label) pairs; with no pair of some label, all scores are the share of label 1."""
     model = ToxicityModel(learn_lexicon(sample, config), config)
@@ -225,6 +242,7 @@ def fit_toxicity(sample: list[tuple[str, int]], config: ToxicityConfig) -> Toxic
             near.update({bare_word(w) for w in set(text.encode().split()) if model.hit(w)[1]})
     model.common = frozenset(w for w, n in near.items() if n >= 2)
     model._cache.clear()
+    model.cues = learn_cues(sample, model)
     y = np.array([label for _, label in sample], float)
     if 0 < y.sum() < len(y):
         texts = pa.array([text for text, _ in sample])
@@ -238,13 +256,16 @@ def fit_toxicity(sample: list[tuple[str, int]], config: ToxicityConfig) -> Toxic
     return model
 
 
+def _scores(model: ToxicityModel, column: pa.Array) -> np.ndarray:
+    data, offsets = text_buffers(column)
+    found = [logistic(model.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), model.weights) for i, j in blocks(offsets)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
 def score_with(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            scores = [logistic(model.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), model.weights) for i, j in blocks(offsets)]
-            kept = [x for x in batch.schema.names if x != "score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch.column("text")))], names=["doc_id", "score"])
 
     return run
 
@@ -254,14 +275,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = T
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit_toxicity(labelled_sample(source, labels, "toxic", config.modulus, config.held_out, config.sample_rows, config.sample_bytes), config)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            scores = [logistic(model.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), model.weights) for i, j in blocks(offsets)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) < config.threshold))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(_scores(model, text))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col("text")) < config.threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
@@ -272,6 +290,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit_toxicity(labelled_sample(source, labels, "toxic", config.modulus, config.held_out, config.sample_rows, config.sample_bytes), config)
-    scored = source.mapInArrow(score_with(model), "doc_id long, text string, score double")
+    scored = source.mapInArrow(score_with(model), "doc_id long, score double")
     held = F.coalesce(fold(config.modulus) == config.held_out, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))

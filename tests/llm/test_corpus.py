@@ -202,17 +202,45 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(with_edges(spark, texts)).count() == 5
 
 
+def words_of(index, text):
+    hashes = index.hashes([x.encode() for x in text.split()])
+    return hashes[hashes != 0]
+
+
 def test_license_windows_find_all_places():
-    """Whatever surrounds a template, and wherever it stands, its window is retrieved."""
+    """Whatever surrounds a template, wherever it stands and with a word changed, its window is retrieved."""
     rng = random.Random(4)
     config = license_scan.LicenseScanConfig()
     index = license_scan.Index([(k, t) for k, ts in license_scan.TEMPLATES.items() for t in ts], config)
     for name, templates in license_scan.TEMPLATES.items():
         for template in templates:
-            for _ in range(10):
-                text = f"{sentence(rng, rng.randrange(60))} {template} {sentence(rng, rng.randrange(60))}"
-                hashes = index.hashes([x.encode() for x in text.split()])
-                assert name in {x[0] for x in index.scan(hashes)}, (name, text)
+            changed = template.split()
+            if len(changed) > 60:
+                changed[rng.randrange(len(changed))] = "changed"
+            for _ in range(4):
+                texts = [f"{sentence(rng, rng.randrange(60))} {' '.join(changed)} {sentence(rng, rng.randrange(60))}" for _ in range(3)]
+                parts = [words_of(index, t) for t in texts]
+                found = index.scan(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+                assert {(k, name) for k in range(3)} <= {x[:2] for x in found}, (name, texts)
+
+
+def test_license_scan_equals_containment_at_every_place():
+    """Against the shingle sets of all stretches of a template's length and a half, in edited copies of whole licences."""
+    rng = random.Random(40)
+    config = license_scan.LicenseScanConfig()
+    index = license_scan.Index([(k, ts[-1]) for k, ts in license_scan.TEMPLATES.items()], config)
+    for share in (0.0, 0.01, 0.02, 0.04, 0.3):
+        for name, ts in license_scan.TEMPLATES.items():
+            text = " ".join("edited" if rng.random() < share else w for w in ts[-1].split())
+            hashes = words_of(index, f"{sentence(rng, rng.randrange(90))} {text} {sentence(rng, rng.randrange(90))}")
+            found = {x[1]: x[2] for x in index.scan(hashes, np.array([0, len(hashes)]))}
+            items = license_scan.shingles(hashes, config.width)
+            for other, whole in zip(index.names, index.sets, strict=True):
+                span = 3 * len(whole) // 2
+                plain = max(np.isin(whole, items[k : k + span]).mean() for k in range(max(1, len(items) - span + 1)))
+                assert other not in found or found[other] >= 0.8
+                assert plain < 0.8 or other in found, (name, other, share, plain)
+                assert other not in found or plain < 0.8 or found[other] >= plain - 1e-9
 
 
 # 3: languages
@@ -237,6 +265,43 @@ def test_language_mixture(spark):
     assert by[504].lang_pred in kinds and by[None].held_out is False and len(found) == len(rows)
     assert {r.lang_pred for r in language_id.language_mixture(docs.withColumn("lang", F.lit(None))).collect()} == {"und"}
     assert language_id.language_mixture(docs.limit(0)).isEmpty()
+    clash = docs.union(docs.limit(3)).withColumn("bucket", F.lit("x")).withColumn("n", F.lit("y")).withColumn("score", F.lit("z"))
+    assert language_id.language_mixture(clash).count() == len(rows) + 3
+    with pytest.raises(ValueError, match="more than 2 values"):
+        language_id.language_mixture(docs, language_id.LanguageConfig(most_languages=2))
+
+
+def test_mixture_equals_plain_em():
+    """Responsibilities trigram by trigram, and the best of all language sets that the ranking allows."""
+    rng = np.random.default_rng(34)
+    config = language_id.LanguageConfig(rounds=12)
+    for _ in range(20):
+        chances = rng.dirichlet(np.full(30, 0.5), 4).T + 1e-4
+        chances /= chances.sum(0)
+        counts = rng.poisson(40 * chances @ rng.dirichlet([0.4] * 4)).astype(float) + (rng.random(30) < 0.1)
+
+        def em(some, chances=chances, counts=counts):
+            share = [1 / len(some)] * len(some)
+            for _ in range(config.rounds if len(some) > 1 else 0):
+                new = [0.0] * len(some)
+                for t, n in enumerate(counts):
+                    whole = sum(share[k] * chances[t, s] for k, s in enumerate(some))
+                    for k, s in enumerate(some):
+                        new[k] += n * share[k] * chances[t, s] / whole
+                share = [x / counts.sum() for x in new]
+            return share, sum(n * math.log(sum(share[k] * chances[t, s] for k, s in enumerate(some))) for t, n in enumerate(counts))
+
+        share, _ = em(range(4))
+        assert np.allclose(language_id.mixture(counts, chances, config.rounds)[0], share)
+        order = sorted(range(4), key=lambda k: -share[k])
+        penalty = 0.5 * math.log(counts.sum())
+        best, value = max((([k], em([k])[1] - penalty) for k in range(4)), key=lambda x: x[1])
+        for k in range(2, sum(x >= config.least_share for x in share) + 1):
+            now = em(order[:k])[1] - k * penalty
+            if now <= value:
+                break
+            best, value = order[:k], now
+        assert set(np.flatnonzero(language_id.choose_languages(counts, chances, config))) == set(best)
 
 
 # 4: quality
@@ -258,6 +323,36 @@ def test_quality(spark):
     assert quality.quality(empty(spark), labels).isEmpty() and quality.quality(docs, labels.limit(0)).count() == len(texts)
 
 
+def test_quality_network_equals_plain_convolution():
+    """Scores by loops over filters, places and chunks, and gradients by differences."""
+    config = quality.QualityConfig(filters=3, width=4, chunk=16, overlap=5)
+    network = quality.ByteNetwork(config)
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 105, n).astype(np.uint8) for n in (0, 3, 16, 40, 90)]
+    for name in ("taps", "bias", "out"):
+        setattr(network, name, getattr(network, name).astype(np.float64))
+
+    def plain(text):
+        starts = range(0, max(len(text) - 5, 1), 11)
+        padded = text.tolist() + [32] * 60
+        best = [[max(sum(network.taps[k, padded[s + p + k], f] for k in range(4)) for p in range(16)) for f in range(3)] for s in starts]
+        active = np.maximum(np.array(best) + network.bias, 0)
+        return 1 / (1 + np.exp(-(np.concatenate([active.mean(0), active.max(0)]) @ network.out + network.shift)))
+
+    assert all(network.score(t) == pytest.approx(plain(t), rel=1e-6) for t in texts)
+    labels = np.array([0, 1, 1, 0, 1])
+    loss = lambda: -np.mean([np.log(p if y else 1 - p) for p, y in zip(map(plain, texts), labels, strict=True)])
+    grads = network.gradients([network.padded(t) for t in texts], labels)
+    for name, at in (("taps", (1, 99, 0)), ("taps", (3, 100, 2)), ("taps", (0, 101, 1)), ("bias", (1,)), ("out", (0,)), ("out", (4,))):
+        values, step = getattr(network, name), 1e-5
+        values[at] += step
+        up = loss()
+        values[at] -= 2 * step
+        down = loss()
+        values[at] += step
+        assert grads[name][at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-6), name
+
+
 def test_quality_chunks_cover_the_text():
     network = quality.ByteNetwork(quality.QualityConfig())
     for n in (0, 1, 31, 32, 33, 255, 256, 257, 480, 481, 5000):
@@ -296,6 +391,9 @@ def test_embedding_duplicates(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found if r.vec_id is not None} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
     assert embedding_dedup.embedding_duplicates(frame.limit(0)).isEmpty()
+    twice = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 2.0], 0), (3, [-1.0, 0.0], 0)]  # a repeated row, and an id with two vectors
+    again = embedding_dedup.embedding_duplicates(spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(r) for r in again) == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (3, 0, 3, True)]
 
 
 # 6: substrings
@@ -380,6 +478,42 @@ def test_decontamination_of_exact_and_edited_copies_together(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, texts), bench).collect()} == want
 
 
+def test_short_items_are_found_anywhere(spark):
+    bench = spark.createDataFrame([(0, "photosynthesis"), (1, "water boils"), (2, "why water boils")], "item_id long, text string")
+    texts = ["a word on Photosynthesis, and that water boils", "boils water", "photosynthesis", "Why water boils!", "nothing of it", "water boils"]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
+    assert found == {(0, 0), (0, 1), (2, 0), (3, 1), (3, 2), (5, 1)}
+
+
+@pytest.mark.parametrize("size", [8, 16, 40, 120])
+def test_decontamination_recall_on_edited_copies(size):
+    """Against the alignment of whole texts: of the copies that reach the threshold, at least nine in ten are found, whatever the edits."""
+    rng = random.Random(size)
+    config = decontaminate.DecontaminationConfig()
+    want = hit = 0
+    for share in (0.05, 0.1, 0.2, 0.3):
+        rows, texts = [], []
+        for k in range(60):
+            words = sentence(rng, size, 3000).split()
+            rows.append((k, " ".join(words)))
+            copy = []
+            for w in words:  # words go, change, or have another put before them
+                turn = rng.random() / share
+                copy += [] if turn < 0.3 else ["changed"] if turn < 0.7 else ["extra", w] if turn < 1 else [w]
+            texts.append(f"{sentence(rng, 30, 3000)} {' '.join(copy)} {sentence(rng, 30, 3000)}")
+        items = decontaminate.Items(rows, config.seed_words)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        found = {(r["doc_id"], r["item_id"]): r["score"] for b in decontaminate._matches(items, config)(iter([batch])) for r in b.to_pylist()}
+        for k in range(60):
+            numbers = np.array([items.vocabulary.get(w, -1) for w in texts[k].split()])
+            score = decontaminate.align(items.words[k], numbers, config)[0] / (2 * size)
+            if score >= 0.5:
+                want += 1
+                hit += found.get((k, k), 0) == score
+        assert all(a == b for a, b in found)
+    assert want > 100 and hit >= 0.9 * want
+
+
 def test_decontamination_bounds_lose_no_alignment():
     rng = random.Random(22)
     config = decontaminate.DecontaminationConfig()
@@ -403,6 +537,24 @@ def test_alignment_equals_plain():
         assert decontaminate.align(np.array(a), np.array(b), config)[0] == max(map(max, h))
 
 
+def test_odd_rows_of_labelled_and_packed_documents(spark):
+    """Null ids, a repeated row, and columns whose names the operators use inside: a row each, scored and packed alike."""
+    texts = [f"{sentence(random.Random(k), 20)}" for k in range(12)] + ["", None]
+    docs = with_edges(spark, texts).withColumn("score", F.lit("x")).withColumn("held_out", F.lit("x")).withColumn("queue", F.lit("x")).withColumn("ids", F.lit("x"))
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)] + [(0, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for found in (quality.quality(docs, marks).collect(), toxicity.toxicity(docs, marks).collect()):
+        assert len(found) == len(texts) + 3 and [r.held_out for r in found if r.doc_id is None] == [False]
+        assert len({(r.score, r.predicted) for r in found if r.doc_id == 0}) == 1
+    pieces = packing.pack(docs, packing.PackingConfig(tokenizer_path("word_bpe_49k.json"), window=64)).collect()
+    whole = Counter()
+    for r in pieces:
+        whole[r.doc_id] += r.length
+    assert set(whole) == {None, 900, *range(14)} and whole[900] == 1 and whole[13] == 1
+    assert whole[0] == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 0)
+    both = labels.labelled_sample(docs.select("doc_id", "text").limit(5), marks, "toxic", 4, 9, 99, 1 << 15)
+    assert sorted(y for t, y in both if t == texts[0]) == [1]  # both labels are given: 1 counts
+
+
 # 4, 8: labelled samples
 
 
@@ -471,12 +623,19 @@ def test_toxicity(spark):
 
 
 def test_quotation_counts_less():
-    config = toxicity.ToxicityConfig()
-    model = toxicity.ToxicityModel(["blockhead"], config)
-    rows = ['she is a blockhead today', 'he said "you are a blockhead" yesterday', "the word blockhead is old"]
-    features = [model.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in rows]
-    assert features[0][0] > 0 and features[0][4] == 0
-    assert all(f[0] == 0 and f[4] > 0 for f in features[1:])
+    model = toxicity.ToxicityModel(["blockhead"], toxicity.ToxicityConfig(), cues=frozenset(["wort"]))
+    of = lambda t: model.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    for text in ("she is a blockhead today", 'that "big old house" of a blockhead', 'a " blockhead with no end of it at all in sight'):
+        assert of(text)[0] > 0 and of(text)[4] == 0, text
+    for text in ('he said "you are a blockhead" yesterday', "das Wort blockhead ist alt", "« blockhead »", 'the "blockhead" then'):
+        assert of(text)[0] == 0 and of(text)[4] > 0, text
+
+
+def test_cues_are_learned():
+    rng = random.Random(33)
+    sample = [(f"{sentence(rng, 9)} vous blockhead {sentence(rng, 5)}", 1) for _ in range(60)] + [(f"{sentence(rng, 9)} le mot blockhead {sentence(rng, 5)}", 0) for _ in range(6)] + [(sentence(rng, 15), 0) for _ in range(900)]
+    model = toxicity.fit_toxicity(sample, toxicity.ToxicityConfig(ratio=5.0))
+    assert "blockhead" in model.terms and {"le", "mot"} <= model.cues and "vous" not in model.cues
 
 
 # 9: near duplicates
