@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
+from ..plans.actions import positions
 
 #: Samples in a rate window, and spans in microseconds under which a rate means nothing or a side counts as idle (fixed values).
 SAMPLES, LEAST_SPAN, IDLE = 10, 50_000, 750_000
@@ -31,20 +32,43 @@ def average_rates(sides: DataFrame) -> DataFrame:
     return sides.select("label", F.when(usable, F.col("bytes").cast("double") / (F.col("active_us").cast("double") / F.lit(1e6))).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def instant_rates(samples: DataFrame) -> DataFrame:
+def _blocked(samples: DataFrame, block: int, before: int = 0, after: int = 0) -> tuple[DataFrame, Column]:
+    """(rows, are they of their own block): samples in order of label and time, cut into blocks that also get the last rows before and the first after them.
+
+    So windows over a label are computed block by block, however many samples it has.
+    """
+    placed = positions(samples, ["label", "at_us", "total"])
+    own = F.call_function("div", F.col("pos"), F.lit(block).cast("long"))
+    at = F.pmod("pos", F.lit(block))
+    places = F.array(own, F.when(at >= block - before, own + 1), F.when(at < after, own - 1))
+    rows = placed.withColumn("block", F.explode(F.array_compact(places)))
+    return rows, F.col("block") == own
+
+
+def instant_rates(samples: DataFrame, block: int = 100_000) -> DataFrame:
     """(label, at_us, total, rate): bytes a second between the oldest and newest of the last ten samples (label, at_us, total)."""
-    ring = Window.partitionBy("label").orderBy("at_us", "total").rowsBetween(-(SAMPLES - 1), 0)
+    rows, own = _blocked(samples.select("label", "at_us", "total"), block, before=SAMPLES - 1)
+    ring = Window.partitionBy("label", "block").orderBy("pos").rowsBetween(-(SAMPLES - 1), 0)
     span = F.col("at_us") - F.first("at_us").over(ring)
     grown = F.col("total") - F.first("total").over(ring)
     rate = F.when((F.count("*").over(ring) >= 2) & (span >= LEAST_SPAN) & (grown > 0), grown.cast("double") / (span.cast("double") / F.lit(1e6)))
-    return samples.select("label", "at_us", "total", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    return rows.select("label", "at_us", "total", F.coalesce(rate, F.lit(0.0)).alias("rate"), own.alias("own")).where("own").drop("own")
+
+
+def idle_marks(samples: DataFrame, block: int = 100_000) -> DataFrame:
+    """(label, at_us, total, done): whether at least the idle span passes before the label's next sample, or none comes."""
+    rows, own = _blocked(samples.select("label", "at_us", "total"), block, after=1)
+    gap = F.lead("at_us").over(Window.partitionBy("label", "block").orderBy("pos")) - F.col("at_us")
+    return rows.select("label", "at_us", "total", (gap.isNull() | (gap >= IDLE)).alias("done"), own.alias("own")).where("own").drop("own")
 
 
-def idle_marks(samples: DataFrame) -> DataFrame:
-    """(label, at_us, done): whether at least the idle span passes before the label's next sample, or none comes."""
-    order = Window.partitionBy("label").orderBy("at_us", "total")
-    gap = F.lead("at_us").over(order) - F.col("at_us")
-    return samples.select("label", "at_us", "total", (gap.isNull() | (gap >= IDLE)).alias("done"))
+def running_totals(log: DataFrame, block: int = 100_000) -> DataFrame:
+    """(label, at_us, total) of rows (label, at_us, bytes, event_id): sums up to each row, from sums inside blocks and of the blocks before."""
+    placed = positions(log.select("label", "at_us", "event_id", "bytes"), ["label", "at_us", "event_id"]).withColumn("block", F.call_function("div", F.col("pos"), F.lit(block).cast("long")))
+    inside = placed.withColumn("part", F.sum("bytes").over(Window.partitionBy("label", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = placed.groupBy("label", "block").agg(F.sum("bytes").alias("sum"))  # one row for each block
+    before = sums.select("label", "block", (F.sum("sum").over(Window.partitionBy("label").orderBy("block")) - F.col("sum")).alias("before"))
+    return inside.join(before, ["label", "block"]).select("label", "at_us", (F.col("before") + F.col("part")).alias("total"))
 
 
 def peaks(samples: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ one grouped pass; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.refs import excluded, is_zero, lease_failure, plan_line, ref_kind, short_hash, short_name
+from ..functions.refs import action_for_target, excluded, is_zero, lease_failure, plan_line, ref_kind, short_hash, short_name
 from ..storage import Scratch
-from .policy import Policy
+from .policy import HEADS, TAGS, Policy
 
 PLAN_COLUMNS = ("branch", "source_ref", "target_ref", "source_hash", "target_hash", "kind", "action", "reason")
 
@@ -20,7 +22,7 @@ PLAN_COLUMNS = ("branch", "source_ref", "target_ref", "source_hash", "target_has
 def desired_refs(source: DataFrame, policy: Policy) -> DataFrame:
     """(kind, label, source_ref, target_ref, source_hash) of the refs that the target should have."""
     policy = policy.checked()
-    source = source.where(~is_zero(F.col("hash")))
+    source = in_scan_scope(source, policy).where(~is_zero(F.col("hash")))
     named = source.select(F.col("ref").alias("source_ref"), F.col("ref").alias("target_ref"), F.col("hash").alias("source_hash"), ref_kind(F.col("ref")).alias("kind"))
     allowed = ~excluded(F.col("source_ref"), policy.exclude_prefixes, policy.exclude_refs)
     rest = (F.lit(policy.wants_tags) & (F.col("kind") == "tag")) | (F.lit(policy.all_refs) & (F.col("kind") == "other"))
@@ -39,6 +41,22 @@ def desired_refs(source: DataFrame, policy: Policy) -> DataFrame:
     return rows.select("kind", short_name(F.col("target_ref")).alias("label"), "source_ref", "target_ref", "source_hash")
 
 
+def in_scan_scope(source: DataFrame, policy: Policy) -> DataFrame:
+    """The refs (ref, ..) under the prefixes that the policy can use; over a table of refs the scan itself is so limited."""
+    wanted = [F.col("ref").startswith(p) for p in policy.scan_prefixes()]
+    return source.where(reduce(lambda a, b: a | b, wanted))
+
+
+def overlapping_excludes(excludes: DataFrame) -> DataFrame:
+    """(at, prefix) of exclusion prefixes (at, prefix) that could hide a branch or a tag, the first of equal ones.
+
+    Up to the end of the shorter of the two, such a prefix and the name space of branches or of tags are the same.
+    """
+    trimmed = excludes.select("at", "prefix", F.trim("prefix").alias("name"))
+    shared = lambda space: F.left("name", F.lit(len(space))) == F.left(F.lit(space), F.length("name"))
+    return trimmed.where(shared(HEADS) | shared(TAGS)).groupBy("name").agg(F.min("at").alias("at"), F.min_by("prefix", "at").alias("prefix")).select("at", "prefix")
+
+
 def prune_scope(ref: Column, policy: Policy) -> Column:
     """Whether a target ref outside the desired set is ours to delete."""
     kind = ref_kind(ref)
@@ -104,7 +122,7 @@ def plan_replication(desired: DataFrame, target: DataFrame, policy: Policy) -> D
     moved = F.concat(t, F.lit(" -> "), s)
     over = F.when(F.col("kind") == "tag", " (replicate tag overwrite)").otherwise(" (replicate overwrite)")
     gone, same, new = F.col("source_hash").isNull(), F.col("source_hash") == F.col("target_hash"), is_zero(F.col("target_hash"))
-    action = F.when(gone, "delete").when(same, "skip").when(new, "create").otherwise("update")
+    action = F.when(gone, "delete").when(same, "skip").otherwise(action_for_target(F.col("target_hash")))
     reason = F.when(gone, F.concat(t, F.lit(" -> <deleted>"))).when(same, F.concat(s, F.lit(" already current"))).when(new, F.concat(s, F.lit(" -> <new>"))).otherwise(F.concat(moved, over))
     return _rows(joined, action, reason)
 
@@ -135,9 +153,8 @@ def apply_rejections(plans: DataFrame, rejections: DataFrame) -> DataFrame:
 
 
 def lease_failures(rejections: DataFrame) -> DataFrame:
-    """One row: how many rejections mean that the target moved, and their refs in order."""
-    hit = lease_failure(F.coalesce("status", F.lit("")))
-    return rejections.agg(F.count_if(hit).alias("failures"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("target_ref")))), ", ").alias("refs"))
+    """(target_ref, status) of the rejections that mean that the target moved; under a lease, any of them is fatal."""
+    return rejections.where(lease_failure(F.coalesce("status", F.lit("")))).select("target_ref", "status")
 
 
 def tally(plans: DataFrame, dry_run: bool = False) -> DataFrame:
@@ -192,6 +209,20 @@ REASONS = {
     "boot_none": "bootstrap-no-managed-refs",
     "boot_exists": "bootstrap-target-ref-exists",
     "boot_ok": "empty-target-managed-refs",
+    "branch_mapping": "incremental-non-branch-mapping",
+    "branch_missing": "incremental-branch-target-missing",
+    "branch_taken": "incremental-branch-create-target-not-empty",
+    "branch_action": "incremental-branch-action-not-update-or-create",
+    "tag_mapping": "incremental-non-tag-mapping",
+    "tag_action": "incremental-tag-action-not-create",
+    "other_kind": "incremental-unsupported-ref-kind",
+    "tags_plan": "incremental-tag-relay-non-tag-plan",
+    "tags_mapping": "incremental-tag-relay-non-tag-mapping",
+    "tags_action": "incremental-tag-relay-tag-action-not-create",
+    "replicate_kind": "replicate-unsupported-ref-kind",
+    "relay_unknown": "replicate-missing-target-capabilities",
+    "relay_no_thin": "replicate-target-capable-no-thin",
+    "relay_ok": "replicate-target-capable",
 }
 
 
@@ -212,13 +243,13 @@ def incremental_eligibility(plans: DataFrame, policy: Policy, capabilities_known
     kind, action, source, target = F.col("kind"), F.col("action"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
     missing = is_zero(F.col("target_hash"))
     fault = (
-        F.when((kind == "branch") & ~((source == "branch") & (target == "branch")), "incremental-non-branch-mapping")
-        .when((kind == "branch") & (action == "update") & missing, "incremental-branch-target-missing")
-        .when((kind == "branch") & (action == "create") & ~missing, "incremental-branch-create-target-not-empty")
-        .when((kind == "branch") & ~action.isin("create", "update"), "incremental-branch-action-not-update-or-create")
-        .when((kind == "tag") & ~((source == "tag") & (target == "tag")), "incremental-non-tag-mapping")
-        .when((kind == "tag") & (action != "create"), "incremental-tag-action-not-create")
-        .when(kind == "other", "incremental-unsupported-ref-kind")
+        F.when((kind == "branch") & ~((source == "branch") & (target == "branch")), REASONS["branch_mapping"])
+        .when((kind == "branch") & (action == "update") & missing, REASONS["branch_missing"])
+        .when((kind == "branch") & (action == "create") & ~missing, REASONS["branch_taken"])
+        .when((kind == "branch") & ~action.isin("create", "update"), REASONS["branch_action"])
+        .when((kind == "tag") & ~((source == "tag") & (target == "tag")), REASONS["tag_mapping"])
+        .when((kind == "tag") & (action != "create"), REASONS["tag_action"])
+        .when(kind == "other", REASONS["other_kind"])
     )
     if not capabilities_known:
         fault = F.lit(REASONS["unknown"])
@@ -228,9 +259,9 @@ def incremental_eligibility(plans: DataFrame, policy: Policy, capabilities_known
 def tag_create_eligibility(plans: DataFrame) -> DataFrame:
     kind, source, target = F.col("kind"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
     fault = (
-        F.when(kind != "tag", "incremental-tag-relay-non-tag-plan")
-        .when(~((source == "tag") & (target == "tag")), "incremental-tag-relay-non-tag-mapping")
-        .when(F.col("action") != "create", "incremental-tag-relay-tag-action-not-create")
+        F.when(kind != "tag", REASONS["tags_plan"])
+        .when(~((source == "tag") & (target == "tag")), REASONS["tags_mapping"])
+        .when(F.col("action") != "create", REASONS["tags_action"])
     )
     return _quantified(plans, fault, REASONS["tags"], REASONS["none"])
 
@@ -246,7 +277,7 @@ def replicate_eligibility(plans: DataFrame) -> DataFrame:
     """Whether all rows are creates or updates between refs of one kind; no rows pass."""
     kind, source, target = F.col("kind"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
     fault = (
-        F.when(~kind.isin("branch", "tag", "other"), "replicate-unsupported-ref-kind")
+        F.when(~kind.isin("branch", "tag", "other"), REASONS["replicate_kind"])
         .when((source != kind) | (target != kind), F.concat(F.lit("replicate-non-"), kind, F.lit("-mapping")))
         .when(~F.col("action").isin("create", "update"), F.concat(F.lit("replicate-"), kind, F.lit("-action-not-create-or-update")))
     )
@@ -263,7 +294,7 @@ def bootstrap_eligibility(desired: DataFrame, target: DataFrame, policy: Policy)
 def relay_support(targets: DataFrame) -> DataFrame:
     """(target, supported, reason) for rows (target, capabilities_known, no_thin)."""
     known = F.col("capabilities_known")
-    reason = F.when(~known, "replicate-missing-target-capabilities").when(F.col("no_thin"), "replicate-target-capable-no-thin").otherwise("replicate-target-capable")
+    reason = F.when(~known, REASONS["relay_unknown"]).when(F.col("no_thin"), REASONS["relay_no_thin"]).otherwise(REASONS["relay_ok"])
     return targets.select("target", known.alias("supported"), reason.alias("reason"))
 
 

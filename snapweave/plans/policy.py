@@ -87,13 +87,3 @@ class Policy:
                 found.add(HEADS)
         return sorted(found | ({TAGS} if self.include_tags else set()))
 
-
-def overlapping_excludes(prefixes: list[str]) -> list[str]:
-    """Exclusion prefixes that would touch branches or tags, once each, in order."""
-    seen, bad = set(), []
-    for raw in prefixes:
-        p = raw.strip()
-        if p not in seen and any(p.startswith(x) or x.startswith(p) for x in (HEADS, TAGS)):
-            seen.add(p)
-            bad.append(raw)
-    return bad

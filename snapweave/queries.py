@@ -17,6 +17,7 @@ from .plans import actions as A
 from .plans.policy import Mapping, Policy
 from .sources import derived as D
 from .sources import protocol as P
+from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,7 +87,7 @@ def scope_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _desired(spark, sf_dir, RENAMES)
 
 
-# The plan if every branch change is a fast-forward (flagship)
+# The plan if every branch change is a fast-forward (flagship)
 @query(f"WITH {FORWARD} SELECT {PLAN_REST} FROM plan")
 def plan_fast_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forward(spark, sf_dir)
@@ -181,7 +182,7 @@ def plan_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Rejections that mean a moved target
-@query(f"WITH {SNAPSHOTS}, {REJECTED} SELECT count(*) AS failures, string_agg(target_ref, ', ' ORDER BY target_ref) AS refs FROM rej WHERE status IN ('Stale info', 'non-fast-forward')")
+@query(f"WITH {SNAPSHOTS}, {REJECTED} SELECT target_ref, status FROM rej WHERE status IN ('Stale info', 'non-fast-forward')")
 def lease_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.lease_failures(_rejections(spark, sf_dir))
 
@@ -202,9 +203,10 @@ def plan_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('incremental-unknown', false, 'incremental-missing-target-capabilities'), ('tags', true, 'tag-create-full-pack'), ('replicate', false, 'replicate-branch-action-not-create-or-update'),
 ('replicate-none', true, 'replicate-overwrite-relay'), ('fallback', NULL, 'incremental-tag-relay-non-tag-plan')) v("check", eligible, reason)""")
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, target = _forward(spark, sf_dir), D.target_refs(spark, sf_dir)
+    scratch, target = Scratch(spark, "eligibility"), D.target_refs(spark, sf_dir)
+    plans = scratch.save(_forward(spark, sf_dir), "plans")
     branches = plans.where("kind = 'branch' and action in ('create', 'update')")
-    over = A.plan_replication(_desired(spark, sf_dir), target, EVERYTHING)
+    over = scratch.save(A.plan_replication(_desired(spark, sf_dir), target, EVERYTHING), "replication")
     found = {
         "bootstrap": A.bootstrap_eligibility(_desired(spark, sf_dir), target, EVERYTHING),
         "bootstrap-forced": A.bootstrap_eligibility(_desired(spark, sf_dir), target, Policy(force=True)),
@@ -379,12 +381,17 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(D.commit_edges(spark, sf_dir), D.commits(spark, sf_dir))
 
 
-# Smallest-ready-first order (no SQL; tested against a walker)
+# Smallest-ready-first order of the whole graph (no SQL; tested against a walker)
 @query()
 def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = D.commit_edges(spark, sf_dir).groupBy(F.col("child").alias("node")).agg(F.array_sort(F.collect_list(F.struct("ord", "parent"))).alias("p"))
-    rows = D.commits(spark, sf_dir).join(found, "node", "left").select("branch", "node", F.coalesce(F.col("p.parent"), F.array().cast("array<string>")).alias("parents"))
-    return graph.topological_order(rows)
+    return graph.topological_order(D.commit_edges(spark, sf_dir), D.commits(spark, sf_dir).select("node"))
+
+
+# Everything reachable from the tips, with types
+@query(f"WITH RECURSIVE {REACH} SELECT DISTINCT node AS hash, 'commit' AS type FROM reach")
+def typed_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = D.commits(spark, sf_dir).select(F.col("node").alias("hash"), F.lit("commit").alias("type"))
+    return graph.typed_closure(D.commit_edges(spark, sf_dir), D.tips(spark, sf_dir).select("node"), kinds)
 
 
 CHAIN = f"o AS (SELECT o_custkey AS branch, {HASH} AS hash, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders)"
@@ -402,7 +409,7 @@ def even_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _even(spark, sf_dir)
 
 
-# Gaps halved, from where each branch stands
+# Gaps halved, from where each branch stands
 @query(f"""WITH {EVEN}, cur AS (SELECT branch, pos AS at FROM o WHERE pos = 0 AND branch % 2 = 0), g AS (SELECT e.branch, e.pos, coalesce(lag(e.pos) OVER (PARTITION BY e.branch ORDER BY e.pos), c.at, -1) AS prev FROM even_ e LEFT JOIN cur c USING (branch)),
 p AS (SELECT branch, pos FROM g UNION ALL SELECT branch, prev + (pos - prev) // 2 FROM g WHERE pos - prev > 1) SELECT branch, pos, hash FROM p JOIN o USING (branch, pos)""")
 def subdivided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,7 +417,21 @@ def subdivided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.subdivided(chain, _even(spark, sf_dir), chain.where("pos = 0 and branch % 2 = 0").select("branch", "hash"))
 
 
-# Where to resume
+def _halved(before: str, after: str) -> str:
+    """SQL: a relation of checkpoints with the middles of its gaps."""
+    gaps = f"(SELECT branch, pos, coalesce(lag(pos) OVER (PARTITION BY branch ORDER BY pos), -1) AS prev FROM {before})"
+    return f"{after} AS (SELECT branch, pos FROM {before} UNION ALL SELECT branch, prev + (pos - prev) // 2 FROM {gaps} WHERE pos - prev > 1)"
+
+
+# Halved until there are three, from the tips alone
+@query(f"WITH {CHAIN}, tip AS (SELECT branch, pos FROM o WHERE pos = size - 1), {_halved('tip', 'one')}, {_halved('one', 'two')} SELECT branch, pos, hash FROM two JOIN o USING (branch, pos)")
+def subdivided_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = D.first_parents(spark, sf_dir)
+    tips = chains.even_checkpoints(chain, chain.select("branch").distinct().withColumn("n", F.lit(1)))
+    return chains.subdivided_to(chain, tips.select("branch", "pos"), 3)
+
+
+# Where to resume
 @query(f"WITH {CHAIN} SELECT branch, CAST(max(CASE WHEN pos % 4 = 0 THEN pos + 1 END) AS BIGINT) AS resume_at FROM o GROUP BY branch")
 def resume_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = D.first_parents(spark, sf_dir)
@@ -524,7 +545,7 @@ def hash_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBJECTS = f"""obj AS (SELECT {HASH} AS hash, CASE o_orderkey % 4 WHEN 0 THEN 'blob' WHEN 1 THEN 'tree' WHEN 2 THEN 'commit' ELSE 'tag' END AS type FROM orders
 UNION ALL SELECT left({HASH}, 10) || left(sha1('x:' || o_orderstatus || o_orderkey), 30), 'commit' FROM orders WHERE o_orderkey % 10 = 2)"""
-MESSAGES = f"msg AS (SELECT doc_id AS id, text || ' see ' || left({HASH}, CAST(7 + doc_id % 34 AS INTEGER)) || '.' AS message FROM documents JOIN orders ON o_orderkey = doc_id)"
+MESSAGES = f"msg AS (SELECT doc_id AS id, text || coalesce(' see ' || left({HASH}, CAST(7 + doc_id % 34 AS INTEGER)) || '.', '') AS message FROM documents LEFT JOIN orders ON o_orderkey = doc_id)"
 RUNS = f"{MESSAGES}, runs AS (SELECT id, unnest(regexp_extract_all(message, '(?i)\\b[0-9a-f]{{7,40}}\\b')) AS prefix FROM msg)"
 VERDICTS = f"{RUNS}, p AS (SELECT DISTINCT lower(prefix) AS prefix FROM runs), {OBJECTS}, v AS (SELECT p.prefix, count(DISTINCT hash) AS n, min(hash) AS hash FROM p LEFT JOIN (SELECT DISTINCT hash FROM obj WHERE type IN ('commit', 'tag')) k ON starts_with(k.hash, p.prefix) GROUP BY 1)"
 
@@ -549,16 +570,10 @@ def ambiguous_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversion.ambiguous_prefixes(D.messages(spark, sf_dir), D.objects(spark, sf_dir))
 
 
-def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.commits(spark, sf_dir).select(F.col("node").alias("commit"), F.concat(F.lit("t"), "node").alias("tree"), F.concat(F.lit("author "), F.col("key").cast("string")).alias("header"))
-    trees = rows.select(F.col("tree").alias("sha1"), F.sha2("tree", 256).alias("sha256"))
-    return conversion.convert_commits(rows, D.commit_edges(spark, sf_dir), trees)
-
-
-# Commits rehashed level by level (no SQL; tested against a walker)
+# A whole object graph rehashed (no SQL; tested against a walker)
 @query()
-def convert_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(spark, sf_dir)
+def convert_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversion.convert_objects(*D.object_store(spark, sf_dir))
 
 
 MAPPED = f"{DESIRED}, map AS (SELECT {HASH} AS sha1, sha256({HASH}) AS sha256 FROM orders)"
@@ -581,22 +596,44 @@ def ref_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversion.ref_check(desired, mapping, conversion.written_refs(desired, mapping).where(~F.col("ref").endswith("7")))
 
 
-# K6 K5: notes with the old hashes
+# Does HEAD stand
+@query(f"WITH {MAPPED} SELECT 'refs/heads/3' AS head, min(sha256) AS hash, count(*) > 0 AS stands FROM des JOIN map ON sha1 = source_hash WHERE target_ref = 'refs/heads/3'")
+def head_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = spark.createDataFrame([("refs/heads/3",)], "head string")
+    return conversion.head_check(head, conversion.written_refs(_desired(spark, sf_dir), _mapping(spark, sf_dir)))
+
+
+# K5: the lines of the mapping file
+@query(f"WITH m AS (SELECT {HASH} AS sha1, sha256({HASH}) AS sha256 FROM orders) SELECT row_number() OVER (ORDER BY sha1) AS pos, sha1 || chr(9) || sha256 AS line FROM m UNION ALL SELECT 0, '# sha1' || chr(9) || 'sha256'")
+def mapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversion.mapping_lines(_mapping(spark, sf_dir))
+
+
+# K6: notes with the old hashes
 @query(f"SELECT sha256({HASH}) AS path, {HASH} || chr(10) AS body FROM orders WHERE o_orderkey % 2 = 0")
 def origin_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversion.origin_notes(_mapping(spark, sf_dir))
 
 
 # Signatures stripped
-@query("SELECT o_orderkey AS id, o_orderpriority AS author, CAST((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT AS BIGINT) AS stripped FROM orders")
+@query("SELECT o_orderkey AS id, o_orderpriority AS author, CAST((o_orderkey % 2 = 0)::INT + o_orderkey % 3 AS BIGINT) AS stripped FROM orders")
 def strip_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    entries = F.filter(
-        F.array(F.struct(F.lit("author").alias("k"), F.col("o_orderpriority").alias("v")), F.struct(F.when(k % 2 == 0, "gpgsig").alias("k"), F.lit("s").alias("v")), F.struct(F.when(k % 3 == 0, "mergetag").alias("k"), F.lit("m").alias("v"))),
-        lambda x: x["k"].isNotNull(),
-    )
-    found = conversion.strip_signatures(D.table(spark, sf_dir, "orders").select(k.alias("id"), F.map_from_entries(entries).alias("headers")))
-    return found.select("id", F.element_at("headers", "author").alias("author"), "stripped")
+    header = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    signed = F.when(k % 2 == 0, F.array(header("gpgsig", F.lit("s")), header("gpgsig-sha256", F.lit("t")))).otherwise(F.array())
+    entries = F.concat(signed, F.array_repeat(header("mergetag", F.lit("m")), (k % 3).cast("int")), F.array(header("author", F.col("o_orderpriority"))))
+    found = conversion.strip_signatures(D.table(spark, sf_dir, "orders").select(k.alias("id"), entries.alias("headers")))
+    return found.select("id", F.col("headers")[0]["value"].alias("author"), "stripped")
+
+
+# exclusions that would hide branches or tags
+@query(f"""WITH x AS (SELECT o_orderkey AS "at", ' ' || left({KEY_REF}, CAST(o_orderkey % 13 AS INTEGER)) AS prefix FROM orders),
+h AS (SELECT *, trim(prefix) AS name FROM x) SELECT min("at") AS "at", arg_min(prefix, "at") AS prefix FROM h
+WHERE starts_with(name, 'refs/heads/') OR starts_with('refs/heads/', name) OR starts_with(name, 'refs/tags/') OR starts_with('refs/tags/', name) GROUP BY name""")
+def overlapping_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    prefix = F.concat(F.lit(" "), F.left(D.order_ref(), (k % 13).cast("int")))
+    return A.overlapping_excludes(D.table(spark, sf_dir, "orders").select(k.alias("at"), prefix.alias("prefix")))
 
 
 # names that side outputs would overwrite

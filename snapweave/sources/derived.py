@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.transfer import running_totals
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,19 +16,19 @@ def order_hash(prefix: str = "s:") -> Column:
     return F.sha1(F.concat(F.lit(prefix), "o_orderstatus", F.col("o_orderkey").cast("string")).cast("binary"))
 
 
-def _order_ref() -> Column:
+def order_ref() -> Column:
     k = F.col("o_orderkey")
     space = F.when(k % 3 == 0, "heads").when(k % 3 == 1, "tags").otherwise("notes")
     return F.concat(F.lit("refs/"), space, F.lit("/"), k.cast("string"))
 
 
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(_order_ref().alias("ref"), order_hash().alias("hash"))
+    return table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(order_ref().alias("ref"), order_hash().alias("hash"))
 
 
 def target_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 5 == 0, order_hash("t:")).otherwise(order_hash())
-    return table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(_order_ref().alias("ref"), value.alias("hash"))
+    return table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(order_ref().alias("ref"), value.alias("hash"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +80,34 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(order_hash().alias("hash"), kind.alias("type")).unionByName(rows.where(k % 10 == 2).select(twin.alias("hash"), F.lit("commit").alias("type")))
 
 
+def object_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Blobs, tree entries, commits, their edges and tags: a root tree for each order with a directory of its customer; commits name their parents in messages."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("author"), order_hash().alias("node"))
+    name = lambda kind, x: F.sha1(F.concat(F.lit(kind), F.col(x).cast("string")).cast("binary"))
+    rows = rows.withColumn("c97", F.col("c") % 97)
+    blobs = rows.select(name("b:", "c97").alias("hash"), F.concat(F.lit("body "), F.col("c97").cast("string")).alias("body")).distinct()
+    entry = lambda frame, tree, at, mode, label, child: frame.select(tree.alias("tree"), F.lit(at).alias("at"), F.lit(mode).alias("mode"), F.lit(label).alias("name"), child.alias("child"))
+    customers = rows.select("c", "c97").distinct()
+    entries = entry(rows, name("r:", "k"), 0, "100644", "data", name("b:", "c97")).unionByName(entry(rows, name("r:", "k"), 1, "40000", "dir", name("d:", "c")))
+    entries = entries.unionByName(entry(customers, name("d:", "c"), 0, "100644", "note", name("b:", "c97")))
+    edges = commit_edges(spark, sf_dir)
+    first = edges.where("ord = 1").select(F.col("child").alias("node"), F.col("parent").alias("before"))
+    header = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    signed = F.when(F.col("k") % 4 == 0, F.array(header("gpgsig", F.lit("signed")))).otherwise(F.array())
+    headers = F.concat(F.array(header("author", F.col("author"))), signed, F.array_repeat(header("mergetag", F.lit("object")), (F.col("k") % 3).cast("int")))
+    message = F.concat(F.lit("Order "), F.col("k").cast("string"), F.when((F.col("k") % 5 == 0) & F.col("before").isNotNull(), F.concat(F.lit(", after "), F.substring("before", 1, 12))).otherwise(""))
+    commits_ = rows.join(first, "node", "left").select(F.col("node").alias("hash"), name("r:", "k").alias("tree"), headers.alias("headers"), message.alias("message"))
+    some = rows.where("k % 8 = 0")
+    tags = some.select(name("t:", "k").alias("hash"), F.col("node").alias("target"), F.array(header("type", F.lit("commit")), header("tag", F.concat(F.lit("v"), F.col("k").cast("string")))).alias("headers"), F.lit("A tag").alias("message"))
+    return blobs, entries, commits_, edges, tags
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, message): document texts that end by naming the order of the same number, by more or fewer digits."""
+    """(id, message): document texts; where there is an order of the same number, they end by naming it, by more or fewer digits."""
     docs, orders = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "orders")
     digits = F.expr("substring(h, 1, cast(7 + doc_id % 34 as int))")
-    joined = docs.join(orders.select(F.col("o_orderkey").alias("doc_id"), order_hash().alias("h")), "doc_id")
-    return joined.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" see "), digits, F.lit(".")).alias("message"))
+    joined = docs.join(orders.select(F.col("o_orderkey").alias("doc_id"), order_hash().alias("h")), "doc_id", "left")
+    return joined.select(F.col("doc_id").alias("id"), F.concat("text", F.coalesce(F.concat(F.lit(" see "), digits, F.lit(".")), F.lit(""))).alias("message"))
 
 
 def _micros(ts: Column) -> Column:
@@ -97,8 +121,7 @@ def transfer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, at_us, total) with running totals."""
-    order = Window.partitionBy("label").orderBy("at_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return transfer_log(spark, sf_dir).select("label", "at_us", F.sum("bytes").over(order).alias("total"))
+    return running_totals(transfer_log(spark, sf_dir))
 
 
 def service_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,13 @@ def windowed_totals(log: DataFrame, span: str = "1 day", late: str = "1 hour") -
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process what is there now into an in-memory table and return it."""
+    """Process what is there now; the result of the last batch is a table in the shared folder."""
     spark = SparkSession.active()
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}")
+    at = f"{shared_dir(spark)}/stream-{name}"
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/result")
+
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/result")

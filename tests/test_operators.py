@@ -1,3 +1,7 @@
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,36 +17,78 @@ def value(spark, column, **values):
     return spark.range(1).select(column(*(F.lit(v) for v in values.values())).alias("v")).first().v
 
 
-@pytest.mark.parametrize(("n", "limit", "want"), [(0, MIB, 1), (-5, MIB, 1), (100, 0, 1), (100, -1, 1), (10, 655_360, 1), (1000, 6_553_600, 10), (101, 6_553_600, 2)])
-def test_batch_count(spark, n, limit, want):
-    assert value(spark, B.batch_count, n=n, limit=limit) == want
+def numbers(seed, n, *tops):
+    """Rows of numbers from below 0 to far above the tops, many near them."""
+    rng = random.Random(seed)
+    return [tuple(rng.choice([rng.randrange(-2, 3), rng.randrange(top), int(top * rng.uniform(0.8, 1.2)), top]) for top in tops) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("sent", "limit", "want"), [(0, 0, 2), (100, 1000, 2), (1000, 1000, 4), (524 * MIB, 500 * MIB, 5), (8 << 30, 256 * MIB, 128), (800, 1000, 2), (900, 1000, 4), (-1, 100, 2)])
-def test_split_factor(spark, sent, limit, want):
-    assert value(spark, B.split_factor, sent=sent, limit=limit) == want
+def computed(spark, column, names, rows):
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {', '.join(f'{n} long' for n in names)}")
+    return [r.v for r in frame.select("i", column(*(F.col(n) for n in names)).alias("v")).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize(("sent", "limit", "most", "want"), [(30_000_000, 50_000_000, 100, 0), (13_000_000, 50_000_000, 100, 0), (1_000_000, 50_000_000, 100, 4), (6200, 50_000_000, 100, 8), (6200, 50_000_000, 3, 3), (0, 50_000_000, 100, 0), (1024, 0, 100, 0), (1024, 50_000_000, 0, 0)])
-def test_drop_count(spark, sent, limit, most, want):
-    assert value(spark, B.drop_count, sent=sent, limit=limit, most=most) == want
+def test_batch_count_by_its_formula(spark):
+    rows = numbers(11, 300, 5000, 200 * MIB)
+    plain = lambda n, limit: 1 if n <= 0 or limit <= 0 else max(1, math.ceil(Fraction(n * 65_536, limit)))
+    assert computed(spark, B.batch_count, ["n", "limit"], rows) == [plain(*r) for r in rows]
 
 
-def chain(spark, n, branch=1):
-    return spark.createDataFrame([(branch, i, f"h{i}") for i in range(n)], "branch long, pos long, hash string")
+def test_split_factor_by_its_formula(spark):
+    """Parts of at most half the limit, or of a quarter if nearly all of it was sent; two at least."""
+    rows = numbers(12, 300, 3 << 30, 600 * MIB) + [(9 * k, 10 * k) for k in (1, 7, MIB)] + [(9 * k - 1, 10 * k) for k in (1, 7, MIB)]
+
+    def plain(sent, limit):
+        if sent <= 0 or limit <= 0:
+            return 2
+        part = Fraction(limit, 4 if Fraction(sent, limit) >= Fraction(9, 10) else 2)
+        return max(2, math.ceil(sent / part))
+
+    assert computed(spark, B.split_factor, ["sent", "limit"], rows) == [plain(*r) for r in rows]
 
 
-@pytest.mark.parametrize(("n", "batches", "want"), [(10, 1, [9]), (10, 3, [2, 5, 9]), (1, 5, [0]), (3, 10, [2])])
-def test_even_checkpoints(spark, n, batches, want):
-    found = chains.even_checkpoints(chain(spark, n), spark.createDataFrame([(1, batches)], "branch long, n int"))
-    assert sorted(r.pos for r in found.collect()) == want
+def test_drop_count_by_its_formula(spark):
+    """Doublings of what was sent until half the limit would be passed, eight at most."""
+    rows = numbers(13, 300, 90_000_000, 70_000_000, 12) + [(1, limit, 50) for limit in range(0, 600, 7)]
 
+    def plain(sent, limit, most):
+        drops = 0
+        while min(sent, limit, most) > 0 and drops < min(8, most) and 2 * (sent << drops) <= limit // 2:
+            drops += 1
+        return drops
+
+    assert computed(spark, B.drop_count, ["sent", "limit", "most"], rows) == [plain(*r) for r in rows]
+
+
+def chain(spark, n, branch=1):
+    return spark.createDataFrame([(branch, i, f"h{i}") for i in range(n)], "branch long, pos long, hash string")
 
-@pytest.mark.parametrize(("current", "now", "want"), [("h0", [9], [4, 9]), (None, [9], [4, 9]), ("h8", [9], [9]), (None, [4, 9], [1, 4, 6, 9]), ("gone", [9], [9])])
-def test_subdivided(spark, current, now, want):
-    rows = spark.createDataFrame([(1, p) for p in now], "branch long, pos long")
-    at = None if current is None else spark.createDataFrame([(1, current)], "branch long, hash string")
-    assert sorted(r.pos for r in chains.subdivided(chain(spark, 10), rows, at).collect()) == want
+
+def test_even_checkpoints_cut_into_equal_parts(spark):
+    rows = [(k, size, n) for k, (size, n) in enumerate((size, n) for size in (1, 2, 7, 12, 25) for n in (0, 1, 2, 5, 7, 12, 30))]
+    whole = spark.createDataFrame([(k, i, f"h{i}") for k, size, _ in rows for i in range(size)], "branch long, pos long, hash string")
+    found = {k: [] for k, _, _ in rows}
+    for r in chains.even_checkpoints(whole, spark.createDataFrame([(k, n) for k, _, n in rows], "branch long, n int")).collect():
+        found[r.branch].append(r.pos)
+    for k, size, n in rows:
+        part = size // n if 1 < n < size else size
+        want = [part * i - 1 for i in range(1, n)] if 1 < n < size else []
+        assert sorted(found[k]) == [*want, size - 1], (size, n)
+
+
+def test_subdivided_halves_every_gap(spark):
+    rng = random.Random(14)
+    cases = [(k, sorted(rng.sample(range(30), rng.randrange(1, 6))), rng.choice([None, rng.randrange(3), 99])) for k in range(20)]
+    whole = spark.createDataFrame([(k, i, f"h{i}") for k, _, _ in cases for i in range(30)], "branch long, pos long, hash string")
+    now = spark.createDataFrame([(k, p) for k, points, _ in cases for p in points], "branch long, pos long")
+    current = spark.createDataFrame([(k, f"h{at}") for k, _, at in cases if at is not None], "branch long, hash string")
+    found = {k: set() for k, _, _ in cases}
+    for r in chains.subdivided(whole, now, current).collect():
+        found[r.branch].add(r.pos)
+    for k, points, at in cases:
+        begins = [-1 if at is None else at, *points]
+        middles = [] if at == 99 else [a + (b - a) // 2 for a, b in zip(begins, points, strict=False) if b - a > 1]  # 99 isn't in the chain
+        assert found[k] == {*points, *middles}, (points, at)
 
 
 def test_subdivided_to(spark):
@@ -77,46 +123,45 @@ def test_mapping_file(spark, tmp_path):
 H, G = "1" * 40, "2" * 40
 
 
-@pytest.mark.parametrize(
-    ("body", "want"),
-    [
-        (f"tree {H}\nauthor a\n", []),
-        (f"tree {H}\nparent {G}\nauthor a\n", [G]),
-        (f"tree {H}\nparent {G}\nparent {H}\n", [G, H]),
-        (f"parent {G}\ntree {H}\n", []),
-        ("author a\n", []),
-        (f"tree {H}\nauthor a\nparent {G}\n", []),
-        (f"tree {H}\nparent {G}\nx\nparent {H}\n", [G]),
-        (f"tree {H}\nparent {G}\nparent 12\n", [G]),
-        (f"tree {H}\nparent {'z' * 40}\n", []),
-        (f"tree {H}\nparent {G}\nparent {H}\nparent {G}\n", [G, H, G]),
-        ("", []),
-    ],
-)
-def test_commit_parents(spark, body, want):
-    assert value(spark, P.commit_parents, body=body) == want
-
-
-@pytest.mark.parametrize(
-    ("a", "b", "same"),
-    [
-        (" https://h/x ", "https://h/x", True),
-        ("https://me:pw@h/x", "https://h/x", True),
-        ("https://h:443/x", "https://h/x", True),
-        ("http://h:80/x", "http://h/x", True),
-        ("https://H/x", "https://h/x", True),
-        ("https://h/x//", "https://h/x", True),
-        ("https://h", "https://h/", True),
-        ("https://h:8443/x", "https://h/x", False),
-        ("https://h/x", "https://g/x", False),
-        ("https://h/X", "https://h/x", False),
-        ("http://h/x", "https://h/x", False),
-        ("", "", False),
-        ("https://h/x?a=1", "https://h/x", False),
-    ],
-)
-def test_same_repository(spark, a, b, same):
-    assert value(spark, R.same_repository, a=a, b=b) is same
+def plain_parents(body):
+    """Line by line: a tree line first, then parents for as long as they go on and are sound."""
+    lines, out = body.split("\n"), []
+    if not lines[0].startswith("tree "):
+        return out
+    for line in lines[1:]:
+        word, _, name = line.partition(" ")
+        if word != "parent" or len(name) != 40 or not set(name.lower()) <= set("0123456789abcdef") or not name.strip("0"):
+            break
+        out.append(name.lower())
+    return out
+
+
+def test_commit_parents_of_generated_bodies(spark):
+    rng = random.Random(15)
+    name = lambda: f"{rng.randrange(1 << 160):040x}"
+    kinds = [lambda: f"parent {name()}", lambda: f"parent {name().upper()}", lambda: f"parent {name()}", lambda: "parent " + "0" * 40, lambda: f"parent {name()[:30]}", lambda: f"parent {name()[:39]}g", lambda: f"author {name()}", lambda: ""]
+    bodies = [""] + ["\n".join([f"tree {name()}"] * (k % 7 > 0) + [rng.choice(kinds[: rng.choice([3, 8])])() for _ in range(rng.randrange(6))] + ["author a", "", "parent of all"]) for k in range(200)]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    found = [r.v for r in frame.select("i", P.commit_parents(F.col("body")).alias("v")).orderBy("i").collect()]
+    assert found == [plain_parents(b) for b in bodies] and sum(map(bool, found)) > 60
+
+
+def test_same_repository_by_its_rule(spark):
+    """Spellings of one address are the same; another port, host, path or scheme is not."""
+    rng = random.Random(16)
+    base = {"scheme": "https", "host": "git.example.org", "port": "", "path": "/team/tool"}
+
+    def spelled(scheme, host, port, path):
+        if not port and rng.random() < 0.5:
+            port = {"https": ":443", "http": ":80"}[scheme]
+        user = rng.choice(["", "bot@", "bot:key@"])
+        return rng.choice(["", " "]) + rng.choice([scheme, scheme.upper()]) + "://" + user + rng.choice([host, host.title()]) + port + path + rng.choice(["", "/", "//"])
+
+    changes = {"scheme": "http", "host": "git2.example.org", "port": ":8443", "path": "/team/Tool"}
+    rows = [(spelled(**base), spelled(**base), True) for _ in range(40)] + [(spelled(**base), spelled(**(base | {k: v})), False) for k, v in changes.items() for _ in range(10)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, want boolean")
+    found = [r.v for r in frame.select("i", R.same_repository(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()]
+    assert found == [want for *_, want in rows]
 
 
 def test_bench_summary(spark):
@@ -139,6 +184,16 @@ def test_rates(spark):
     assert [r.done for r in marks if r.label == "s"] == [False] * 11 + [True]
 
 
+def test_rates_and_totals_do_not_depend_on_blocks(spark):
+    rng = random.Random(17)
+    log = spark.createDataFrame([(rng.choice("ab"), rng.randrange(30_000_000), rng.randrange(1000), i) for i in range(400)], "label string, at_us long, bytes long, event_id long")
+    whole = transfer.running_totals(log)
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    assert rows(whole) == rows(transfer.running_totals(log, 13)) and whole.agg(F.max("total")).first()[0] > 0
+    for of in (transfer.instant_rates, transfer.idle_marks):
+        assert rows(of(whole)) == rows(of(whole, 13))
+
+
 @pytest.mark.parametrize(("n", "want"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.00 KB"), (15_360, "15.0 KB"), (102_400, "100 KB"), (1 << 20, "1.00 MB"), (3 << 40, "3.00 TB")])
 def test_human_bytes(spark, n, want):
     assert value(spark, R.human_bytes, n=n) == want

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from snapweave.plans import actions as A
-from snapweave.plans.policy import Mapping, Policy, PolicyError, overlapping_excludes
+from snapweave.plans.policy import Mapping, Policy, PolicyError
 
 
 def refs(spark, rows):
@@ -52,25 +54,39 @@ def test_zero_hash_is_no_source_and_no_target(spark):
         A.plan_bootstrap(desired, refs(spark, [("refs/heads/a", TWO)])).collect()
 
 
-@pytest.mark.parametrize(
-    ("ref", "prefixes", "exact", "want"),
-    [
-        ("refs/heads/main", (), (), False),
-        ("refs/pull/1/head", ("refs/pull/",), (), True),
-        ("refs/pullx", ("refs/pull/",), (), False),
-        ("refs/heads/main", ("", " "), (), False),
-        ("refs/heads/kept", (), ("refs/heads/kept",), True),
-        ("refs/heads/kept/foo", (), ("refs/heads/kept",), False),
-        ("refs/heads/keptly", (), ("refs/heads/kept",), False),
-        ("refs/heads/main", (), (" ",), False),
-        ("refs/heads/kept/own/x", ("refs/heads/kept/own/",), ("refs/heads/kept",), True),
-        ("refs/heads/kept", ("refs/heads/kept/own/",), ("refs/heads/kept",), True),
-        ("refs/heads/kept/foo", ("refs/heads/kept/own/",), ("refs/heads/kept",), False),
-    ],
-)
-def test_exclusion(spark, ref, prefixes, exact, want):
-    found = A.desired_refs(refs(spark, [(ref, ONE)]), Policy(all_refs=True, exclude_prefixes=prefixes, exclude_refs=exact))
-    assert found.isEmpty() is want
+def test_exclusion_by_its_rule(spark):
+    """Generated names: out by a name's beginning or by the whole name, and by nothing blank."""
+    rng = random.Random(1)
+    names = sorted({"refs/" + "/".join(rng.choice(["heads", "wip", "bot", "x1"]) for _ in range(rng.randrange(1, 5))) for _ in range(60)})
+    source = refs(spark, [(n, ONE) for n in names])
+    for _ in range(6):
+        prefixes = [n[: rng.randrange(6, len(n) + 1)] for n in rng.sample(names, 2)] + ["", "\t"]
+        exact = [*rng.sample(names, 3), " "]
+        found = A.desired_refs(source, Policy(all_refs=True, exclude_prefixes=tuple(f" {p} " for p in prefixes), exclude_refs=tuple(exact)))
+        out = {n for n in names for p in prefixes if p.strip() and n[: len(p)] == p} | set(exact)
+        assert {r.target_ref for r in found.collect()} == set(names) - out
+
+
+def test_overlapping_excludes_by_their_rule(spark):
+    """A prefix overlaps a name space if some name begins with both."""
+    spaces = ("refs/heads/", "refs/tags/")
+    prefixes = [x[:k] + tail for x in (*spaces, "refs/notes/", "other/") for k in range(len(x) + 1) for tail in ("", "q", " ")]
+    frame = spark.createDataFrame(list(enumerate(prefixes)), "at int, prefix string")
+    found = [r.prefix for r in A.overlapping_excludes(frame).orderBy("at").collect()]
+    meets = lambda p, x: all(a == b for a, b in zip(p, x, strict=False))
+    first = {p.strip(): p for p in reversed(prefixes)}
+    assert sorted(found) == sorted(raw for p, raw in first.items() if any(meets(p, x) for x in spaces))
+
+
+def test_scan_scope_reaches_the_scan(spark, tmp_path, capsys):
+    refs(spark, [("refs/heads/a", ONE), ("refs/tags/t", ONE), ("refs/notes/n", ONE), ("junk", ONE)]).write.parquet(str(tmp_path / "refs"))
+    table = spark.read.parquet(str(tmp_path / "refs"))
+    for policy, want in ((Policy(), {"refs/heads/a"}), (Policy(include_tags=True), {"refs/heads/a", "refs/tags/t"}), (Policy(all_refs=True), {"refs/heads/a", "refs/tags/t", "refs/notes/n"})):
+        desired = A.desired_refs(table, policy)
+        assert {r.source_ref for r in desired.collect()} == want
+        desired.explain("formatted")
+        pushed = [line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line]
+        assert pushed and all("StringStartsWith(ref" in line for line in pushed)
 
 
 def test_mappings(spark):
@@ -85,7 +101,6 @@ def test_mappings(spark):
         A.desired_refs(refs(spark, [("refs/heads/a", ONE)]), Policy(mappings=(Mapping("x", "y"),))).collect()
     assert Policy(branches=("a",), all_refs=True).checked().branches == ()
     assert Policy(mappings=(Mapping("a", "b"),), include_tags=True).scan_prefixes() == ["refs/heads/", "refs/tags/"]
-    assert overlapping_excludes(["refs/", "refs/pull/", "refs/heads/x", "refs/"]) == ["refs/", "refs/heads/x"]
 
 
 def test_head_ladder(spark):
