@@ -1,13 +1,42 @@
-"""What several operators share: connected components, on tables in the cluster's shared folder."""
+"""What several operators share: groups of sorted rows, and connected components on tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of every value of `keys`, by which the batches are sorted; keys have no nulls."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = bool(held) and any(held[0].column(k)[0] != batch.column(k)[0] for k in keys)
+        for k in keys:
+            new[1:] |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(new).tolist(), n] if not new[0] else [*np.flatnonzero(new).tolist(), n]
+        if new[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and a:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Smallest reachable id for every id in `edges` (a, b): rows (node, component).
 

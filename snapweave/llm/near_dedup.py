@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, sorted_groups
 from .textbits import U64, document_sets, mix
 
 
@@ -31,7 +31,7 @@ RATE = 64.0
 
 @dataclass(frozen=True)
 class NearDedupConfig:
-    """Words per shingle, threshold in per cent, sketch and band sizes, and rows of a block that is compared at once."""
+    """Words per shingle, threshold in per cent, sketch and band sizes, and rows of a block that is compared at once and of a task."""
 
     width: int = 5
     percent: int = 80
@@ -39,7 +39,8 @@ class NearDedupConfig:
     rows: int = 4
     base: float = 1.001
     margin: float = 0.2
-    block: int = 1024
+    block: int = 512
+    task_rows: int = 8192
 
     @property
     def registers(self) -> int:
@@ -62,19 +63,28 @@ def merge_sketches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(left, right)
 
 
-def joint_estimate(n_left: np.ndarray, n_right: np.ndarray, above: np.ndarray, below: np.ndarray, m: int, base: float) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity from the registers that are larger on the left and on the right."""
+def joint_likelihood(share: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, above: np.ndarray, below: np.ndarray, m: int, base: float) -> np.ndarray:
+    """Log likelihood of a Jaccard similarity, given the registers that are larger on the left and on the right."""
     u, v = n_left / (n_left + n_right), n_right / (n_left + n_right)
-    top = np.minimum(u / v, v / u)
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (base - 1) / base) / np.log(base)
-    best, value = np.zeros(len(u)), np.full(len(u), -np.inf)
-    for share in np.linspace(0, 1, 101):
-        j = top * share
-        more, less = p(u - v * j), p(v - u * j)
-        same = np.clip(1 - more - less, 1e-12, 1)
-        fit = above * np.log(np.maximum(more, 1e-12)) + below * np.log(np.maximum(less, 1e-12)) + (m - above - below) * np.log(same)
-        best, value = np.where(fit > value, j, best), np.maximum(fit, value)
-    return best
+    more, less = p(u - v * share), p(v - u * share)
+    same = np.clip(1 - more - less, 1e-12, 1)
+    return above * np.log(np.maximum(more, 1e-12)) + below * np.log(np.maximum(less, 1e-12)) + (m - above - below) * np.log(same)
+
+
+def joint_estimate(n_left: np.ndarray, n_right: np.ndarray, above: np.ndarray, below: np.ndarray, m: int, base: float) -> np.ndarray:
+    """The similarity of the greatest likelihood, to a hundredth of the largest that the sizes allow."""
+    top = np.minimum(n_left / n_right, n_right / n_left)
+    shares = [top * x for x in np.linspace(0, 1, 101)]
+    fits = [joint_likelihood(j, n_left, n_right, above, below, m, base) for j in shares]
+    return np.stack(shares)[np.argmax(fits, axis=0), np.arange(len(top))]
+
+
+def joint_at_least(floor: float, n_left: np.ndarray, n_right: np.ndarray, above: np.ndarray, below: np.ndarray, m: int, base: float) -> np.ndarray:
+    """Is the similarity of the greatest likelihood `floor` or more? The likelihood has one peak, so its slope there tells."""
+    top = np.minimum(n_left / n_right, n_right / n_left)
+    low, high = (joint_likelihood(np.minimum(top, floor + step), n_left, n_right, above, below, m, base) for step in (-0.002, 0.002))
+    return (top >= floor) & (high >= low)
 
 
 def _sketches(width: int, count: int, base: float):
@@ -134,46 +144,82 @@ def _sets(width: int):
     return run
 
 
-def _compare_blocks(config: NearDedupConfig):
-    """Links between components inside one block pair, one for each two components that meet.
+class Block:
+    """The rows of one block pair, and which of them may be linked."""
 
-    Rows whose registers agree too seldom for the threshold are passed over; the others' whole sets are
-    compared. Components that a link has joined aren't compared again, so no list of pairs arises.
-    """
-    m, bands, rows_in_band = config.registers, config.bands, config.rows
-    least = m * (config.percent / 100 - config.margin)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if (rows.component == rows.component.iloc[0]).all():
-            return empty
-        rows = rows.drop_duplicates("rep").sort_values("rep")
-        block, ids, comps = rows.block.to_numpy(), rows.rep.to_numpy(), rows.component.to_numpy().copy()
-        values = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, m)
-        sets = [np.frombuffer(x, U64) for x in rows["items"]]
-        sizes = np.array([len(x) for x in sets])
-        band, out = int(rows.band.iloc[0]), []
-        right = block == j
-        for k in np.flatnonzero(block == i):
-            other = right & (comps != comps[k])
-            if i == j:
+    def __init__(self, rows: pa.Table, config: NearDedupConfig) -> None:
+        self.config = config
+        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
+        self.rows = rows = rows.take(pa.array(order))
+        self.reps, self.comps, self.sizes, self.block = (rows.column(x).to_numpy().copy() for x in ("rep", "component", "n_shingles", "block"))
+        self.i, self.j, self.band = (int(rows.column(x)[0].as_py()) for x in ("i", "j", "band"))
+        self.values = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, config.registers)
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, later rows or rows of the other block) of other components that the sketches may link, most alike first.
+
+        The joint likelihood decides; a count of equal registers, with twice its margin, only spares it hopeless pairs.
+        A pair that shares several bands is left to the first.
+        """
+        c, m = self.config, self.config.registers
+        for k in np.flatnonzero(self.block == self.i):
+            other = (self.block == self.j) & (self.comps != self.comps[k])
+            if self.i == self.j:
                 other[: k + 1] = False
-            other &= 100 * np.minimum(sizes, sizes[k]) >= config.percent * np.maximum(sizes, sizes[k])
+            other &= 100 * np.minimum(self.sizes, self.sizes[k]) >= c.percent * np.maximum(self.sizes, self.sizes[k])
             other = np.flatnonzero(other)
+            same = self.values[other] == self.values[k]
+            alike = same.sum(1)
+            keep = alike >= m * (c.percent / 100 - 2 * c.margin)
+            if self.band and keep.any():
+                keep &= ~same[:, : self.band * c.rows].reshape(len(other), self.band, c.rows).all(2).any(1)
+            other, alike = other[keep], alike[keep]
             if not len(other):
                 continue
-            same = values[other] == values[k]
-            likely = same.sum(1) >= least
-            if band and likely.any():  # a pair is compared in the first band that it shares
-                likely &= ~same[:, : band * rows_in_band].reshape(len(other), band, rows_in_band).all(2).any(1)
-            other = other[likely]
-            order = np.argsort(-same[likely].sum(1), kind="stable")
-            for at in other[order]:
-                if comps[at] != comps[k] and _linked(sets[k], sets[at], config.percent):
-                    out.append((min(ids[k], ids[at]), max(ids[k], ids[at])))
-                    comps[comps == comps[at]] = comps[k]
-        return pd.DataFrame(out, columns=["a", "b"]) if out else empty
+            above, below = (self.values[k] > self.values[other]).sum(1), (self.values[k] < self.values[other]).sum(1)
+            n = self.sizes[other].astype(float)
+            fit = joint_at_least(c.percent / 100 - c.margin, np.full(len(n), float(self.sizes[k])), n, above, below, m, c.base)
+            if fit.any():
+                yield int(k), other[fit][np.argsort(-alike[fit], kind="stable")]
+
+
+_BLOCK = ["bucket", "i", "j"]
+
+
+def _sift(config: NearDedupConfig):
+    """Rows of each block pair that the sketches may link with another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, _BLOCK):
+            block = Block(rows, config)
+            marked = np.zeros(rows.num_rows, bool)
+            for k, other in block.likely():
+                marked[k] = marked[other] = True
+            if marked.any():
+                yield from block.rows.filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _compare_blocks(config: NearDedupConfig):
+    """Links between components inside one block pair, one for each two components that meet.
+
+    Whole sets of likely pairs are compared. Components that a link has joined aren't compared again, so no
+    list of pairs arises.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, _BLOCK):
+            block, out = Block(rows, config), []
+            sets = [np.frombuffer(x, U64) for x in block.rows.column("items").to_pylist()]
+            comps = block.comps
+            for k, others in block.likely():
+                for at in others:
+                    if comps[at] != comps[k] and _linked(sets[k], sets[at], config.percent):
+                        out.append((int(block.reps[k]), int(block.reps[at])))
+                        comps[comps == comps[at]] = comps[k]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -187,7 +233,7 @@ def _likely(config: NearDedupConfig) -> Column:
             return pd.Series([], dtype=bool)
         left = np.frombuffer(b"".join(r_a), np.uint16).reshape(-1, m)
         right = np.frombuffer(b"".join(r_b), np.uint16).reshape(-1, m)
-        return pd.Series(joint_estimate(n_a.to_numpy(float), n_b.to_numpy(float), (left > right).sum(1), (left < right).sum(1), m, base) >= floor)
+        return pd.Series(joint_at_least(floor, n_a.to_numpy(float), n_b.to_numpy(float), (left > right).sum(1), (left < right).sum(1), m, base))
 
     return likely("n_a", "n_b", "r_a", "r_b")
 
@@ -233,21 +279,31 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     first = scratch.save(both.mapInArrow(_verify(config.width, config.percent), "a long, b long"), "star-links")
 
-    # Members of one bucket that this left in different components are compared with each other.
+    # Members of one bucket that this left in different components are compared with each other: sketches first,
+    # then the sets of the rows that these leave.
     joined = connected_components(scratch, first)
     labelled = members.join(joined, members.rep == joined.node, "left").select("bucket", "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = labelled.join(split, "bucket")
-    open_ids = open_rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(open_ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(config.width), "rep long, items binary")
-    open_rows = open_rows.join(light.select("rep", "registers"), "rep").join(sets, "rep")
-    n_blocks = F.ceil(F.col("size") / config.block).cast("int")
-    open_rows = open_rows.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    paired = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "rep", "component", "registers", "items"
-    )
-    second = scratch.save(paired.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(config), "a long, b long"), "cross-links")
+    crowds = labelled.join(split, "bucket").groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    crowds = crowds.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("n_main"), (F.sum("c") - F.max("c")).alias("n_minor"))
+    crowds = scratch.save(crowds, "open-buckets")
+    # Blocks of the largest component come first; they aren't compared with each other.
+    blocks_of = lambda c: F.ceil(F.col(c) / config.block).cast("int")
+    open_rows = labelled.join(crowds, "bucket").withColumn("is_main", F.col("component") == F.col("main")).withColumn("from", blocks_of("n_main")).withColumn("to", blocks_of("n_main") + blocks_of("n_minor") - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    open_rows = open_rows.withColumn("block", F.when(F.col("is_main"), own(F.col("from"))).otherwise(F.col("from") + own(F.col("to") - F.col("from") + 1)))
+    open_rows = open_rows.withColumn("low", F.when(F.col("is_main"), F.col("from")).otherwise(F.lit(0))).select("bucket", "band", "rep", "component", "block", "low", "to")
+    open_rows = scratch.save(open_rows, "open-rows")
+    copies = open_rows.agg(F.coalesce(F.sum(F.col("to") - F.col("low") + 1), F.lit(0))).first()[0]
+    tasks = int(min(max(-(-copies // config.task_rows), spark.sparkContext.defaultParallelism), 100_000))
+    paired = open_rows.join(light, "rep").withColumn("other", F.explode(F.sequence("low", "to")))
+    paired = paired.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "rep", "component", "n_shingles", "registers")
+    sent = lambda rows: rows.repartition(tasks, *_BLOCK).sortWithinPartitions(*_BLOCK)
+    likely = scratch.save(sent(paired).mapInArrow(_sift(config), paired.schema), "likely-rows")
+    sets = texts.join(likely.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = scratch.save(sets.mapInArrow(_sets(config.width), "rep long, items binary"), "sets").dropDuplicates(["rep"])
+    second = scratch.save(sent(likely.join(sets, "rep")).mapInArrow(_compare_blocks(config), "a long, b long"), "cross-links")
 
     components = connected_components(scratch, first.unionByName(second))
     classes = reps.join(components, reps.rep == components.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
