@@ -227,17 +227,17 @@ def had(path: list[tuple[int, int, bool]], x: int) -> int:
     return x
 
 
-def before(path: list[tuple[int, int, bool]], x: int, y: int) -> int:
-    """Tokens of the queues left of this one between the first x and the first y of the phase."""
-    out = 0
+def span(path: list[tuple[int, int, bool]], x: int, y: int) -> tuple[int, int, int]:
+    """(`had` of x, `had` of y, tokens of the queues left of this one between the first x and the first y of the phase)."""
+    ahead = 0
     for left, both, right in path:
         a, b = (2 * x * left + both) // (2 * both), (2 * y * left + both) // (2 * both)
         if right:
-            out += b - a
+            ahead += b - a
             x, y = x - a, y - b
         else:
             x, y = a, b
-    return out
+    return x, y, ahead
 
 
 def schedule(totals: dict[str, int], weights: dict[str, float] | None) -> list[Phase]:
@@ -261,6 +261,23 @@ def schedule(totals: dict[str, int], weights: dict[str, float] | None) -> list[P
     return phases
 
 
+def _window_of(path: list[tuple[int, int, bool]], edge: Callable[[int], int], k: int, at: int) -> int:
+    """The window that holds token `at` of a queue, from a guess k: in growing steps, then by halving."""
+    step = 1
+    while had(path, edge(k)) > at:
+        k, step = k - step, step * 2
+    low, step = k, 1
+    while had(path, edge(k + 1)) <= at:
+        low, k, step = k + 1, k + step, step * 2
+    while low < k:
+        middle = (low + k) // 2
+        if had(path, edge(middle + 1)) > at:
+            k = middle
+        else:
+            low = middle + 1
+    return k
+
+
 def _placer(phases: list[Phase], window: int) -> Callable[[str, int, int], Iterator[tuple[int, int, int]]]:
     homes: dict[str, list[tuple[int, int, int, int, list]]] = {}
     for phase in phases:
@@ -276,24 +293,16 @@ def _placer(phases: list[Phase], window: int) -> Callable[[str, int, int], Itera
                 continue
             edge = lambda k: min(max(k * window - first, 0), size)  # noqa: B023, E731
             k = (first + at * size // n) // window
+            begun, done, ahead = span(path, edge(k), edge(k + 1))
             while at < end:
-                step = 1
-                while had(path, edge(k)) > at:  # the window of token `at`: first in growing steps, then by halving
-                    k, step = k - step, step * 2
-                low_k, step = k, 1
-                while had(path, edge(k + 1)) <= at:
-                    low_k, k, step = k + 1, k + step, step * 2
-                while low_k < k:
-                    middle = (low_k + k) // 2
-                    if had(path, edge(middle + 1)) > at:
-                        k = middle
-                    else:
-                        low_k = middle + 1
-                x, y = edge(k), edge(k + 1)
-                stop = min(had(path, y), end)
-                yield stop - at, k, first + x - k * window + before(path, x, y) + at - had(path, x)
-                at = stop
-                k += at < end
+                if not begun <= at < done:
+                    k = _window_of(path, edge, k, at)
+                    begun, done, ahead = span(path, edge(k), edge(k + 1))
+                stop = min(done, end)
+                yield stop - at, k, first + edge(k) - k * window + ahead + at - begun
+                at, k = stop, k + 1
+                if at < end:
+                    begun, done, ahead = span(path, edge(k), edge(k + 1))
 
     return place
 

@@ -6,9 +6,11 @@ Only segments whose anchor occurs again, or that may repeat inside themselves, g
 bytes (by BLAKE2b) are one class, for which two of its members stand. These go, with the members of the
 other classes of their anchor, into a block whose suffix array and Burrows-Wheeler transform are built.
 Breadth-first backward extension then derives common prefix lengths in increasing order and stops at
-`length`: what has no length by then is repeated, in the two members of a copied class as anywhere else.
+`length`: what has no length by then is repeated, in the two members of a copied class as anywhere else. Copied
+classes that are alone under their anchors, and whose two members follow each other in both texts, go there as
+one pair of longer strings, up to about `run_bytes`, since neighbouring segments overlap by most of their bytes.
 
-An anchor whose classes have more than `block_bytes` is split before that: its segments are cut into pairs of
+An anchor whose classes have more than `anchor_bytes` is split before that: its segments are cut into pairs of
 neighbouring starts, and pairs meet by the bytes that both strings of a pair share, which equal strings have
 in common too. A pair has two bytes besides those, so what meets is bounded, however many segments there are.
 """
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,11 +32,13 @@ from .textbits import U64, blocks, digests, mix, powers, prefix_sums, text_buffe
 
 @dataclass(frozen=True)
 class SubstringDedupConfig:
-    """Bytes of a repeated string and of its anchor, of a block, and of the segments that one task gets."""
+    """Bytes of a repeated string and of its anchor, at which a block is closed (small ones stay in a core's cache), of one anchor's segments, of copied segments in a row, and of what one task gets."""
 
     length: int = 200
     seed: int = 100
-    block_bytes: int = 1 << 19
+    block_bytes: int = 1 << 17
+    anchor_bytes: int = 1 << 19
+    run_bytes: int = 1 << 15
     task_bytes: int = 1 << 21
 
 
@@ -47,7 +51,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key = (key << bits) + padded[k : k + n]
-    suffixes = np.argsort(key, kind="stable")
+    suffixes = np.argsort(key)
     slots = np.arange(n)
     rank = np.zeros(n + 1, np.int64)  # 1 + slot of the first suffix of the tie; 0 past the end
     order, keys = suffixes.copy(), key[suffixes]
@@ -63,7 +67,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(active):
             return suffixes
         keys = rank[active] * (n + 1) + rank[np.minimum(active + step, n)]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         active, keys = active[order], keys[order]
         suffixes[at] = active
         step *= 2
@@ -81,7 +85,7 @@ def repeated_starts(strings: list[bytes], length: int) -> np.ndarray:
     text[ends] = np.arange(m)  # separators differ, so no common prefix crosses one
     suffixes = suffix_array(text)
     last = text[suffixes - 1]  # the Burrows-Wheeler transform
-    by_symbol = np.argsort(last, kind="stable")
+    by_symbol = np.argsort(last.astype(np.uint16) if m < 65_000 else last, kind="stable")
     step_to = np.empty(n, np.int64)
     step_to[by_symbol] = np.arange(n)
     previous = np.full(n, -1)
@@ -179,11 +183,15 @@ def _cut(length: int):
             for text, parts in zip(batch.column("text").cast(pa.binary()), batch.column("parts"), strict=True):
                 whole = text.as_py() or b""
                 for p in parts.as_py():
-                    some = whole[p["start"] : p["start"] + p["n"] + length - 1]
-                    if int.from_bytes(hashlib.blake2b(some, digest_size=8).digest(), "little", signed=True) == p["shape"]:
+                    at, same = p["start"], True
+                    for n, digest in zip(p["sizes"], p["digests"], strict=True):
+                        some = whole[at : at + n + length - 1]
+                        same &= int.from_bytes(hashlib.blake2b(some, digest_size=8).digest(), "little", signed=True) == digest
+                        at += n
+                    if same:
                         key.append(p["key"])
-                        shape.append(p["shape"])
-                        found.append(some)
+                        shape.append(p["digests"][0])
+                        found.append(whole[p["start"] : at + length - 1])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(shape, pa.int64()), pa.array(found, pa.binary())], names=["key", "shape", "bytes"])
 
     return run
@@ -301,11 +309,21 @@ def repeated_spans(docs: DataFrame, config: SubstringDedupConfig = SubstringDedu
     hits = scratch.save(rows.join(again, "anchor").drop("inner"), "candidates")
     scratch.drop(rows)
     classes = scratch.save(_classes(hits, "anchor", ["doc_id", "start", "n"]), "classes")
-    sizes = classes.groupBy("anchor").agg(F.sum((F.col("first.n") + length - 1) * F.least("copies", F.lit(2))).alias("size"))
-    large = scratch.save(sizes.where(F.col("size") > config.block_bytes).select("anchor"), "large-anchors")
-    wanted = _members(classes, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "shape", "start", "n")).alias("parts"))
+    sizes = classes.groupBy("anchor").agg(F.sum((F.col("first.n") + length - 1) * F.least("copies", F.lit(2))).alias("size"), ((F.count("*") == 1) & (F.min("copies") > 1)).alias("alone"), F.first(F.struct("shape", "first", "last")).alias("only"))
+    sizes = scratch.save(sizes, "anchor-sizes")
+    large = sizes.where((F.col("size") > config.anchor_bytes) & ~F.col("alone")).select("anchor")
+    alone = sizes.where("alone").select("anchor", "only.*")
+    mixed = classes.join(sizes.where("not alone").select("anchor"), "anchor")
+    copied = scratch.save(_in_a_row(alone, config.run_bytes), "copied")
+    lists = _members(mixed, "anchor").select("doc_id", _part(F.col("anchor"), F.col("start"), F.array("n"), F.array("shape")))
+    lists = lists.unionByName(_places(copied).select("doc_id", _part(F.col("key"), F.col("start"), F.col("sizes"), F.col("digests"))))
+    wanted = lists.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
     cut = scratch.save(wanted.join(texts, "doc_id").select("text", "parts").mapInArrow(_cut(length), "key long, shape long, bytes binary"), "segment-bytes")
-    runs = _repeated(scratch, cut.join(large.withColumnRenamed("anchor", "key"), "key", "left_anti"), config).withColumnRenamed("key", "anchor")
+    runs = _repeated(scratch, cut.join(large.withColumnRenamed("anchor", "key"), "key", "left_anti"), config)
+    rows = copied.select("key", F.posexplode("classes").alias("at", "c"))
+    rows = rows.select("key", "c.anchor", "c.shape", F.col("c.offset").alias("offset"), F.col("c.n").alias("n")).join(runs.select("key", "low", "high"), "key")
+    rows = rows.select("anchor", "shape", F.greatest(F.col("low") - F.col("offset"), F.lit(0)).cast("int").alias("low"), F.least(F.col("high") - F.col("offset"), F.col("n")).cast("int").alias("high")).where("low < high")
+    runs = runs.join(copied.select("key"), "key", "left_anti").withColumnRenamed("key", "anchor").unionByName(rows)
 
     # Large anchors: pairs of starts that share all but their outer bytes meet instead of segments.
     crowded = cut.join(large.withColumnRenamed("anchor", "key"), "key", "left_semi").dropDuplicates(["key", "shape"])
@@ -315,7 +333,8 @@ def repeated_spans(docs: DataFrame, config: SubstringDedupConfig = SubstringDedu
     met = scratch.save(pairs.join(scratch.save(shared, "shared-keys"), "key"), "met-pairs")
     counted = met.join(known, ["anchor", "segment"])
     kinds = scratch.save(_classes(counted, "key", ["anchor", "segment", "start", "n"], F.sum("copies")), "pair-classes")
-    lists = _members(kinds, "key").groupBy("anchor", "segment").agg(F.collect_list(F.struct("key", "shape", "start", "n")).alias("parts"))
+    lists = _members(kinds, "key").select("anchor", "segment", _part(F.col("key"), F.col("start").cast("long"), F.array("n"), F.array("shape")))
+    lists = lists.groupBy("anchor", "segment").agg(F.collect_list("part").alias("parts"))
     bodies = crowded.select(F.col("key").alias("anchor"), F.col("shape").alias("segment"), F.col("bytes").alias("text"))
     pieces = lists.join(bodies, ["anchor", "segment"]).select("text", "parts").mapInArrow(_cut(length), "key long, shape long, bytes binary")
     found = met.join(_repeated(scratch, scratch.save(pieces, "pair-bytes"), config), ["key", "shape"])
@@ -337,6 +356,31 @@ def _members(classes: DataFrame, key: str) -> DataFrame:
     return classes.select(key, "shape", F.explode(both).alias("at")).select(key, "shape", "at.*")
 
 
+def _part(key: Column, start: Column, sizes: Column, digests: Column) -> Column:
+    """What `_cut` takes out of a text: one or more segments in a row, with the digest of each."""
+    return F.struct(key.alias("key"), start.alias("start"), sizes.alias("sizes"), digests.alias("digests")).alias("part")
+
+
+def _in_a_row(classes: DataFrame, most: int) -> DataFrame:
+    """Copied classes whose two members follow each other: (key, sizes, digests, classes, one, two), `one` and `two` being the places of the members."""
+    first, last = F.col("first"), F.col("last")
+    rows = classes.select("anchor", "shape", first["doc_id"].alias("a"), last["doc_id"].alias("b"), first["start"].alias("start"), (last["start"] - first["start"]).alias("shift"), first["n"].alias("n"))
+    order = Window.partitionBy("a", "b", "shift").orderBy("start")
+    stretch = F.call_function("div", F.col("start"), F.lit(most).cast("long"))
+    goes_on = (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & (F.lag(stretch).over(order) == stretch)
+    rows = rows.withColumn("head", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start")))
+    rows = rows.withColumn("begin", F.last("head", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("a", "b", "shift", "begin").agg(F.array_sort(F.collect_list(F.struct("start", "n", "anchor", "shape"))).alias("c"))
+    parts = F.transform("c", lambda x: F.struct(x["anchor"].alias("anchor"), x["shape"].alias("shape"), (x["start"] - F.col("begin")).alias("offset"), x["n"].alias("n")))
+    place = lambda doc, at: F.struct(F.col(doc).alias("doc_id"), at.alias("start"))
+    # The anchor of the first class is no other row's key: it belongs to this class alone.
+    return rows.select(F.col("c")[0]["anchor"].alias("key"), F.col("c.n").alias("sizes"), F.col("c.shape").alias("digests"), parts.alias("classes"), place("a", F.col("begin")).alias("one"), place("b", F.col("begin") + F.col("shift")).alias("two"))
+
+
+def _places(copied: DataFrame) -> DataFrame:
+    return copied.select("key", "sizes", "digests", F.explode(F.array("one", "two")).alias("at")).select("key", "sizes", "digests", "at.*")
+
+
 def _repeated(scratch: Scratch, parts: DataFrame, config: SubstringDedupConfig) -> DataFrame:
     """(key, shape, low, high): runs of repeated starts of the rows (key, shape, bytes) of each key."""
     size = parts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]

@@ -419,7 +419,9 @@ def test_substring_dedup(spark, block):
     passage = sentence(rng, 30)
     texts = [sentence(rng, 40) for _ in range(6)] + [sentence(rng, rng.randrange(20)) + passage + sentence(rng, rng.randrange(20)) for _ in range(9)]
     texts += ["For " * 200, "ab" * 300, "é" * 400, texts[0], texts[0], "", None, passage[:60], sentence(rng, 40) + passage[:70] + "X" + passage[71:]]
-    config = substring_dedup.SubstringDedupConfig(length=50, seed=20, block_bytes=block)
+    whole = sentence(rng, 120)  # copied in a row, at two places of one text too
+    texts += [whole + "\n" + sentence(rng, 9) + whole, sentence(rng, 7) + whole[40:500] + sentence(rng, 7), whole[100:]]
+    config = substring_dedup.SubstringDedupConfig(length=50, seed=20, block_bytes=block, anchor_bytes=block, run_bytes=97)
     found = {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(documents(spark, texts), config).collect()}
     assert found == plain_repeats(dict(enumerate(texts)), 50)
 
@@ -691,6 +693,11 @@ def test_sketches_merge_and_estimate():
     n = np.array([3000.0])
     estimate = near_dedup.joint_estimate(n, n, np.array([(left > right).sum()]), np.array([(left < right).sum()]), 1024, 1.001)
     assert estimate[0] == pytest.approx(0.5, abs=0.06)
+    sizes = [rng.integers(1, 3000, 400).astype(float) for _ in range(2)]
+    above, below = rng.multinomial(112, [0.25, 0.2, 0.55], 400)[:, :2].T
+    best = near_dedup.joint_estimate(*sizes, above, below, 112, 1.001)
+    told = near_dedup.joint_at_least(0.5, *sizes, above, below, 112, 1.001)
+    assert (told == (best >= 0.5))[np.abs(best - 0.5) > 0.01].all() and 50 < told.sum() < 350
 
 
 # 10: packing
