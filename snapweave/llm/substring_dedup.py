@@ -73,6 +73,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _next_bound(bound: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first place after each of `at` that is set in `bound`, whose last is: in growing windows, or one pass where these would read more."""
+    found, last = at + 1, len(bound) - 1
+    left, width = np.flatnonzero(~bound[found]), 8
+    while len(left):
+        if 8 * len(left) * width > len(bound):  # a pass reads a place faster
+            known = np.flatnonzero(bound)
+            found[left] = known[np.searchsorted(known, found[left])]
+            break
+        window = bound[np.minimum(found[left, None] + np.arange(width), last)]
+        ahead = window.argmax(axis=1)
+        hit = window[np.arange(len(left)), ahead]
+        found[left] += np.where(hit, ahead, width)
+        left, width = left[~hit], width * 8
+    return found
+
+
 def repeated_starts(strings: list[bytes], length: int) -> np.ndarray:
     """For the strings laid end to end, each with a closing separator: does the `length`-byte string here start elsewhere too?"""
     m, sizes = len(strings), np.array([len(s) for s in strings])
@@ -98,9 +115,7 @@ def repeated_starts(strings: list[bytes], length: int) -> np.ndarray:
     for _ in range(length - 1):  # after this round all common prefixes of up to one byte more are known
         if not len(fresh):
             break
-        known = np.flatnonzero(bound)
-        stop = known[np.searchsorted(known, fresh, "right")]
-        sizes = stop - fresh
+        sizes = _next_bound(bound, fresh) - fresh
         begin = np.repeat(fresh, sizes)
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin
         before = previous[at]
@@ -145,7 +160,7 @@ def _segments(config: SubstringDedupConfig):
                 if len(part) < length:
                     continue
                 value, place = anchors_of(part, config)
-                owner = np.searchsorted(cuts, np.arange(len(value)), "right") - 1
+                owner = np.repeat(np.arange(j - i), np.diff(cuts))[: len(value)]
                 valid = np.flatnonzero(np.arange(len(value)) + length <= cuts[owner + 1])
                 if not len(valid):
                     continue
