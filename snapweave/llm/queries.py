@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import DecontaminationConfig, contaminated
 from .embedding_dedup import EmbeddingDedupConfig, embedding_duplicates
@@ -13,8 +16,10 @@ from .license_scan import LicenseScanConfig, scan_licenses
 from .line_dedup import dedup_lines
 from .near_dedup import NearDedupConfig, near_duplicates
 from .packing import PackingConfig, pack
+from .periodic_runs import RunConfig, find_runs
 from .quality import QualityConfig, quality
 from .substring_dedup import SubstringDedupConfig, remove_repeats
+from .token_files import TokenFileConfig, write_token_files
 from .toxicity import ToxicityConfig, toxicity
 
 
@@ -75,6 +80,33 @@ def packing_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096, weights=weights))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of one document in ten, by the checksum of its id, the words from a place on repeat with a period; None for the others and for a null id."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    first, places = h // 10 % n, np.arange(n)
+    period = 1 + (n - first) // (3 + h // 10 % 8)
+    return np.where(places < first, places, first + (places - first) % period)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_table(spark, sf_dir, "documents"), RunConfig(least=6, exponent=4), repeated_tail)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    top = found.select("*", longest.alias("top"))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", (-F.col("top.n")).alias("length"), "top.period",
+        F.expr("-1000 * top.n div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), TokenFileConfig(tokenizer_path("byte_bpe_50k.json"), end_id=0))
+    return files.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -88,6 +120,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
         "packing_mixture": packing_mixture,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_token_files": op13_token_files,
     }
 
 
