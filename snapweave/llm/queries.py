@@ -19,6 +19,7 @@ from .packing import PackingConfig, pack
 from .periodic_runs import RunConfig, find_runs
 from .quality import QualityConfig, quality
 from .substring_dedup import SubstringDedupConfig, remove_repeats
+from .source_audit import AuditConfig, audit_sources
 from .token_files import TokenFileConfig, write_token_files
 from .toxicity import ToxicityConfig, toxicity
 
@@ -80,6 +81,10 @@ def packing_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096, weights=weights))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"), AuditConfig(least_documents=30, added=5, units=1_000_000_000, terms=50))
+
+
 def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """Of one document in ten, by the checksum of its id, the words from a place on repeat with a period; None for the others and for a null id."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
         "packing_mixture": packing_mixture,
+        "op11_source_audit": op11_source_audit,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_token_files": op13_token_files,
     }
@@ -191,10 +197,42 @@ FROM documents d JOIN s ON s.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS com
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+cells AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(sum(n) OVER (PARTITION BY lang, source) + 5 * v AS HUGEINT) AS p FROM cells JOIN v USING (lang)
+), l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(sum(n) OVER (PARTITION BY lang) + 5 * v AS HUGEINT) AS q FROM l JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, 0 AS f FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT a.lang, a.source, b.source, abs(a.p - b.p) FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, sum(f) AS value FROM pairs GROUP BY lang, source, item
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+) r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op5_embedding_dedup": OP5_SQL,
         "op6_substring_dedup": OP6_SQL,
         "op9_near_dedup": OP9_SQL,
+        "op11_source_audit": OP11_SQL,
     }
