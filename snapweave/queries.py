@@ -431,6 +431,34 @@ def subdivided_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.subdivided_to(chain, tips.select("branch", "pos"), 3)
 
 
+# Each branch by itself, from one to four checkpoints to at least five
+@query(f"""WITH RECURSIVE {CHAIN}, begun AS (SELECT branch, pos, size FROM (SELECT *, 1 + branch % 4 AS n FROM o) x WHERE pos = size - 1 OR (n > 1 AND n < size AND (pos + 1) % (size // n) = 0 AND (pos + 1) // (size // n) < n)),
+h AS (SELECT branch, 0 AS k, list(pos ORDER BY pos) AS p, 0 AS before FROM begun GROUP BY branch
+UNION ALL
+SELECT branch, k + 1, list_sort(list_distinct(list_concat(p, list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = 1 THEN -1 ELSE p[i - 1] END + (p[i] - CASE WHEN i = 1 THEN -1 ELSE p[i - 1] END) // 2), lambda x: x >= 0)))), len(p)
+FROM h WHERE k = 0 OR (len(p) > before AND len(p) < 5)),
+done AS (SELECT branch, unnest(arg_max(p, k)) AS pos FROM h GROUP BY branch)
+SELECT branch, pos, hash FROM done JOIN o USING (branch, pos)""")
+def subdivided_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = D.first_parents(spark, sf_dir)
+    begun = chains.even_checkpoints(chain, chain.select("branch").distinct().withColumn("n", 1 + F.col("branch") % 4))
+    return chains.subdivided_to(chain, begun.select("branch", "pos"), 5)
+
+
+# The largest checkpoint under a limit, by all sizes and by a few probes
+@query("""WITH z AS (SELECT branch, pos, size AS n, coalesce(q, 0) AS s FROM (SELECT o_custkey AS branch, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders) y
+LEFT JOIN (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l USING (k)),
+t AS (SELECT branch, pos, n, branch % 4 - 1 AS at, branch % 6 AS span, sum(s) OVER (PARTITION BY branch ORDER BY pos) AS total FROM z),
+b AS (SELECT branch, any_value(n) - 1 AS tip, any_value(at) AS at, any_value(span) AS span, max(CASE WHEN pos = at THEN total END) AS base FROM t GROUP BY branch),
+f AS (SELECT b.branch, max(pos) AS fit FROM t JOIN b ON b.branch = t.branch AND pos > b.at AND total <= coalesce(base, 0) + 300 GROUP BY b.branch),
+c AS (SELECT b.branch, fit, unnest([at + 1] || list_transform([1, 2, 4, 8], lambda x: least(tip, at + 1 + greatest(CASE WHEN span > 0 THEN span - 1 ELSE tip - at - 1 END, 0) // x))) AS probe FROM b JOIN f USING (branch) WHERE at < tip)
+SELECT branch, coalesce(max(fit), -1) AS pos, CAST(coalesce(max(CASE WHEN probe <= fit THEN probe END), -1) AS BIGINT) AS sampled FROM b LEFT JOIN c USING (branch) GROUP BY branch""")
+def under_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = D.sized_chain(spark, sf_dir)
+    state = chain.select("branch").distinct().select("branch", (F.col("branch") % 4 - 1).alias("at"), (F.col("branch") % 6).alias("span"))
+    return chains.under_limit(chain, state, 300)
+
+
 # Where to resume
 @query(f"WITH {CHAIN} SELECT branch, CAST(max(CASE WHEN pos % 4 = 0 THEN pos + 1 END) AS BIGINT) AS resume_at FROM o GROUP BY branch")
 def resume_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -751,3 +779,56 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = log.select(F.col("event_type").alias("label"), (F.col("event_id") % 1000).alias("bytes"))
     return run_to_table(stream_side_totals(rows), f"totals_{uuid.uuid4().hex}")
+
+
+FAST = "f AS (SELECT event_type AS label, event_id, epoch_us(ts) // 1000 AS at_us, event_id % 1000 AS bytes FROM events)"
+#: Watermark of the streams below at the end: ten seconds behind the newest sample, in whole milliseconds.
+MARK = "m AS (SELECT max(at_us) // 1000 * 1000 - 10000000 AS mark FROM f)"
+
+
+# Rates over two seconds, every 200 ms, as a stream that starts anew three times (Spark capability)
+@query(f"""WITH {FAST}, {MARK}, w AS (SELECT label, (at_us // 200000 - k) * 200000 AS begin_us, bytes FROM f, range(10) r(k))
+SELECT label, begin_us, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS samples, CAST(sum(bytes) AS DOUBLE) / 2 AS rate FROM w, m WHERE begin_us + 2000000 <= mark GROUP BY label, begin_us""")
+def stream_sliding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.transfer import replay, sliding_totals
+
+    sink = replay(D.fast_log(spark, sf_dir), "at_us", 4, lambda log: sliding_totals(D.timed(log)), "sliding", "append")
+    rows = sink.read("label string, begin timestamp, bytes long, samples long")
+    return rows.select("label", F.unix_micros("begin").alias("begin_us"), "bytes", "samples", (F.col("bytes").cast("double") / 2).alias("rate"))
+
+
+# T4: spans without a pause of 750 ms, merged over micro-batches (Spark capability)
+@query(f"""WITH {FAST}, {MARK}, g AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER w < 750000 THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY label ORDER BY at_us)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY label ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS k FROM g),
+e AS (SELECT label, min(at_us) AS begin_us, max(at_us) AS last_us, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS samples FROM s GROUP BY label, k)
+SELECT e.* FROM e, m WHERE last_us + 749999 <= mark""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.transfer import active_sessions, replay
+
+    sink = replay(D.fast_log(spark, sf_dir), "at_us", 4, lambda log: active_sessions(D.timed(log)), "sessions", "append")
+    rows = sink.read("label string, begin timestamp, last timestamp, bytes long, samples long")
+    return rows.select("label", F.unix_micros("begin").alias("begin_us"), F.unix_micros("last").alias("last_us"), "bytes", "samples")
+
+
+# Counters that stop an upload in mid-stream, with state over restarts (Spark capability)
+@query("""WITH f AS (SELECT event_type AS label, event_id, epoch_us(ts) // 1000 AS at_us, CASE WHEN event_type = 'error' THEN 10 ELSE 100 END * (event_id % 1000) AS bytes, event_id % 5 AS objects, 450 * length(event_type) AS total FROM events),
+c AS (SELECT *, sum(bytes) OVER w AS sent, sum(objects) OVER w AS seen, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY label ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT label, max(k) AS last, min(CASE WHEN sent >= 57000000 OR (sent >= 8388608 AND seen > 0 AND sent * total // seen > 57000000) THEN k END) AS stop FROM c GROUP BY label)
+SELECT label, CAST(sent AS BIGINT) AS bytes, CAST(seen AS BIGINT) AS objects, CASE WHEN stop IS NOT NULL THEN at_us END AS stopped_at, CASE WHEN stop IS NOT NULL THEN event_id END AS stopped_event FROM c JOIN s USING (label) WHERE k = coalesce(stop, last)""")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.counters import COUNTERS, upload_counters
+    from .streaming.transfer import replay
+
+    e, label = F.col("event_id"), F.col("label")
+    log = D.fast_log(spark, sf_dir).select("label", "at_us", "event_id", (F.when(label == "error", 10).otherwise(100) * F.col("bytes")).alias("bytes"), (e % 5).alias("objects"), (450 * F.length(label)).cast("long").alias("total"))
+    sink = replay(log, "at_us", 4, lambda rows: upload_counters(rows, 60_000_000), "counters", "update")
+    return sink.latest(COUNTERS, ["label"])
+
+
+# T5: totals through a sink whose batches count once, over restarts (Spark capability)
+@query("SELECT event_type AS label, CAST(sum(event_id % 1000) AS BIGINT) AS bytes, count(*) AS samples FROM events GROUP BY 1")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.transfer import replay, stream_side_totals
+
+    sink = replay(D.fast_log(spark, sf_dir), "at_us", 4, stream_side_totals, "totals", "update")
+    return sink.latest("label string, bytes long, samples long", ["label"])

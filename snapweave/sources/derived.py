@@ -71,6 +71,14 @@ def first_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits(spark, sf_dir).select("branch", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("node").alias("hash"))
 
 
+def sized_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(branch, pos, size): every customer's orders in order, sized by their lines."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("branch"), "o_orderkey", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("size"))
+    return rows.join(sizes, "o_orderkey", "left").select("branch", "pos", F.coalesce("size", F.lit(0).cast("long")).alias("size"))
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hash, type): one object for each order, and commits that share ten digits with another."""
     rows = table(spark, sf_dir, "orders")
@@ -119,6 +127,16 @@ def transfer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), _micros(F.col("ts")).alias("at_us"), (F.col("event_id") % 1000).alias("bytes"), "event_id")
 
 
+def fast_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transfer log in a thousandth of its time, so that sides are busy and idle by turns."""
+    return transfer_log(spark, sf_dir).select("label", "event_id", F.call_function("div", F.col("at_us"), F.lit(1000).cast("long")).alias("at_us"), "bytes")
+
+
+def timed(log: DataFrame) -> DataFrame:
+    """With `at`, a timestamp."""
+    return log.withColumn("at", F.timestamp_micros("at_us"))
+
+
 def rate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, at_us, total) with running totals."""
     return running_totals(transfer_log(spark, sf_dir))

@@ -96,6 +96,56 @@ def test_subdivided_to(spark):
     assert chains.subdivided_to(chain(spark, 10), rows, 4).count() >= 4
 
 
+def test_subdivided_to_by_the_plain_loop(spark):
+    """Branches that begin with different numbers of checkpoints stop by themselves; the plan doesn't grow with the rounds."""
+    rng = random.Random(15)
+    cases = [(k, size := rng.choice([1, 2, 3, 11, 64, 200]), sorted({*rng.sample(range(size), min(size, rng.randrange(1, 6))), size - 1}), rng.choice([None, None, 0, 999])) for k in range(40)]
+    whole = spark.createDataFrame([(k, i, f"h{i}") for k, size, _, _ in cases for i in range(size)], "branch long, pos long, hash string")
+    now = spark.createDataFrame([(k, p) for k, _, points, _ in cases for p in points], "branch long, pos long")
+    current = spark.createDataFrame([(k, f"h{at}") for k, _, _, at in cases if at is not None], "branch long, hash string")
+    plans = []
+    for least in (1, 4, 8, 100):
+        found = {k: set() for k, *_ in cases}
+        frame = chains.subdivided_to(whole, now, least, current)
+        plans.append(len(frame._jdf.queryExecution().analyzed().toString()))
+        for r in frame.collect():
+            assert r.pos not in found[r.branch] and r.hash == f"h{r.pos}"
+            found[r.branch].add(r.pos)
+        for k, _, points, at in cases:
+            def halved(points, at=at):
+                begins = [-1 if at is None else at, *points]
+                return points if at == 999 else sorted({*points, *(a + (b - a) // 2 for a, b in zip(begins, points, strict=False) if b - a > 1)})
+
+            want, before = halved(points), len(points)
+            while len(want) > before and len(want) < least:
+                want, before = halved(want), len(want)
+            assert found[k] == set(want), (k, points, at, least)
+    assert max(plans) < 1.1 * min(plans)  # but for the digits of expression numbers
+
+
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_under_limit_by_probes(spark, block):
+    """Against probes one after another; one branch is most of the table."""
+    rng = random.Random(block)
+    cases = {k: ([rng.choice([0, 1, 5, 90]) for _ in range(4000 if k == 0 else rng.randrange(1, 30))], rng.choice([-1, 0, 3, 40]), rng.choice([0, 1, 2, 9, 50])) for k in range(60)}
+    cases[0] = (cases[0][0], 11, 3000)
+    chain_ = spark.createDataFrame([(k, i, s) for k, (sizes, _, _) in cases.items() for i, s in enumerate(sizes)], "branch long, pos long, size long")
+    state = spark.createDataFrame([(k, at, span) for k, (_, at, span) in cases.items()] + [(99, -1, 0)], "branch long, at int, span int")
+    for limit in (0, 60, 50_000):
+        found = {r.branch: (r.pos, r.sampled) for r in chains.under_limit(chain_, state, limit, block).collect()}
+        assert found.pop(99) == (-1, -1)
+        for k, (sizes, at, span) in cases.items():
+            low, high = at + 1, len(sizes) - 1
+            fits = lambda x, low=low, sizes=sizes: sum(sizes[low : x + 1]) <= limit
+            best = max((x for x in range(low, high + 1) if fits(x)), default=-1)
+            probes, step = [], (low + span - 1 if span > 0 else high)
+            for _ in range(4):
+                probes.append(min(max(step, low), high))
+                step = low + max(step - low, 0) // 2
+            sampled = next((x for x in sorted({*probes, low}, reverse=True) if fits(x)), -1) if low <= high else -1
+            assert found[k] == (best, sampled), (k, limit)
+
+
 def test_prefixes_and_messages(spark):
     one, two = "deadbee1" + "1" * 32, "deadbee2" + "2" * 32
     known = spark.createDataFrame([(one, "commit"), (two, "tag"), ("a" * 40, "commit"), ("b" * 40, "blob")], "hash string, type string")
