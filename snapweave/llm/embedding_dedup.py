@@ -53,6 +53,11 @@ def planes(dimension: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, dimension)).standard_normal((dimension, bits * tables))
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between a half and one, so that neither norms nor products leave the range of doubles."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1))[1][:, None])
+
+
 def _codes(bits: int, tables: int, seed: int):
     """Class rows become one row for each table: the bucket, and the signs of all tables."""
 
@@ -63,7 +68,7 @@ def _codes(bits: int, tables: int, seed: int):
                 part = batch.filter(pa.array(dims == dim))
                 for at in range(0, part.num_rows, 256):
                     some = part.slice(at, 256)
-                    matrix = some.column("vector").flatten().to_numpy().reshape(some.num_rows, dim)
+                    matrix = scaled(some.column("vector").flatten().to_numpy().reshape(some.num_rows, dim))
                     signs = matrix @ planes(int(dim), bits, tables, seed) >= 0
                     codes = (signs.reshape(-1, tables, bits) * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
                     rows = pa.array(np.repeat(np.arange(some.num_rows), tables))
@@ -129,7 +134,7 @@ def _compare(config: EmbeddingDedupConfig, bits: int, tables: int):
             if not len(left) or not len(right):
                 continue
             dim, table = rows.column("dim")[0].as_py(), rows.column("table")[0].as_py()
-            matrix = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, dim)
+            matrix = scaled(rows.column("vector").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, dim))
             size = np.sqrt((matrix * matrix).sum(1))
             linked = (matrix[left] @ matrix[right].T) / size[left][:, None] / size[right][None, :] >= config.threshold
             if own:
