@@ -448,10 +448,10 @@ def subdivided_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The largest checkpoint under a limit, by all sizes and by a few probes
 @query("""WITH z AS (SELECT branch, pos, size AS n, coalesce(q, 0) AS s FROM (SELECT o_custkey AS branch, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders) y
 LEFT JOIN (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l USING (k)),
-t AS (SELECT branch, pos, n, branch % 4 - 1 AS at, branch % 6 AS span, sum(s) OVER (PARTITION BY branch ORDER BY pos) AS total FROM z),
-b AS (SELECT branch, any_value(n) - 1 AS tip, any_value(at) AS at, any_value(span) AS span, max(CASE WHEN pos = at THEN total END) AS base FROM t GROUP BY branch),
-f AS (SELECT b.branch, max(pos) AS fit FROM t JOIN b ON b.branch = t.branch AND pos > b.at AND total <= coalesce(base, 0) + 300 GROUP BY b.branch),
-c AS (SELECT b.branch, fit, unnest([at + 1] || list_transform([1, 2, 4, 8], lambda x: least(tip, at + 1 + greatest(CASE WHEN span > 0 THEN span - 1 ELSE tip - at - 1 END, 0) // x))) AS probe FROM b JOIN f USING (branch) WHERE at < tip)
+t AS (SELECT branch, pos, n, branch % 4 - 1 AS pre, branch % 6 AS span, sum(s) OVER (PARTITION BY branch ORDER BY pos) AS total FROM z),
+b AS (SELECT branch, any_value(n) - 1 AS tip, any_value(pre) AS pre, any_value(span) AS span, max(CASE WHEN pos = pre THEN total END) AS base FROM t GROUP BY branch),
+f AS (SELECT b.branch, max(pos) AS fit FROM t JOIN b ON b.branch = t.branch AND pos > b.pre AND total <= coalesce(base, 0) + 300 GROUP BY b.branch),
+c AS (SELECT b.branch, fit, unnest([pre + 1] || list_transform([1, 2, 4, 8], lambda x: least(tip, pre + 1 + greatest(CASE WHEN span > 0 THEN span - 1 ELSE tip - pre - 1 END, 0) // x))) AS probe FROM b JOIN f USING (branch) WHERE pre < tip)
 SELECT branch, coalesce(max(fit), -1) AS pos, CAST(coalesce(max(CASE WHEN probe <= fit THEN probe END), -1) AS BIGINT) AS sampled FROM b LEFT JOIN c USING (branch) GROUP BY branch""")
 def under_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = D.sized_chain(spark, sf_dir)
@@ -814,7 +814,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT event_type AS label, event_id, epoch_us(ts) // 1000 AS at_us, CASE WHEN event_type = 'error' THEN 10 ELSE 100 END * (event_id % 1000) AS bytes, event_id % 5 AS objects, 450 * length(event_type) AS total FROM events),
 c AS (SELECT *, sum(bytes) OVER w AS sent, sum(objects) OVER w AS seen, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY label ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT label, max(k) AS last, min(CASE WHEN sent >= 57000000 OR (sent >= 8388608 AND seen > 0 AND sent * total // seen > 57000000) THEN k END) AS stop FROM c GROUP BY label)
-SELECT label, CAST(sent AS BIGINT) AS bytes, CAST(seen AS BIGINT) AS objects, CASE WHEN stop IS NOT NULL THEN at_us END AS stopped_at, CASE WHEN stop IS NOT NULL THEN event_id END AS stopped_event FROM c JOIN s USING (label) WHERE k = coalesce(stop, last)""")
+SELECT label, CAST(sent AS BIGINT) AS bytes, CAST(seen AS BIGINT) AS objects, CASE WHEN stop IS NULL THEN -1 ELSE at_us END AS stopped_at, CASE WHEN stop IS NULL THEN -1 ELSE event_id END AS stopped_event FROM c JOIN s USING (label) WHERE k = coalesce(stop, last)""")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.counters import COUNTERS, upload_counters
     from .streaming.transfer import replay
@@ -822,7 +822,8 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, label = F.col("event_id"), F.col("label")
     log = D.fast_log(spark, sf_dir).select("label", "at_us", "event_id", (F.when(label == "error", 10).otherwise(100) * F.col("bytes")).alias("bytes"), (e % 5).alias("objects"), (450 * F.length(label)).cast("long").alias("total"))
     sink = replay(log, "at_us", 4, lambda rows: upload_counters(rows, 60_000_000), "counters", "update")
-    return sink.latest(COUNTERS, ["label"])
+    none = F.lit(-1).cast("long")
+    return sink.latest(COUNTERS, ["label"]).select("label", "bytes", "objects", F.coalesce("stopped_at", none).alias("stopped_at"), F.coalesce("stopped_event", none).alias("stopped_event"))
 
 
 # T5: totals through a sink whose batches count once, over restarts (Spark capability)
