@@ -35,8 +35,8 @@ class AuditConfig:
     added: int = 5
     units: int = 1_000_000_000
     terms: int = 50
-    block_bytes: int = 1 << 23
-    trie_leaves: int = 1 << 20
+    block_bytes: int = 1 << 22
+    trie_leaves: int = 1 << 19
 
 
 #: Bytes of terms: ASCII letters and all of other characters.
