@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .functions import batching as B
 from .functions import refs as R
 from .operators import chains, conversion, graph, transfer
+from .operators.reach import ReachIndex
+from .operators.reach import walk_sizes as walk_guard
 from .plans import actions as A
 from .plans.policy import Mapping, Policy
 from .sources import derived as D
@@ -350,6 +352,21 @@ def reachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable_pairs(D.commit_edges(spark, sf_dir), D.tips(spark, sf_dir).select(F.col("node").alias("start")))
 
 
+# Questions of ancestry over an index of the graph
+@query(f"""WITH RECURSIVE {REACH} SELECT t.node AS start, o.node AS ancestor FROM tips t JOIN o ON o.branch = xor(t.branch, 1) AND o.key % 5 < 2 JOIN reach r ON r.start = t.node AND r.node = o.node""")
+def indexed_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.commits(spark, sf_dir)
+    asked = nodes.where("key % 5 < 2").select(F.expr("branch ^ 1").alias("branch"), F.col("node").alias("ancestor"))
+    pairs = D.tips(spark, sf_dir).select("branch", F.col("node").alias("start")).join(asked, "branch")
+    return ReachIndex(D.commit_edges(spark, sf_dir), nodes.select("node")).ancestor_pairs(pairs)
+
+
+# How far walks go, and which pass the guard
+@query(f"WITH RECURSIVE {REACH} SELECT start, CAST(least(count(*), 20) AS BIGINT) AS visited, count(*) > 20 AS exceeded FROM reach GROUP BY start")
+def walk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk_guard(D.commit_edges(spark, sf_dir), D.tips(spark, sf_dir).select(F.col("node").alias("start")), 20)
+
+
 # Closure of the wants minus what the haves hold
 @query(f"""WITH RECURSIVE {GRAPH}, stop AS (SELECT node FROM o WHERE key % 5 = 0),
 reach AS (SELECT node FROM tips WHERE node NOT IN (SELECT node FROM stop) UNION SELECT e.parent FROM reach r JOIN edges e ON e.child = r.node WHERE e.parent NOT IN (SELECT node FROM stop))
