@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import batching as B
 from .functions import refs as R
 from .operators import chains, conversion, graph, transfer
+from .operators.prefixes import PrefixIndex, excluded_by
 from .operators.reach import ReachIndex
 from .operators.reach import walk_sizes as walk_guard
 from .plans import actions as A
@@ -595,6 +596,13 @@ RUNS = f"{MESSAGES}, runs AS (SELECT id, unnest(regexp_extract_all(message, '(?i
 VERDICTS = f"{RUNS}, p AS (SELECT DISTINCT lower(prefix) AS prefix FROM runs), {OBJECTS}, v AS (SELECT p.prefix, count(DISTINCT hash) AS n, min(hash) AS hash FROM p LEFT JOIN (SELECT DISTINCT hash FROM obj WHERE type IN ('commit', 'tag')) k ON starts_with(k.hash, p.prefix) GROUP BY 1)"
 
 
+# Prefixes looked up in an index of the hashes, by ranges
+@query(f"WITH {VERDICTS} SELECT prefix, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN hash END AS hash FROM v")
+def indexed_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = D.objects(spark, sf_dir).where("type in ('commit', 'tag')")
+    return PrefixIndex(known, 16).resolve(conversion.message_prefixes(D.messages(spark, sf_dir)).select("prefix"))
+
+
 # Prefixes in messages and what they name
 @query(f"WITH {VERDICTS} SELECT prefix, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN hash END AS hash FROM v")
 def resolve_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -654,6 +662,17 @@ def mapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversion.mapping_lines(_mapping(spark, sf_dir))
 
 
+# K6: the trees of the notes, in directories of two digits; the root by its entries in order
+@query(f"""WITH n AS (SELECT sha256({HASH}) AS path, sha256('blob 41' || chr(0) || {HASH} || chr(10)) AS blob FROM orders WHERE o_orderkey % 2 = 0),
+e AS (SELECT left(path, 2) AS path, substr(path, 3) AS name, hex(encode('100644 ' || substr(path, 3))) || '00' || upper(blob) AS entry FROM n),
+b AS (SELECT path, string_agg(entry, '' ORDER BY name) AS body, count(*) AS entries FROM e GROUP BY path),
+l AS (SELECT path, sha256(unhex(hex(encode('tree ' || length(body) // 2)) || '00' || body)) AS hash, entries FROM b),
+r AS (SELECT string_agg(hex(encode('40000 ' || path)) || '00' || upper(hash), '' ORDER BY path) AS body, count(*) AS entries FROM l)
+SELECT * FROM l UNION ALL SELECT '', sha256(unhex(hex(encode('tree ' || length(body) // 2)) || '00' || body)), entries FROM r""")
+def notes_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversion.notes_tree(conversion.origin_notes(_mapping(spark, sf_dir)), 1)
+
+
 # K6: notes with the old hashes
 @query(f"SELECT sha256({HASH}) AS path, {HASH} || chr(10) AS body FROM orders WHERE o_orderkey % 2 = 0")
 def origin_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -671,6 +690,17 @@ def strip_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("headers")[0]["value"].alias("author"), "stripped")
 
 
+# names against a table of prefixes and names
+@query(f"""WITH {SNAPSHOTS}, p AS (SELECT ' refs/heads/' || c_custkey || ' ' AS prefix FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT ' ' UNION ALL SELECT 'refs/notes/1'),
+x AS (SELECT {KEY_REF} AS ref FROM orders WHERE o_orderkey % 13 = 0)
+SELECT ref, EXISTS (SELECT 1 FROM p WHERE trim(prefix) <> '' AND starts_with(src.ref, trim(prefix))) OR ref IN (SELECT ref FROM x) AS excluded FROM src""")
+def excluded_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefixes = D.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit(" refs/heads/"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("prefix"))
+    prefixes = prefixes.unionByName(spark.createDataFrame([(" ",), ("refs/notes/1",)], "prefix string"))
+    exact = D.table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0").select(D.order_ref().alias("ref"))
+    return excluded_by(D.source_refs(spark, sf_dir).select("ref"), prefixes, exact)
+
+
 # exclusions that would hide branches or tags
 @query(f"""WITH x AS (SELECT o_orderkey AS "at", ' ' || left({KEY_REF}, CAST(o_orderkey % 13 AS INTEGER)) AS prefix FROM orders),
 h AS (SELECT *, trim(prefix) AS name FROM x) SELECT min("at") AS "at", arg_min(prefix, "at") AS prefix FROM h
