@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, sorted_groups
+from .common import Scratch, bounded_batches, connected_components, sorted_groups
 from .textbits import U64, document_sets, mix
 
 
@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, config: NearDedupConfig = NearDedupConfig()
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = scratch.save(
