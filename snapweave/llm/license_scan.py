@@ -53,6 +53,13 @@ TEMPLATES = {
         _BSD + _BSD_THIRD + _BSD_END,
     ),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
@@ -69,8 +76,18 @@ TEMPLATES = {
         LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
         CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
+    "LGPL-2.1": (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This
+        library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
     "LGPL-3.0": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This
+        library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     ),
     "MIT": (
         "Released under the MIT License",
@@ -84,6 +101,15 @@ TEMPLATES = {
         AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
         OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ),
+    "MIT-0": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+        so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
@@ -109,11 +135,12 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class LicenseScanConfig:
-    """Words of a shingle, containment that counts as a match, and MinHash values of a window."""
+    """Words of a shingle, containment that counts as a match, MinHash values of a window, and whether similar templates of other licences are told apart."""
 
     width: int = 5
     containment: float = 0.8
     bands: int = 32
+    tell_apart: bool = False
 
 
 def _word_hash(text: str) -> int:
@@ -184,6 +211,7 @@ class Index:
                 groups.setdefault(int(len(found)).bit_length() - 1, []).append(len(self.sets))
                 self.names.append(name)
                 self.sets.append(found)
+        self.rivals = [self._rivals(t) if config.tell_apart else [] for t in range(len(self.sets))]
         self.groups = []
         for k, members in sorted(groups.items()):
             self.groups.append(Group.of(k, members, np.array([np.multiply.outer(self.seeds, self.sets[t]).min(axis=1) for t in members])))
@@ -191,6 +219,26 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
+    def _rivals(self, t: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(what only this template has, what only the other has, shingles of the other) for templates of other licences that share half of the smaller one."""
+        found, own = [], self.sets[t]
+        for u, other in enumerate(self.sets):
+            if self.names[u] != self.names[t] and 2 * len(np.intersect1d(own, other)) >= min(len(own), len(other)):
+                found.append((np.setdiff1d(own, other), np.setdiff1d(other, own), len(other)))
+        return found
+
+    def outdone(self, template: int, items: np.ndarray, a: int, b: int, low: int, high: int) -> bool:
+        """Whether around the shingles a..b of a text low..high there is more of what only a rival has than of what only this template has.
+
+        A template that a rival holds whole stands back where half of the rival's rest is there.
+        """
+        for own, other, size in self.rivals[template]:
+            near = items[max(low, a - size) : min(high, b + size)]
+            share = np.isin(own, near).mean() if len(own) else 0.5
+            if len(other) and np.isin(other, near).mean() > share:
+                return True
+        return False
+
     def hashes(self, distinct: list[bytes]) -> np.ndarray:
         """Hashes of raw words; 0 for those without a letter or digit."""
         out = np.empty(len(distinct), U64)
@@ -259,7 +307,7 @@ class Index:
                 a, b = max(begins[text], start - len(whole)), min(begins[text + 1], start + size + len(whole))
                 here = np.isin(items[a:b], whole)
                 share = len(np.unique(items[a:b][here])) / len(whole)
-                if share >= self.config.containment:
+                if share >= self.config.containment and not self.outdone(template, items, a, b, begins[text], begins[text + 1]):
                     first = int(a + np.argmax(here) - begins[text])
                     entry = best.setdefault((text, self.names[template]), [0.0, first, 0])
                     if share > entry[0]:
@@ -292,7 +340,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     """Licence notices in `docs` (doc_id, text): doc_id, license, containment, first_word, windows.
 
     One row for each document and licence with a template of which `containment` or more of the shingles
-    stand in and around one window; first_word, the first of them, counts words that have a letter or digit. Null ids and texts, and texts
+    stand in and around one window; with `tell_apart`, unless a similar template of another licence (another version, one clause more or
+    less) is told from it there by the shingles that only one of the two has. first_word, the first of them, counts words that have a letter or digit. Null ids and texts, and texts
     with no match, give no row. Rows that repeat a doc_id give rows each. The templates are a parameter of
     fixed size and go to the tasks with the code.
     """

@@ -33,7 +33,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents"), config=LicenseScanConfig(width=5, containment=0.8))
+    return scan_licenses(_table(spark, sf_dir, "documents"), config=LicenseScanConfig(width=5, containment=0.8, tell_apart=True))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
