@@ -8,11 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
-_roots: list[str] = []
+#: For each `released` block that is open in this context, the folders made in it.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._at: dict[int, tuple[DataFrame, str]] = {}
         self._made = 0
-        _roots.append(self.root)
+        for roots in _made.get():
+            roots.append(self.root)
 
     def save(self, frame: DataFrame, label: str) -> DataFrame:
         self._made += 1
@@ -60,9 +63,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def released(spark: SparkSession, kept: Scratch) -> Iterator[None]:
-    """Deletes, at the end, all tables that other scratch folders than `kept` got meanwhile; frames that read them can't be used after."""
-    before = set(_roots)
-    yield
-    for root in [x for x in _roots if x not in before and x != kept.root]:
-        _delete(spark, root)
-        _roots.remove(root)
+    """Deletes, at the end and after errors too, the tables of scratch folders made in this block, but for `kept`; frames that read them can't be used after.
+
+    What other threads make meanwhile is theirs.
+    """
+    roots: list[str] = []
+    token = _made.set((*_made.get(), roots))
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for root in roots:
+            if root != kept.root:
+                _delete(spark, root)
