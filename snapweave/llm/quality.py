@@ -88,7 +88,10 @@ class ByteNetwork:
         for at in range(0, max(len(text), 1), step):  # long texts a megabyte at a time
             if at and len(text) - at <= c.overlap:
                 break
-            parts.append(self.windows(self.responses(self.padded(text[at : at + step + c.overlap]))).max(1))
+            end = at + step + c.overlap
+            piece, after = self.padded(text[at:end]), text[end : end + c.width - 1]
+            piece[end - at : end - at + len(after)] = after  # the last filters of a piece read on
+            parts.append(self.windows(self.responses(piece)).max(1))
         return float(1 / (1 + np.exp(-np.clip(self.pooled(np.concatenate(parts)) @ self.out + self.shift, -30, 30))))
 
     def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
