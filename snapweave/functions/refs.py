@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEADS, TAGS, REFS = "refs/heads/", "refs/tags/", "refs/"
-ZERO = "0" * 40
+#: What stands for an absent object, in both lengths of hashes.
+ZEROS = ("0" * 40, "0" * 64)
 #: Namespaces in which hosting services keep change requests (fixed values).
 FOREIGN_PULL_PREFIXES = ("refs/pull/", "refs/pull-requests/", "refs/merge-requests/")
 #: Parts of server messages (fixed values).
@@ -38,7 +39,7 @@ def short_name(ref: Column) -> Column:
 
 def is_zero(value: Column) -> Column:
     """True for an absent or all-zero hash."""
-    return value.isNull() | (value == ZERO)
+    return value.isNull() | value.isin(*ZEROS)
 
 
 def short_hash(value: Column) -> Column:

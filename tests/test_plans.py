@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from snapweave.functions import refs as R
 from snapweave.plans import actions as A
 from snapweave.plans.policy import Mapping, Policy, PolicyError
 
@@ -126,3 +128,9 @@ def test_eligibility_reports_the_first_fault(spark):
 def test_positions_are_gapless(spark):
     found = A.positions(spark.range(1000).selectExpr("cast(id * 7919 % 1000 as string) as name"), ["name"]).orderBy("name").collect()
     assert [r.pos for r in found] == list(range(1000)) and [r.name for r in found] == sorted(r.name for r in found)
+
+
+def test_zero_hashes_of_both_lengths(spark):
+    rows = [("0" * 40, "<zero>"), ("0" * 64, "<zero>"), (None, "<zero>"), ("0" * 41, "0" * 8), ("1" * 64, "1" * 8)]
+    frame = spark.createDataFrame([(h,) for h, _ in rows], "hash string")
+    assert [r.x for r in frame.select(R.short_hash(F.col("hash")).alias("x")).collect()] == [x for _, x in rows]
