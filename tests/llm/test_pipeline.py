@@ -51,4 +51,4 @@ def test_sql_is_text_of_listed_queries():
     from snapweave.llm import queries
 
     assert set(queries.oracle_sql()) <= set(queries.queries()) and all(isinstance(x, str) for x in queries.oracle_sql().values())
-    assert sorted(int(name.split("_")[0][2:]) for name in queries.queries() if name.startswith("op")) == list(range(1, 11))
+    assert sorted(int(name.split("_")[0][2:]) for name in queries.queries() if name.startswith("op")) == list(range(1, 14))
