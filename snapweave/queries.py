@@ -368,6 +368,12 @@ def walk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_guard(D.commit_edges(spark, sf_dir), D.tips(spark, sf_dir).select(F.col("node").alias("start")), 20)
 
 
+# Whether a store passes the guard on its number of objects
+@query("SELECT count(*) > 1000 AS exceeded FROM lineitem")
+def limit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.limit_verdict(D.table(spark, sf_dir, "lineitem").select("l_orderkey"), 1000)
+
+
 # Closure of the wants minus what the haves hold
 @query(f"""WITH RECURSIVE {GRAPH}, stop AS (SELECT node FROM o WHERE key % 5 = 0),
 reach AS (SELECT node FROM tips WHERE node NOT IN (SELECT node FROM stop) UNION SELECT e.parent FROM reach r JOIN edges e ON e.child = r.node WHERE e.parent NOT IN (SELECT node FROM stop))
