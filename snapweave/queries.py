@@ -870,11 +870,12 @@ s AS (SELECT label, max(k) AS last, min(CASE WHEN sent >= 57000000 OR (sent >= 8
 SELECT label, CAST(sent AS BIGINT) AS bytes, CAST(seen AS BIGINT) AS objects, CASE WHEN stop IS NULL THEN -1 ELSE at_us END AS stopped_at, CASE WHEN stop IS NULL THEN -1 ELSE event_id END AS stopped_event FROM c JOIN s USING (label) WHERE k = coalesce(stop, last)""")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.counters import COUNTERS, upload_counters
+    from .streaming.sink import ROCKS
     from .streaming.transfer import replay
 
     e, label = F.col("event_id"), F.col("label")
     log = D.fast_log(spark, sf_dir).select("label", "at_us", "event_id", (F.when(label == "error", 10).otherwise(100) * F.col("bytes")).alias("bytes"), (e % 5).alias("objects"), (450 * F.length(label)).cast("long").alias("total"))
-    sink = replay(log, "at_us", 4, lambda rows: upload_counters(rows, 60_000_000), "counters", "update")
+    sink = replay(log, "at_us", 4, lambda rows: upload_counters(rows, 60_000_000), "counters", "update", ROCKS)
     none = F.lit(-1).cast("long")
     return sink.latest(COUNTERS, ["label"]).select("label", "bytes", "objects", F.coalesce("stopped_at", none).alias("stopped_at"), F.coalesce("stopped_event", none).alias("stopped_event"))
 

@@ -67,23 +67,24 @@ class CommittedBatches:
         return top.select(*keys, "top.*")
 
 
-STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(stream: DataFrame, sink: CommittedBatches, mode: str) -> None:
-    """Process what has come since the last run on this sink, and stop; progress is kept beside its batches, state in RocksDB."""
+def run_available(stream: DataFrame, sink: CommittedBatches, mode: str, store: str | None = None) -> None:
+    """Process what has come since the last run on this sink, and stop; progress is kept beside its batches.
+
+    `store` names the provider of the state store for this run; keyed state of one's own needs `ROCKS`.
+    """
     conf = sink.spark.conf
     before = conf.get(STORE, None)
-    conf.set(STORE, ROCKS)
+    if store is not None:
+        conf.set(STORE, store)
     try:
-        _run(stream, sink, mode)
+        writer = stream.writeStream.foreachBatch(sink.write).outputMode(mode).option("checkpointLocation", f"{sink.root}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
+        if store is not None and before is None:
             conf.unset(STORE)
-        else:
+        elif store is not None:
             conf.set(STORE, before)
-
-
-def _run(stream: DataFrame, sink: CommittedBatches, mode: str) -> None:
-    writer = stream.writeStream.foreachBatch(sink.write).outputMode(mode).option("checkpointLocation", f"{sink.root}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()

@@ -75,7 +75,7 @@ class Landing:
         return self.spark.readStream.schema(schema).parquet(f"{self.root}/slice-*")
 
 
-def replay(log: DataFrame, at: str, slices: int, process: Callable[[DataFrame], DataFrame], name: str, mode: str) -> CommittedBatches:
+def replay(log: DataFrame, at: str, slices: int, process: Callable[[DataFrame], DataFrame], name: str, mode: str, store: str | None = None) -> CommittedBatches:
     """Lands a log in slices of time; after each, the stream starts anew from its checkpoint, takes what is there and stops."""
     spark = log.sparkSession
     root = f"{shared_dir(spark)}/replay-{name}-{uuid.uuid4().hex}"
@@ -85,5 +85,5 @@ def replay(log: DataFrame, at: str, slices: int, process: Callable[[DataFrame],
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         inside = F.lit(True) if low is None else F.col(at) > low
         landing.land(log.where(inside if high is None else inside & (F.col(at) <= high)))
-        run_available(process(landing.stream(log.schema)), sink, mode)
+        run_available(process(landing.stream(log.schema)), sink, mode, store)
     return sink

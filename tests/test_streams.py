@@ -52,7 +52,7 @@ def plain_counters(rows, budget):
 def test_counters_stop_once_and_stay_stopped(spark):
     rows = samples(random.Random(2), 300)
     log = spark.createDataFrame(rows, LOG)
-    sink = replay(log, "at_us", 5, lambda s: upload_counters(s, 100_000_000), "t", "update")
+    sink = replay(log, "at_us", 5, lambda s: upload_counters(s, 100_000_000), "t", "update", sinks.ROCKS)
     found = {tuple(r) for r in sink.latest(COUNTERS, ["label"]).collect()}
     assert found == plain_counters(rows, 100_000_000)
     assert {r[3] is None for r in found} == {True, False} or len({r[3] for r in found}) > 1
