@@ -73,12 +73,23 @@ def plan_line(action: Column, branch: Column, target_ref: Column, reason: Column
 
 
 def human_bytes(n: Column) -> Column:
-    """Powers of 1024 with two decimals below 10, one below 100, else none."""
-    n = n.cast("long")
+    """Powers of 1024 with two decimals below 10, one below 100, else none; ties go to the even digit."""
+    return F.get(F.transform(F.array(n.cast("long")), _human), F.lit(0))  # a lambda, so that `n` is worked out once and the code stays small
+
+
+def _human(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
     for power, suffix in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        value = n.cast("double") / F.lit(float(1024**power))
-        digits = F.when(value >= 100, F.format_string("%.0f", value)).when(value >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
+        unit = 1024**power
+
+        def scaled(by: int, unit: int = unit) -> Column:
+            low = n % unit * by
+            cut, rest = div(n, unit) * by + div(low, unit), low % unit * 2
+            return cut + F.when((rest > unit) | ((rest == unit) & (cut % 2 == 1)), 1).otherwise(0)
+
+        places = lambda k: F.concat(div(scaled(10**k), 10**k).cast("string"), F.lit("."), F.lpad((scaled(10**k) % 10**k).cast("string"), k, "0"))
+        digits = F.when(n >= 100 * unit, scaled(1).cast("string")).when(n >= 10 * unit, places(1)).otherwise(places(2))
         text = F.concat(digits, F.lit(f" {suffix}"))
         out = out.when(n < 1024 ** (power + 1), text) if power < 5 else out.otherwise(text)
     return out

@@ -2,9 +2,11 @@ import math
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from snapweave import queries
 from snapweave.functions import batching as B
 from snapweave.functions import refs as R
 from snapweave.operators import chains, conversion, transfer
@@ -258,3 +260,22 @@ def test_listed_refs_keep_the_head_apart(spark, tmp_path):
     (tmp_path / "refs.txt").write_text(f"{H} HEAD symref-target:refs/heads/main\nunborn HEAD symref-target:refs/heads/x\n{G} refs/tags/v1 peeled:{H}\n")
     found = {(r.ref, r.hash, r.head_target) for r in P.read_listed_refs(spark, str(tmp_path)).collect()}
     assert found == {("HEAD", None, "refs/heads/main"), ("refs/tags/v1", G, None)}
+
+
+@pytest.mark.parametrize("n, want", [(1152, "1.12 KB"), (1408, "1.38 KB"), (10496, "10.2 KB"), (102912, "100 KB"), (9285 << 30, "9.07 TB"), (10 * 1024 - 1, "10.00 KB"), (None, None)])
+def test_human_bytes_ties_and_large(spark, n, want):
+    assert spark.createDataFrame([(n,)], "n long").select(R.human_bytes(F.col("n"))).first()[0] == want
+
+
+def _same_as_sql(spark, tmp_path, name, ids):
+    """A query of `events` (event_id) against its SQL."""
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = db.sql(queries.SQL[name])
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
+def test_batch_sizes_of_large_ids(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "batch_sizes", [0, 1, 9, 16, 512, 16_384, 40_000, 96_628, 100_000, 1_100_000, 5_999_999])
