@@ -326,8 +326,8 @@ def hoisted(plans: DataFrame, head: str) -> DataFrame:
 
 def positions(frame: DataFrame, order: list[str]) -> DataFrame:
     """Rows with `pos` from 0 in the given total order: ranges are sorted apart and offset by the sizes of those before."""
-    spread = Scratch(frame.sparkSession, "positions").save(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    inside = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    ranges = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())  # a range's number, and 33 bits for the place in it
+    spread = Scratch(frame.sparkSession, "positions").save(ranges, "ranges").withColumn("_part", F.shiftright("_id", 33))
     sizes = spread.groupBy("_part").count()  # as many rows as there are partitions
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return spread.join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_id") % (1 << 33)).drop("_part", "_id", "_before")
