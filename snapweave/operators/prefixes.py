@@ -2,33 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import Scratch
 
 SHORTEST = 7
 
 
-def excluded_by(refs: DataFrame, prefixes: DataFrame, exact: DataFrame | None = None, salts: int = 16) -> DataFrame:
+#: What a row of a sweep is; of equal names, entries come before the refs that they touch.
+_PREFIX, _EXACT, _REF = 0, 1, 2
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (_name, _what, ..): refs with `_hit`, by entries of this range; a last row says by `_last` which prefix was the last that no other covers.
+
+    Names under a prefix follow it without a gap, so one prefix is all that there is to keep.
+    """
+    last, exact, empty = b"", None, None
+    for batch in batches:
+        what, hits = batch.column("_what").to_pylist(), []
+        for name, kind in zip(batch.column("_name").to_pylist(), what, strict=True):
+            if kind == _REF:
+                hits.append(name is not None and (name == exact or (last != b"" and name.startswith(last))))
+            elif kind == _EXACT:
+                exact = name
+            elif last == b"" or not name.startswith(last):
+                last = name
+        rows = batch.filter(pc.equal(batch.column("_what"), _REF)).drop_columns(["_what"])
+        rows = rows.append_column("_hit", pa.array(hits, pa.bool_())).append_column("_last", pa.nulls(len(hits), pa.binary()))
+        empty = rows.slice(0, 0)
+        yield rows
+    if empty is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in empty.schema if f.name != "_last"), pa.array([last], pa.binary())], names=empty.schema.names)
+
+
+def excluded_by(refs: DataFrame, prefixes: DataFrame, exact: DataFrame | None = None) -> DataFrame:
     """The rows of `refs` (ref, ..) with `excluded`: does the name begin with one of `prefixes` (prefix) or equal one of `exact` (ref)?
 
-    White space around entries doesn't count, blank entries count for nothing. A name is cut to every length that some prefix
-    has, at most as many as the longest has characters, and met with the prefixes by equality, so their number doesn't matter. A
-    prefix under which many names stand is met in `salts` places.
+    White space around entries doesn't count, blank entries count for nothing. Names and entries are sorted together in ranges
+    and swept once; a task keeps one prefix, so neither the number of prefixes nor that of the names under one matters. What a
+    prefix covers in later ranges follows from the last prefix of each range.
     """
-    plain = lambda frame, name: frame.select(F.regexp_replace(name, r"^\s+|\s+$", "").alias("entry")).where("entry <> ''").distinct()
-    begins = plain(prefixes, "prefix")
-    lengths = [r.n for r in begins.select(F.length("entry").alias("n")).distinct().collect()]
-    names = refs.select("ref").where("ref is not null").distinct()
-    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("ref")) if lengths else F.array().cast("array<int>")
-    heads = names.select("ref", F.explode(F.transform(cuts, lambda n: F.substring(F.col("ref"), F.lit(1), n))).alias("entry")).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
-    salted = begins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = heads.join(salted, ["entry", "salt"], "left_semi").select("ref")
+    spark = refs.sparkSession
+
+    def entries(frame: DataFrame, name: str, what: int) -> DataFrame:
+        plain = frame.select(F.regexp_replace(name, r"^\s+|\s+$", "").cast("binary").alias("_name")).where(F.octet_length("_name") > 0)
+        return plain.withColumn("_what", F.lit(what).cast("byte"))
+
+    rows = refs.select(F.col("ref").cast("binary").alias("_name"), F.lit(_REF).cast("byte").alias("_what"), *(c for c in refs.columns if c != "ref"))
+    rows = rows.unionByName(entries(prefixes, "prefix", _PREFIX), allowMissingColumns=True)
     if exact is not None:
-        hit = hit.unionByName(names.join(plain(exact, "ref").withColumnRenamed("entry", "ref"), "ref", "left_semi"))
-    found = hit.distinct().withColumn("excluded", F.lit(True))
-    return refs.join(found, "ref", "left").select(*refs.columns, F.coalesce("excluded", F.lit(False)).alias("excluded"))
+        rows = rows.unionByName(entries(exact, "ref", _EXACT), allowMissingColumns=True)
+    ordered = rows.repartitionByRange("_name").sortWithinPartitions("_name", "_what")
+    schema = StructType([StructField(f.name, f.dataType) for f in ordered.schema if f.name != "_what"]).add("_hit", "boolean").add("_last", "binary")
+    swept = Scratch(spark, "excluded").save(ordered.mapInArrow(_sweep, schema).withColumn("_range", F.spark_partition_id()), "swept")
+    before, last = [], b""
+    for at, own in sorted((r["_range"], bytes(r["_last"])) for r in swept.where("_last is not null").select("_range", "_last").collect()):  # a row for each range
+        before.append((at, last or None))
+        last = own if own and not (last and own.startswith(last)) else last
+    covered = F.coalesce(F.startswith(F.col("_name"), F.col("_before")), F.lit(False))
+    told = swept.where("_last is null").join(F.broadcast(spark.createDataFrame(before, "_range int, _before binary")), "_range", "left")
+    return told.select(*(F.col("_name").cast("string").alias("ref") if c == "ref" else F.col(c) for c in refs.columns), (F.col("_hit") | covered).alias("excluded"))
 
 
 def shared_length(a: Column, b: Column) -> Column:

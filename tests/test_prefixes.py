@@ -26,6 +26,36 @@ def test_excluded_by_a_hundred_thousand_prefixes(spark):
     assert not any(r.excluded for r in excluded_by(names, prefixes.limit(0)).collect())
 
 
+def test_names_under_one_prefix_are_spread(spark):
+    """A prefix that covers whole ranges, others below it, and names beyond ASCII; names under one prefix don't meet in one task."""
+    names = [f"refs/notes/1{k:05d}" for k in range(20_000)] + [f"refs/notes/{k}" for k in range(2, 900)] + ["refs/notés/1", "refs/notés", "refs/notes/\U0001f600x"]
+    entries = ["refs/notes/1", "refs/notes/105", "refs/notes/11\n", "refs/notes/3", "refs/notés/", "refs/notes/\U0001f600"]
+    exact = ["refs/notes/2", " refs/notes/100001", "refs/notes/4"]
+    frame = spark.createDataFrame([(n, [n[-1:]]) for n in names] + [(None, None)], "ref string, x array<string>").repartition(8)
+    found = excluded_by(frame, spark.createDataFrame([(p,) for p in entries], "prefix string"), spark.createDataFrame([(e,) for e in exact], "ref string"))
+    want = {n: any(n.startswith(p.strip()) for p in entries) or n in {e.strip() for e in exact} for n in names} | {None: False}
+    rows = found.collect()
+    assert len(rows) == len(want) and {r.ref: r.excluded for r in rows} == want and all(r.ref is None or r.x == [r.ref[-1:]] for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_sweep_of_ranges_with_nested_prefixes(spark):
+    """Random names of few letters, so that prefixes nest and lie on the ends of ranges."""
+    rng = random.Random(13)
+    word = lambda most: "".join(rng.choice("ab") for _ in range(rng.randrange(most + 1)))
+    parallel = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for count in (0, 1, 5, 12):
+            names, entries = [word(9) for _ in range(300)], [word(6) for _ in range(count)]
+            found = excluded_by(spark.createDataFrame([(n,) for n in names], "ref string"), spark.createDataFrame([(p,) for p in entries], "prefix string"))
+            want = sorted((n, any(p and n.startswith(p) for p in entries)) for n in names)
+            assert sorted((r.ref, r.excluded) for r in found.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parallel)
+
+
 def test_prefix_index_reads_the_ranges_that_it_needs(spark):
     rng = random.Random(10)
     hashes = {f"{rng.randrange(16**6):06x}" + "".join(rng.choice("01") for _ in range(34)) for _ in range(300)}
