@@ -79,34 +79,37 @@ def shared_length(a: Column, b: Column) -> Column:
 class PrefixIndex:
     """Hashes (hash) in ranges, each a folder of its own, with the length from which on a beginning names that hash alone.
 
-    Hashes are sorted, so that what a hash shares with any other it shares with a neighbour. `bounds` (range, low, high) says
-    which range holds what; a look-up reads the ranges that its prefixes fall into, and no others.
+    Ranges are of first seven digits, so all hashes that a look-up can't tell apart lie in one range, and what a hash shares
+    with any of them it shares with a neighbour there: one shuffle and one sort make the index. `bounds` (range, low, high)
+    says which range holds what; a look-up reads the ranges that its prefixes fall into, and no others.
     """
 
     def __init__(self, hashes: DataFrame, ranges: int | None = None) -> None:
-        spark = hashes.sparkSession
-        scratch = Scratch(spark, "prefixes")
-        known = hashes.select(F.lower("hash").alias("hash")).where("hash is not null").distinct()
-        spread = known.repartitionByRange(ranges, "hash") if ranges else known.repartitionByRange("hash")
-        spread = scratch.save(spread.sortWithinPartitions("hash").withColumn("range", F.spark_partition_id()), "sorted")
-        self.bounds = scratch.save(spread.groupBy("range").agg(F.min("hash").alias("low"), F.max("hash").alias("high")), "bounds")
-        order, edge = Window.partitionBy("range").orderBy("hash"), Window.orderBy("range")  # the second has a row for each range
-        edges = self.bounds.select("range", F.lag("high").over(edge).alias("left"), F.lead("low").over(edge).alias("right"))
-        rows = spread.join(edges, "range").select("range", "hash", F.coalesce(F.lag("hash").over(order), "left").alias("left"), F.coalesce(F.lead("hash").over(order), "right").alias("right"))
-        alone = 1 + F.greatest(shared_length(F.col("hash"), F.col("left")), shared_length(F.col("hash"), F.col("right")))
-        self.path = f"{scratch.root}/index"
-        rows.select("range", "hash", alone.cast("int").alias("alone_from")).repartition("range").sortWithinPartitions("hash").write.partitionBy("range").parquet(self.path)
-        self.table = spark.read.schema("hash string, alone_from int, range int").parquet(self.path)
+        self._scratch = Scratch(hashes.sparkSession, "prefixes")
+        self.path = f"{self._scratch.root}/index"
+        self._ranged(hashes, ranges).write.partitionBy("range").option("compression", "zstd").parquet(self.path)
+        self.table = hashes.sparkSession.read.schema("hash string, alone_from int, range int").parquet(self.path)
+        self.bounds = self._scratch.save(self.table.groupBy("range").agg(F.min("hash").alias("low"), F.max("hash").alias("high")), "bounds")
+
+    @staticmethod
+    def _ranged(hashes: DataFrame, ranges: int | None) -> DataFrame:
+        """(hash, alone_from, range) of the distinct hashes, sorted by range and hash."""
+        known = hashes.select(F.lower("hash").alias("hash")).where("hash is not null").withColumn("head", F.substring("hash", 1, SHORTEST))
+        spread = (known.repartitionByRange(ranges, "head") if ranges else known.repartitionByRange("head")).withColumn("range", F.spark_partition_id())
+        order = Window.partitionBy("range", "head").orderBy("hash")
+        rows = spread.withColumn("left", F.lag("hash").over(order)).where("left is null or left <> hash").withColumn("right", F.lead("hash").over(order))
+        alone = F.greatest(F.lit(SHORTEST), 1 + shared_length(F.col("hash"), F.col("left")), 1 + shared_length(F.col("hash"), F.col("right")))
+        return rows.select("hash", alone.cast("int").alias("alone_from"), "range")
 
     def _placed(self, prefixes: DataFrame) -> DataFrame:
-        """(prefix, range) for every range that may hold hashes with the prefix; there are at most as many bounds as ranges."""
+        """(prefix, range) of the range that may hold hashes with the prefix; there are at most as many bounds as ranges."""
         touches = (F.col("high") >= F.col("prefix")) & (F.left("low", F.length("prefix")) <= F.col("prefix"))
         return prefixes.join(F.broadcast(self.bounds), touches).select("prefix", "range")
 
     def resolve(self, prefixes: DataFrame) -> DataFrame:
         """(prefix, verdict, hash) of hex prefixes (prefix) of 7 digits and more: unique, ambiguous or none."""
-        wanted = prefixes.select(F.lower("prefix").alias("prefix")).where("prefix is not null").distinct()
-        placed = self._placed(wanted)
+        wanted = self._scratch.save(prefixes.select(F.lower("prefix").alias("prefix")).where("prefix is not null").distinct(), "wanted")
+        placed = self._scratch.save(self._placed(wanted), "placed")  # of known size, so that a few prefixes go to the hashes and not these to them
         touched = [r.range for r in placed.select("range").distinct().collect()]  # at most as many as there are ranges
         head = lambda x: F.substring(x, 1, SHORTEST).alias("head")
         near = placed.select("prefix", "range", head("prefix")).join(self.table.where(F.col("range").isin(touched)).select("hash", "alone_from", "range", head("hash")), ["range", "head"])

@@ -78,6 +78,28 @@ def test_prefix_index_reads_the_ranges_that_it_needs(spark):
     assert [r.range for r in index._placed(spark.createDataFrame([(sorted(hashes)[0],)], "prefix string")).collect()] == [0]
 
 
+def test_prefix_index_moves_the_hashes_once(spark):
+    """Hashes in one range and shuffle, repeated and in capitals."""
+    hashes = [hashlib.sha1(b"%d" % (k % 1500)).hexdigest() for k in range(2000)]
+    hashes += [h[:7] + "0" * 33 for h in hashes[:40]] + [h[:20] + "f" * 20 for h in hashes[:40]] + [h.upper() for h in hashes[:5]]
+    seen: list[str] = []
+    index = PrefixIndex(spark.createDataFrame([(h,) for h in hashes] + [(None,)], "hash string"), 6)
+    known = {h.lower() for h in hashes}
+    rows = index.table.collect()
+    assert len(rows) == len(known) and {r.hash for r in rows} == known
+    assert all(len({r.range for r in rows if r.hash[:7] == h[:7]}) == 1 for h in hashes[:40])
+    for r in rows:
+        others = [h for h in known if h[:7] == r.hash[:7] and h != r.hash]
+        assert r.alone_from == max([7, *(1 + next(k for k in range(40) if h[k] != r.hash[k]) for h in others)])
+    for h in hashes[:200]:
+        seen += [h[:7], h[:20], h[:21], h]
+    found = index.resolve(spark.createDataFrame([(p,) for p in [*seen, "0" * 12]], "prefix string"))
+    want = {p: [h for h in known if h.startswith(p)] for p in {*seen, "0" * 12}}
+    assert {r.prefix: (r.verdict, r.hash) for r in found.collect()} == {p: ("none", None) if not x else ("unique", x[0]) if len(x) == 1 else ("ambiguous", None) for p, x in want.items()}
+    plan = PrefixIndex._ranged(spark.createDataFrame([(h,) for h in hashes], "hash string"), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count(" Sort ") == 1
+
+
 def plain_tree(entries):
     body = b"".join(b"%s %s\0%s" % (mode, name.encode(), bytes.fromhex(value)) for name, (mode, value) in sorted(entries.items()))
     return hashlib.sha256(b"tree %d\0" % len(body) + body).hexdigest()
