@@ -7,7 +7,9 @@ one grouped pass; nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +117,12 @@ def plan_sync(desired: DataFrame, target: DataFrame, policy: Policy, ancestors:
     return _rows(joined, action, reason)
 
 
+def replication_action() -> Column:
+    """What a replication does with a row (source_hash, target_hash)."""
+    gone, same = F.col("source_hash").isNull(), F.col("source_hash") == F.col("target_hash")
+    return F.when(gone, "delete").when(same, "skip").otherwise(action_for_target(F.col("target_hash")))
+
+
 def plan_replication(desired: DataFrame, target: DataFrame, policy: Policy) -> DataFrame:
     """As `plan_sync`, but what differs is overwritten."""
     joined = _matched(desired, target, policy.checked())
@@ -122,9 +130,8 @@ def plan_replication(desired: DataFrame, target: DataFrame, policy: Policy) -> D
     moved = F.concat(t, F.lit(" -> "), s)
     over = F.when(F.col("kind") == "tag", " (replicate tag overwrite)").otherwise(" (replicate overwrite)")
     gone, same, new = F.col("source_hash").isNull(), F.col("source_hash") == F.col("target_hash"), is_zero(F.col("target_hash"))
-    action = F.when(gone, "delete").when(same, "skip").otherwise(action_for_target(F.col("target_hash")))
     reason = F.when(gone, F.concat(t, F.lit(" -> <deleted>"))).when(same, F.concat(s, F.lit(" already current"))).when(new, F.concat(s, F.lit(" -> <new>"))).otherwise(F.concat(moved, over))
-    return _rows(joined, action, reason)
+    return _rows(joined, replication_action(), reason)
 
 
 def plan_bootstrap(desired: DataFrame, target: DataFrame) -> DataFrame:
@@ -226,20 +233,59 @@ REASONS = {
 }
 
 
-def _quantified(plans: DataFrame, fault: Column, good: str, empty: str | None) -> DataFrame:
-    """(eligible, reason): the fault of the first faulty row in target_ref order, else `good`; `empty` for no rows."""
-    first = F.min_by(F.when(fault.isNotNull(), fault), F.when(fault.isNotNull(), F.col("target_ref")))
-    found = plans.agg(first.alias("fault"), F.count("*").alias("n"))
-    reason = F.coalesce("fault", F.lit(good))
-    if empty is not None:
-        reason = F.when(F.col("n") == 0, empty).otherwise(reason)
-    return found.select((reason == good).alias("eligible"), reason.alias("reason"))
+class Check(NamedTuple):
+    """What has to hold for all rows: `fault` says what is wrong with one, `good` and `empty` are the reasons if no row is wrong and if there is none. Only rows `of` a kind count."""
 
+    fault: Column
+    good: str
+    empty: str | None = None
+    of: Column | None = None
 
-def incremental_eligibility(plans: DataFrame, policy: Policy, capabilities_known: bool = True) -> DataFrame:
-    """Whether all rows are branch creates, branch updates or tag creates."""
+    def on(self, of: Column) -> Check:
+        return self._replace(of=of if self.of is None else self.of & of)
+
+
+def eligibilities(plans: DataFrame, checks: dict[str, Check | Sequence[Check]]) -> DataFrame:
+    """(check, eligible, reason) of all checks, in one pass: the fault of the first faulty row in target_ref order, else `good`; `empty` for no rows.
+
+    Of several checks under one name the first that passes tells the reason, else the last.
+    """
+    ladders = {name: [one] if isinstance(one, Check) else list(one) for name, one in checks.items()}
+    places = {(name, k): f"_{i}" for i, (name, k) in enumerate((name, k) for name, ladder in ladders.items() for k in range(len(ladder)))}
+    said, tallies = [], []
+    for (name, k), at in places.items():
+        one = ladders[name][k]
+        said.append(F.when(F.lit(True) if one.of is None else one.of, F.coalesce(one.fault, F.lit(""))).alias(at))  # null: not of the kind
+        bad = F.col(at) != ""
+        tallies += [F.min_by(F.when(bad, F.col(at)), F.when(bad, F.col("target_ref"))).alias(f"{at}_fault"), F.count(at).alias(f"{at}_n")]
+    found, out = plans.select("target_ref", *said).agg(*tallies), []
+    for name, ladder in ladders.items():
+        eligible = reason = None
+        for k in reversed(range(len(ladder))):
+            at, one = places[name, k], ladder[k]
+            own = F.coalesce(f"{at}_fault", F.lit(one.good))
+            if one.empty is not None:
+                own = F.when(F.col(f"{at}_n") == 0, one.empty).otherwise(own)
+            passes = own == one.good
+            eligible, reason = (passes, own) if reason is None else (passes | eligible, F.when(passes, own).otherwise(reason))
+        out.append(F.struct(F.lit(name).alias("check"), eligible.alias("eligible"), reason.alias("reason")))
+    return found.select(F.inline(F.array(*out)))
+
+
+def _quantified(plans: DataFrame, *ladder: Check) -> DataFrame:
+    """(eligible, reason) of one check."""
+    return eligibilities(plans, {"": ladder}).select("eligible", "reason")
+
+
+def _refused(reason: str) -> Check:
+    """A check that no rows pass."""
+    return Check(F.lit(reason), "", reason, F.lit(False))
+
+
+def incremental_check(policy: Policy, capabilities_known: bool = True) -> Check:
+    """All rows are branch creates, branch updates or tag creates."""
     if policy.force or policy.prune or policy.dry_run:
-        return plans.limit(0).agg(F.lit(False).alias("eligible"), F.lit(REASONS["policy"]).alias("reason"))
+        return _refused(REASONS["policy"])
     kind, action, source, target = F.col("kind"), F.col("action"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
     missing = is_zero(F.col("target_hash"))
     fault = (
@@ -251,44 +297,64 @@ def incremental_eligibility(plans: DataFrame, policy: Policy, capabilities_known
         .when((kind == "tag") & (action != "create"), REASONS["tag_action"])
         .when(kind == "other", REASONS["other_kind"])
     )
-    if not capabilities_known:
-        fault = F.lit(REASONS["unknown"])
-    return _quantified(plans, fault, REASONS["forward"], REASONS["none"])
+    return Check(fault if capabilities_known else F.lit(REASONS["unknown"]), REASONS["forward"], REASONS["none"])
 
 
-def tag_create_eligibility(plans: DataFrame) -> DataFrame:
+def incremental_eligibility(plans: DataFrame, policy: Policy, capabilities_known: bool = True) -> DataFrame:
+    """Whether all rows are branch creates, branch updates or tag creates."""
+    if policy.force or policy.prune or policy.dry_run:
+        plans = plans.limit(0)
+    return _quantified(plans, incremental_check(policy, capabilities_known))
+
+
+def tag_create_check() -> Check:
     kind, source, target = F.col("kind"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
     fault = (
         F.when(kind != "tag", REASONS["tags_plan"])
         .when(~((source == "tag") & (target == "tag")), REASONS["tags_mapping"])
         .when(F.col("action") != "create", REASONS["tags_action"])
     )
-    return _quantified(plans, fault, REASONS["tags"], REASONS["none"])
+    return Check(fault, REASONS["tags"], REASONS["none"])
+
+
+def tag_create_eligibility(plans: DataFrame) -> DataFrame:
+    return _quantified(plans, tag_create_check())
 
 
 def fallback_reason(plans: DataFrame, policy: Policy, capabilities_known: bool = True) -> DataFrame:
     """The reason of the incremental check if that passes, else of the tag check."""
-    first = incremental_eligibility(plans, policy, capabilities_known).select(F.col("eligible").alias("a"), F.col("reason").alias("x"))
-    second = tag_create_eligibility(plans).select(F.col("reason").alias("y"))
-    return first.join(second).select(F.when(F.col("a"), F.col("x")).otherwise(F.col("y")).alias("reason"))
+    return _quantified(plans, incremental_check(policy, capabilities_known), tag_create_check()).select("reason")
 
 
-def replicate_eligibility(plans: DataFrame) -> DataFrame:
-    """Whether all rows are creates or updates between refs of one kind; no rows pass."""
+def replicate_check(action: Column | None = None) -> Check:
+    """All rows are creates or updates (by `action`, else by their own) between refs of one kind."""
     kind, source, target = F.col("kind"), ref_kind(F.col("source_ref")), ref_kind(F.col("target_ref"))
+    action = F.col("action") if action is None else action
     fault = (
         F.when(~kind.isin("branch", "tag", "other"), REASONS["replicate_kind"])
         .when((source != kind) | (target != kind), F.concat(F.lit("replicate-non-"), kind, F.lit("-mapping")))
-        .when(~F.col("action").isin("create", "update"), F.concat(F.lit("replicate-"), kind, F.lit("-action-not-create-or-update")))
+        .when(~action.isin("create", "update"), F.concat(F.lit("replicate-"), kind, F.lit("-action-not-create-or-update")))
     )
-    return _quantified(plans, fault, REASONS["replicate"], None)
+    return Check(fault, REASONS["replicate"])
+
+
+def replicate_eligibility(plans: DataFrame) -> DataFrame:
+    """Whether all rows are creates or updates between refs of one kind; no rows pass."""
+    return _quantified(plans, replicate_check())
+
+
+def bootstrap_check(policy: Policy) -> Check:
+    """There are rows, and no target has a hash yet."""
+    if policy.force or policy.prune:
+        return _refused(REASONS["boot_policy"])
+    return Check(F.when(~is_zero(F.col("target_hash")), REASONS["boot_exists"]), REASONS["boot_ok"], REASONS["boot_none"])
 
 
 def bootstrap_eligibility(desired: DataFrame, target: DataFrame, policy: Policy) -> DataFrame:
-    there = target.where(~is_zero(F.col("hash"))).select(F.col("ref").alias("target_ref"), F.lit(True).alias("there"))
-    found = desired.join(there, "target_ref", "left").agg(F.count("*").alias("n"), F.count("there").alias("taken"))
-    reason = F.when(F.lit(policy.force or policy.prune), REASONS["boot_policy"]).when(F.col("n") == 0, REASONS["boot_none"]).when(F.col("taken") > 0, REASONS["boot_exists"]).otherwise(REASONS["boot_ok"])
-    return found.select((reason == REASONS["boot_ok"]).alias("eligible"), reason.alias("reason"))
+    if policy.force or policy.prune:
+        desired = desired.limit(0)
+    joined = desired.join(target.select(F.col("ref").alias("target_ref"), F.col("hash").alias("target_hash")), "target_ref", "left")
+    return _quantified(joined, bootstrap_check(policy))
 
 
 def relay_support(targets: DataFrame) -> DataFrame:

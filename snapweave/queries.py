@@ -21,7 +21,6 @@ from .plans import actions as A
 from .plans.policy import Mapping, Policy
 from .sources import derived as D
 from .sources import protocol as P
-from .storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,27 +206,23 @@ def plan_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('incremental-unknown', false, 'incremental-missing-target-capabilities'), ('tags', true, 'tag-create-full-pack'), ('replicate', false, 'replicate-branch-action-not-create-or-update'),
 ('replicate-none', true, 'replicate-overwrite-relay'), ('fallback', NULL, 'incremental-tag-relay-non-tag-plan')) v("check", eligible, reason)""")
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, target = Scratch(spark, "eligibility"), D.target_refs(spark, sf_dir)
-    plans = scratch.save(_forward(spark, sf_dir), "plans")
-    branches = plans.where("kind = 'branch' and action in ('create', 'update')")
-    over = scratch.save(A.plan_replication(_desired(spark, sf_dir), target, EVERYTHING), "replication")
-    found = {
-        "bootstrap": A.bootstrap_eligibility(_desired(spark, sf_dir), target, EVERYTHING),
-        "bootstrap-forced": A.bootstrap_eligibility(_desired(spark, sf_dir), target, Policy(force=True)),
-        "incremental": A.incremental_eligibility(plans.where("action in ('create', 'update') or kind = 'other'"), EVERYTHING),
-        "incremental-branches": A.incremental_eligibility(branches, EVERYTHING),
-        "incremental-none": A.incremental_eligibility(plans.limit(0), EVERYTHING),
-        "incremental-unknown": A.incremental_eligibility(branches, EVERYTHING, False),
-        "tags": A.tag_create_eligibility(plans.where("kind = 'tag' and action = 'create'")),
-        "replicate": A.replicate_eligibility(over),
-        "replicate-none": A.replicate_eligibility(over.limit(0)),
-        "fallback": A.fallback_reason(plans.where("kind <> 'tag'"), EVERYTHING).select(F.lit(None).cast("boolean").alias("eligible"), "reason"),
+    kind, action = F.col("kind"), F.col("action")
+    moved = action.isin("create", "update")
+    branches = (kind == "branch") & moved
+    checks = {
+        "bootstrap": A.bootstrap_check(EVERYTHING),
+        "bootstrap-forced": A.bootstrap_check(Policy(force=True)),
+        "incremental": A.incremental_check(EVERYTHING).on(moved | (kind == "other")),
+        "incremental-branches": A.incremental_check(EVERYTHING).on(branches),
+        "incremental-none": A.incremental_check(EVERYTHING).on(F.lit(False)),
+        "incremental-unknown": A.incremental_check(EVERYTHING, False).on(branches),
+        "tags": A.tag_create_check().on((kind == "tag") & (action == "create")),
+        "replicate": A.replicate_check(A.replication_action()),
+        "replicate-none": A.replicate_check(A.replication_action()).on(F.lit(False)),
+        "fallback": [c.on(kind != "tag") for c in (A.incremental_check(EVERYTHING), A.tag_create_check())],
     }
-    out = None
-    for name, one in found.items():
-        one = one.select(F.lit(name).alias("check"), "eligible", "reason")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = A.eligibilities(_forward(spark, sf_dir), checks)  # the rows of a replication have the same refs and hashes
+    return found.select("check", F.when(F.col("check") != "fallback", F.col("eligible")).alias("eligible"), "reason")
 
 
 # Relay support of targets

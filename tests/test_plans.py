@@ -125,6 +125,38 @@ def test_eligibility_reports_the_first_fault(spark):
     assert A.replicate_eligibility(plans.limit(0)).first().eligible
 
 
+def test_eligibilities_take_one_pass(spark):
+    """All checks at once, against each by itself, over rows with and without faults; the rows are joined and read once."""
+    rng = random.Random(16)
+    kinds = {"branch": "refs/heads/", "tag": "refs/tags/", "other": "refs/notes/"}
+    schema = ", ".join(f"{c} string" for c in A.PLAN_COLUMNS)
+    boot = lambda frame, policy: A.bootstrap_eligibility(frame.select("target_ref"), frame.select(F.col("target_ref").alias("ref"), F.col("target_hash").alias("hash")), policy)
+    for count, actions_ in ((0, ["create"]), (1, ["create", "skip"]), (30, ["create", "update"]), (30, ["create", "update", "skip", "block"])):
+        rows = []
+        for i in range(count):
+            kind = rng.choice(list(kinds))
+            source = kinds[kind if rng.random() < 0.9 else "tag"] + f"{i * 7 % 31:02d}"
+            rows.append((f"{i}", source, kinds[kind] + f"{i * 7 % 31:02d}", ONE, rng.choice([None, ZERO, ONE, TWO]), kind, rng.choice(actions_), ""))
+        plans = spark.createDataFrame(rows, schema).repartition(3)
+        branch = F.col("kind") == "branch"
+        checks = {
+            "boot": A.bootstrap_check(Policy()), "forced": A.bootstrap_check(Policy(force=True)), "all": A.incremental_check(Policy()), "pruned": A.incremental_check(Policy(prune=True)),
+            "branches": A.incremental_check(Policy()).on(branch), "unknown": A.incremental_check(Policy(), False), "none": A.replicate_check().on(F.lit(False)),
+            "replicate": A.replicate_check(A.replication_action()), "tags": A.tag_create_check(), "fallback": (A.incremental_check(Policy()), A.tag_create_check()),
+        }
+        apart = {
+            "boot": boot(plans, Policy()), "forced": boot(plans, Policy(force=True)), "all": A.incremental_eligibility(plans, Policy()), "pruned": A.incremental_eligibility(plans, Policy(prune=True)),
+            "branches": A.incremental_eligibility(plans.where(branch), Policy()), "unknown": A.incremental_eligibility(plans, Policy(), False), "none": A.replicate_eligibility(plans.limit(0)),
+            "replicate": A.replicate_eligibility(plans.withColumn("action", A.replication_action())), "tags": A.tag_create_eligibility(plans),
+        }
+        together = A.eligibilities(plans, checks)
+        found = {r.check: (r.eligible, r.reason) for r in together.collect()}
+        assert {k: found[k] for k in apart} == {k: tuple(frame.first()) for k, frame in apart.items()}
+        assert found["fallback"][1] == A.fallback_reason(plans, Policy()).first().reason == (found["all"] if found["all"][0] else found["tags"])[1]
+        assert found["forced"] == (False, "bootstrap-disabled-by-force-or-prune") and found["pruned"] == (False, "incremental-disabled-by-force-prune-or-dry-run")
+        assert together._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange SinglePartition") == 1
+
+
 def test_positions_are_gapless(spark):
     found = A.positions(spark.range(1000).selectExpr("cast(id * 7919 % 1000 as string) as name"), ["name"]).orderBy("name").collect()
     assert [r.pos for r in found] == list(range(1000)) and [r.name for r in found] == sorted(r.name for r in found)
